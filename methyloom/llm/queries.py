@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methyloom.functions.modcodes import canonical_mod_type
-from methyloom.llm import packing, quantiles, tokenise, topn
+from methyloom.llm import langid, packing, quantiles, tokenise, topn
 from methyloom.session import table
 
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -23,8 +23,17 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = quantiles.merge(_digests(spark, sf_dir), _GROUPS)
-    return quantiles.percentiles(merged, _GROUPS, SHARES)
+    """Percentiles of every day, every month and all days, all from the digests of the days."""
+    day = F.col("period").cast("string")
+    spans = F.array(
+        F.struct(F.lit("day").alias("span"), day.alias("of")),
+        F.struct(F.lit("month").alias("span"), F.substring(day, 1, 7).alias("of")),
+        F.struct(F.lit("all").alias("span"), F.lit("all").alias("of")),
+    )
+    nodes = _digests(spark, sf_dir).select("*", F.explode(spans).alias("s"))
+    groups = ["span", "period", *_GROUPS]
+    merged = quantiles.merge(nodes.select("s.span", F.col("s.of").alias("period"), *_GROUPS, "metric", "node", "n", "rank_error"), groups)
+    return quantiles.percentiles(merged, groups, SHARES)
 
 
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +66,26 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.text_model(table(spark, sf_dir, "lang_samples"))
+    names = langid.language_names(table(spark, sf_dir, "lang_codes"))
+    return langid.passages(table(spark, sf_dir, "documents"), model, names)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.wrong_labels(_passages(spark, sf_dir))
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of each document with their letters and confidence."""
+    return langid.languages_of(_passages(spark, sf_dir)).drop("label", "total")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage in one language: where it stands, its letters, language and confidence."""
+    return _passages(spark, sf_dir).select("doc_id", F.posexplode("passages").alias("passage", "p")).select("doc_id", "passage", "p.*")
+
+
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily": p3_daily,
@@ -64,6 +93,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
+    "p8_passages": p8_passages,
 }
 
 _K = math.ceil(quantiles.LEVELS / quantiles.EPS)
@@ -75,16 +107,19 @@ _LONG = f"""
 SQL = {
     # exact percentiles, then the upper edge of the cell: equal as long as no day holds _K values of a group
     "p3_percentiles": f"""with {_LONG},
-      daily as (select mod_type, in_motif, metric, cast(sum(n // {_K}) * {quantiles.LEVELS} as bigint) as rank_error
-                from (select day, mod_type, in_motif, metric, count(*) as n from long group by all) group by all),
-      ranked as (select mod_type, in_motif, metric, v, row_number() over (partition by mod_type, in_motif, metric order by v) as r,
-                        count(*) over (partition by mod_type, in_motif, metric) as n from long),
-      wanted as (select mod_type, in_motif, metric, share, n, v from ranked, (select unnest([{', '.join(map(str, SHARES))}]::double[]) as share)
+      spans as (select *, 'day' as span, strftime(day, '%Y-%m-%d') as period from long union all
+                select *, 'month', strftime(day, '%Y-%m') from long union all select *, 'all', 'all' from long),
+      daily as (select span, period, mod_type, in_motif, metric, cast(sum(n // {_K}) * {quantiles.LEVELS} as bigint) as rank_error
+                from (select span, period, day, mod_type, in_motif, metric, count(*) as n from spans group by all) group by all),
+      ranked as (select span, period, mod_type, in_motif, metric, v, row_number() over (partition by span, period, mod_type, in_motif, metric order by v) as r,
+                        count(*) over (partition by span, period, mod_type, in_motif, metric) as n from spans),
+      wanted as (select span, period, mod_type, in_motif, metric, share, n, v from ranked, (select unnest([{', '.join(map(str, SHARES))}]::double[]) as share)
                  where r = greatest(1, ceil(round(share * n, 6))))
-      select w.mod_type, w.in_motif, w.metric, w.share, w.n,
+      select w.span, w.period, w.mod_type, w.in_motif, w.metric, w.share, w.n,
              cast(case when v < 2048 then v else (((v >> s) + 1) << s) - 1 end as bigint) as value, d.rank_error
       from (select *, cast(case when v < 2048 then 0 else floor(log2(v)) - 10 end as integer) as s from wanted) w
-      join daily d on d.metric = w.metric and d.mod_type is not distinct from w.mod_type and d.in_motif is not distinct from w.in_motif""",
+      join daily d on d.span = w.span and d.period = w.period and d.metric = w.metric
+        and d.mod_type is not distinct from w.mod_type and d.in_motif is not distinct from w.in_motif""",
     "p5_found": """select contig_id, result_id from (select contig_id, result_id,
         row_number() over (partition by contig_id order by score desc, motif, result_id) as r
         from motif_result where contig_id is not null and score is not null and not isnan(score)) where r <= 5""",
