@@ -79,7 +79,7 @@ _LANCZOS = (
 
 
 def lgamma(x: Column) -> Column:
-    """Logarithm of the gamma function of a positive number (reflected below one half)."""
+    """Logarithm of the gamma function of a positive number (reflected below one half); null for others."""
 
     def above(z: Column) -> Column:
         z = z - 1.0
@@ -89,7 +89,7 @@ def lgamma(x: Column) -> Column:
         t = z + 7.5
         return F.lit(0.9189385332046727) + (z + 0.5) * F.log(t) - t + F.log(series)
 
-    return F.when(x >= 0.5, above(x)).otherwise(F.log(F.pi() / F.sin(F.pi() * x)) - above(1.0 - x))
+    return F.when(x >= 0.5, above(x)).when(x > 0, F.log(F.pi() / F.sin(F.pi() * x)) - above(1.0 - x))
 
 
 def log_beta(a: Column, b: Column) -> Column:

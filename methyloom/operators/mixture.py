@@ -17,11 +17,11 @@ CLAMP = 1e-12
 def beta_moments(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, mean, variance, alpha, beta) by the method of moments; no coverage is skipped.
 
-    Without a record there is no row; without variance alpha and beta are null.
+    Without a record there is no row; with a variance below 1e-12 alpha and beta are null.
     """
     x = frac64(F.col("n_mod"), F.col("n_valid_cov"))
     stats = df.where("n_valid_cov > 0").groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"))
-    c = F.when(F.col("variance") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1)
+    c = F.when(F.col("variance") >= 1e-12, F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1)
     return stats.select(*by, "n", "mean", "variance", (F.col("mean") * c).alias("alpha"), ((1 - F.col("mean")) * c).alias("beta"))
 
 
@@ -77,8 +77,11 @@ def fit(df: DataFrame, models: DataFrame, by: list[str], penalty: float, iterati
 
 
 def seed_models(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pi, ta, tb, fa, fb): Beta(10, 1) at weight 0.01 against the Beta of all records, its beta at least 1.1."""
-    m = beta_moments(df, by).where("alpha is not null")
+    """(by, pi, ta, tb, fa, fb): Beta(10, 1) at weight 0.01 against the Beta of all records, its beta at least 1.1.
+
+    Groups whose moments give no positive alpha have no density, hence no seed.
+    """
+    m = beta_moments(df, by).where("alpha > 0")
     return m.select(*by, F.lit(0.01).alias("pi"), F.lit(10.0).alias("ta"), F.lit(1.0).alias("tb"), F.col("alpha").alias("fa"), F.greatest("beta", F.lit(1.1)).alias("fb"))
 
 
