@@ -79,9 +79,9 @@ def fit(df: DataFrame, models: DataFrame, by: list[str], penalty: float, iterati
 def seed_models(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, pi, ta, tb, fa, fb): Beta(10, 1) at weight 0.01 against the Beta of all records, its beta at least 1.1.
 
-    Groups whose moments give no positive alpha have no density, hence no seed.
+    Groups whose moments give an alpha of 1e-9 or less have no density, hence no seed.
     """
-    m = beta_moments(df, by).where("alpha > 0")
+    m = beta_moments(df, by).where("alpha > 1e-9")
     return m.select(*by, F.lit(0.01).alias("pi"), F.lit(10.0).alias("ta"), F.lit(1.0).alias("tb"), F.col("alpha").alias("fa"), F.greatest("beta", F.lit(1.1)).alias("fb"))
 
 

@@ -280,7 +280,7 @@ _PSSM = lambda source, name: f"""{name} as (select mod_type, o as "offset", b as
 _X = "cast(n_mod as double) / n_valid_cov"
 _MOMENTS = f"""stats as (select contig_id, mod_type, count(*) as n, avg({_X}) as mean, var_pop({_X}) as variance from pileup where n_valid_cov > 0 group by 1, 2),
   moments as (select *, mean * c as alpha, (1 - mean) * c as beta from (select *, case when variance >= 1e-12 then mean * (1 - mean) / variance - 1 end as c from stats)),
-  seeds as (select contig_id, mod_type, 0.01::double as pi, 10.0::double as ta, 1.0::double as tb, alpha as fa, greatest(beta, 1.1::double) as fb from moments where alpha > 0)"""
+  seeds as (select contig_id, mod_type, 0.01::double as pi, 10.0::double as ta, 1.0::double as tb, alpha as fa, greatest(beta, 1.1::double) as fb from moments where alpha > 1e-9)"""
 _LB = lambda a, b: f"(lgamma({a}) + lgamma({b}) - lgamma({a} + {b}))"
 _PDF = lambda a, b: f"(({a} - 1) * ln(x) + ({b} - 1) * ln(1 - x) - {_LB(a, b)})"
 _EM = lambda by, penalty: f"""terms as (select *, ln(pi) + {_PDF('ta', 'tb')} as lt, ln(1 - pi) + {_PDF('fa', 'fb')} + ln({penalty}) as lf from observed),
