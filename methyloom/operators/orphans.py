@@ -25,11 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from methyloom.session import month_of
-
 FOREVER = np.iinfo(np.int64).max
-PARENTS_PER_RANGE = 16_384
-REFERENCES_PER_BATCH = 250_000
+PARENTS_PER_RANGE = 4_096
+REFERENCES_PER_BATCH = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,7 +94,6 @@ def _references(references: Sequence[References]) -> DataFrame:
             F.col(f"`{r.row_id}`").cast("long").alias("row_id"),
             F.lit(r.kind).alias("kind"),
             F.col(f"`{r.key}`").cast("string").alias("key"),
-            F.col(f"`{r.time}`").cast("timestamp_ntz").alias("at"),
             _micros(r.time).alias("t"),
         )
         union = one if union is None else union.unionByName(one)
@@ -107,12 +104,18 @@ def _range(bits: int):
     return F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
 
 
+def _months(t: pa.ChunkedArray) -> pa.Array:
+    """yyyy-MM of microseconds."""
+    months = t.to_numpy().astype("datetime64[us]").astype("datetime64[M]")
+    return pa.array(months.astype(str), pa.string())
+
+
 def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
     """The references of a batch whose key does not exist at their time."""
-    out = ["src", "row_id", "at"]
+    found = lambda rows: pa.table({"src": rows["src"], "row_id": rows["row_id"], "ref_month": _months(rows["t"])})
     entries = pa.concat_arrays([x.values if isinstance(x, pa.ListArray) else x.flatten() for x in held["parents"].chunks]) if held.num_rows else None
     if entries is None or not len(entries) or not refs.num_rows:
-        return refs.select(out)
+        return found(refs)
     hashes, starts, ends = (entries.field(n).to_numpy(zero_copy_only=False) for n in ("hash", "start", "end"))
     names = pc.binary_join_element_wise(entries.field("kind"), entries.field("key"), "\x00")
     # the entries are sorted by (hash, kind, key, start); a group is one (kind, key)
@@ -141,7 +144,7 @@ def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
     inside = (group >= 0) & (spot >= 0)
     spot = np.where(inside, spot, 0)
     exists = inside & (entry_group[spot] == group) & (ends[spot] > t)
-    return refs.select(out).filter(pa.array(~exists))
+    return found(refs.filter(pa.array(~exists)))
 
 
 def orphans(parents: Sequence[Parents], references: Sequence[References], parents_per_range: int = PARENTS_PER_RANGE, references_per_batch: int = REFERENCES_PER_BATCH) -> DataFrame:
@@ -171,8 +174,8 @@ def orphans(parents: Sequence[Parents], references: Sequence[References], parent
     return (
         placed.groupBy("range", "salt")
         .cogroup(copies.groupBy("range", "salt"))
-        .applyInArrow(probe, "src int, row_id long, at timestamp_ntz")
-        .select(names[F.col("src")].alias("src_table"), "row_id", month_of("at").alias("ref_month"))
+        .applyInArrow(probe, "src int, row_id long, ref_month string")
+        .select(names[F.col("src")].alias("src_table"), "row_id", "ref_month")
     )
 
 

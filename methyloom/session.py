@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +34,3 @@ def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the unit in which operators size their fan-out."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
-
-def month_of(ts) -> F.Column:
-    """``yyyy-MM`` of a timestamp, whatever the session time zone."""
-    return F.substring(F.col(ts).cast("string") if isinstance(ts, str) else ts.cast("string"), 1, 7)
