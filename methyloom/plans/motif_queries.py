@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from methyloom.functions import iupac, measures
 from methyloom.functions import motif as mot
 from methyloom.operators import annotate as ann
-from methyloom.operators import mixture, windows
+from methyloom.operators import mixture, search, windows
 from methyloom.operators import occurrences as occ
 from methyloom.operators.occurrences import MOTIF
 from methyloom.plans import inputs
@@ -242,6 +242,14 @@ def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(seeds, ["contig_id", "mod_type"]).select("contig_id", *MOTIF, "high_count", "low_count", *(F.round(v, 6).alias(n) for n, v in forms.items()))
 
 
+def q_search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.discover_by_counts(inputs.pileup(spark, sf_dir), inputs.sequences(spark, sf_dir))
+
+
+def q_search_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.discover_by_mixture(inputs.pileup(spark, sf_dir), inputs.sequences(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -249,6 +257,7 @@ QUERIES = {
         q_motif_positions_fwd, q_motif_positions_rev, q_motif_positions_overlap, q_annotate, q_summary, q_missing_sequences,
         q_records_of_motifs, q_records_removed, q_level_counts, q_windows, q_background, q_window_match, q_window_exclude,
         q_pssm, q_kl, q_beta_moments, q_seed_models, q_em_step, q_mixture_stats, q_scores,
+        q_search_count, q_search_mixture,
     )
 }
 
