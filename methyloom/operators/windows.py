@@ -92,15 +92,15 @@ def pssm(windows: DataFrame, by: list[str], flank: int, pseudocount: float = 0.0
 
     Equal windows are counted before they are taken apart.
     """
-    kmers = windows.groupBy(*by, "kmer").agg(F.count("*").alias("n"))
+    kmers = windows.groupBy(*by, "kmer").agg(F.count("*").alias("__n"))
     offsets = F.explode(F.sequence(F.lit(0), F.lit(2 * flank))).alias("offset")
-    at = kmers.select(*by, "kmer", "n", offsets)
+    at = kmers.select(*by, "kmer", "__n", offsets)
     base = F.substr(F.col("kmer"), F.col("offset") + 1, F.lit(1))
-    sums = [F.coalesce(F.sum(F.when(base == b, F.col("n"))), F.lit(0)).alias(b) for b in "ACGT"]
-    counts = at.groupBy(*by, "offset").agg(F.sum("n").alias("total"), *sums)
-    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in "ACGT"])).alias("b")
-    freq = (F.col("b.n") + pseudocount) / (F.col("total") + 4 * pseudocount)
-    return counts.select(*by, "offset", "total", rows).select(*by, "offset", "b.base", freq.alias("freq"))
+    sums = [F.coalesce(F.sum(F.when(base == b, F.col("__n"))), F.lit(0)).alias(f"__{b}") for b in "ACGT"]
+    counts = at.groupBy(*by, "offset").agg(F.sum("__n").alias("__total"), *sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"__{b}").alias("n")) for b in "ACGT"])).alias("__b")
+    freq = (F.col("__b.n") + pseudocount) / (F.col("__total") + 4 * pseudocount)
+    return counts.select(*by, "offset", "__total", rows).select(*by, "offset", F.col("__b.base").alias("base"), freq.alias("freq"))
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:

@@ -9,8 +9,9 @@ from methyloom.functions.measures import Levels, level
 from methyloom.operators import clean
 from methyloom.operators import quarantine as quar
 from methyloom.plans import inputs
-from methyloom.plans.quality_queries import _FIELDS, _INT, _MODS
+from methyloom.plans.quality_queries import _FIELDS, _INT, _MODS, _SHAPE
 from methyloom.session import table
+from methyloom.streaming import arrivals
 
 GROUP = ["contig_id", "mod_type", "strand"]
 #: The window, the number of highly modified positions and their fraction; coverage as by default.
@@ -38,6 +39,12 @@ def q_contig_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.contig_runs(lines.dropDuplicates(["src_file", "line_no", "contig_id"]), "src_file", "line_no")
 
 
+def q_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and misshapen lines per file and day of arrival: the stream's aggregate over all that has arrived."""
+    counted = arrivals.arrivals_per_window(table(spark, sf_dir, "pileup_lines"))
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "src_file", "n_lines", "n_misshapen")
+
+
 def q_list_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.raw_pileup(spark, sf_dir).select("contig_id").distinct()
 
@@ -82,7 +89,7 @@ def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leveled(spark, sf_dir).groupBy(*GROUP, "level").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (q_scan_min_cov, q_parse_codes, q_contig_runs, q_list_contigs, q_fraction_diff, q_dedupe_last_wins, q_max_mod, q_strict_cov, q_density_window, q_preprocess, q_bed_fields, q_levels)}
+QUERIES = {f.__name__: f for f in (q_scan_min_cov, q_parse_codes, q_contig_runs, q_arrivals, q_list_contigs, q_fraction_diff, q_dedupe_last_wins, q_max_mod, q_strict_cov, q_density_window, q_preprocess, q_bed_fields, q_levels)}
 
 F32 = "cast(n_mod as float) / cast(n_valid_cov as float)"
 _COLS = ", ".join(clean.COLUMNS)
@@ -109,6 +116,8 @@ SQL = {
           window w as (partition by src_file order by line_no)),
         runs as (select *, cast(sum(s) over (partition by src_file order by line_no) as bigint) as run from marked)
       select src_file, run, contig_id, min(line_no) as first_line, max(line_no) as last_line, count(*) as n_records from runs group by 1, 2, 3""",
+    "q_arrivals": f"""select strftime(received_at, '%Y-%m-%d') as day, src_file, count(*) as n_lines,
+      count(*) filter (not regexp_full_match(raw_line, '{_SHAPE}')) as n_misshapen from pileup_lines group by 1, 2""",
     "q_list_contigs": f"with {inputs.RAW} select distinct contig_id from raw",
     "q_fraction_diff": f"""with {inputs.RAW} select rec_id, contig_id, position, n_diff, n_valid_cov from raw
       where n_valid_cov > 0 and cast(n_diff as float) / cast(n_diff + n_valid_cov as float) >= cast(0.1 as float)""",
