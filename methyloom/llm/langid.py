@@ -288,7 +288,7 @@ def _fuse(languages: list[str], rates: dict[str, float]):
             new[1:] = (best[1:] != best[:-1]) | (of[1:] != of[:-1])
             first = np.flatnonzero(new)
             total = np.add.reduceat(letters, first) if len(first) else np.empty(0, np.int64)
-            last = np.r_[first[1:], len(best)] - 1
+            last = np.r_[first[1:], len(best)][: len(first)] - 1  # none in a batch without passages
             confidence = np.add.reduceat(sure, first) / total if len(first) else np.empty(0)
             out = pa.StructArray.from_arrays(
                 [pa.array(get("from")[first]), pa.array(get("to")[last].astype(np.int32)), pa.array(total.astype(np.int32)), pa.array(languages).take(pa.array(best[first])), pa.array(confidence)],

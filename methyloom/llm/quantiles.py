@@ -42,7 +42,8 @@ def _magnitude(x: Column) -> Column:
 def cell_of(value: Column) -> Column:
     """The cell of an integer value, in the order of the values."""
     v = F.least(F.greatest(value.cast("long"), F.lit(-_LIMIT - 1)), F.lit(_LIMIT))
-    return F.when(v >= 0, F.lit(_HALF) + _magnitude(v)).otherwise(F.lit(_HALF - 1) - _magnitude(-v - 1)).cast("int")
+    cell = F.when(v >= 0, F.lit(_HALF) + _magnitude(v)).otherwise(F.lit(_HALF - 1) - _magnitude(-v - 1))
+    return F.when(value.isNotNull(), cell.cast("int"))
 
 
 def _edge(c: Column) -> Column:
