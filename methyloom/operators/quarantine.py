@@ -6,7 +6,8 @@ errors leaves. Everything stays in JVM expressions; only failing cells are shuff
 
 Defined results
   * a null line is a case (``missing_line``); an empty line has one field, hence a wrong count;
-  * cell rules apply only to lines of the right shape, because columns shift otherwise;
+  * fields are counted only where the quoting is sound, and cell rules apply only to lines with the
+    right number of fields, because columns shift otherwise;
   * the key identifies the row: rows that share a key (a null key included) share one verdict;
   * other columns of the input are kept whatever they are called (internal names are reserved by
     the prefix ``__q_``); an empty table gives empty results.
@@ -112,17 +113,18 @@ def parsed(lines: DataFrame, line: str, n_fields: int) -> DataFrame:
 
 
 def cells(lines: DataFrame, key: str, line: str, rules: Sequence[Rule], n_fields: int) -> DataFrame:
-    """(row, column, value) of the two shape cells and of each cell that a rule names."""
+    """(row, column, value): of a sound line the cells that rules name, of another the cell that tells why not."""
     columns = sorted({r.column for r in rules})
-    shape = [
-        F.struct(F.lit(FIELD_COUNT).alias("c"), F.col("__q_n").cast("string").alias("v")),
-        F.struct(F.lit(QUOTING).alias("c"), F.col("__q_quoting").alias("v")),
-    ]
-    ruled = [F.struct(F.lit(c).alias("c"), F.get("__q_fields", F.lit(c)).alias("v")) for c in columns]
-    whole = (F.col("__q_n") == n_fields) & (F.col("__q_quoting") == "ok")
+    cell = lambda c, v: F.struct(F.lit(c).alias("c"), v.alias("v"))
+    ruled = F.array(*[cell(c, F.get("__q_fields", F.lit(c))) for c in columns])
+    shown = (
+        F.when(F.col("__q_quoting") != "ok", F.array(cell(QUOTING, F.col("__q_quoting"))))
+        .when(F.col("__q_n") != n_fields, F.array(cell(FIELD_COUNT, F.col("__q_n").cast("string"))))
+        .otherwise(ruled)
+    )
     return (
         parsed(lines.select(key, line), line, n_fields)
-        .select(key, F.explode(F.when(whole, F.array(*ruled)).otherwise(F.array(*shape))).alias("__q_cell"))
+        .select(key, F.explode(shown).alias("__q_cell"))
         .select(key, F.col("__q_cell.c").alias("__q_column"), F.col("__q_cell.v").alias("__q_value"))
     )
 

@@ -132,7 +132,15 @@ _EXISTS = """
   misses as (select src_table, row_id, strftime(t, '%Y-%m') as ref_month from refs r where key is not null and t is not null
              and not exists (select 1 from parents p where p.kind = r.kind and p.key = r.key and p.s <= r.t and (p.e is null or p.e > r.t)))"""
 
+_QUOTED = f"(?s){_ANY}(?:\\t{_ANY})*"
+
 SQL = {
+    "p1_errors": f"""with {_FIELDS}, reasons as (select src_file, unnest([
+          case when raw_line is null then 'missing_line' end, case when not regexp_full_match(raw_line, '{_QUOTED}') then 'broken_quoting' end,
+          case when not whole and regexp_full_match(raw_line, '{_QUOTED}') then 'wrong_field_count' end,
+          case when whole and bad_position then 'invalid_position' end, case when whole and bad_mod then 'invalid_mod_type' end,
+          case when whole and bad_strand then 'invalid_strand' end, case when whole and bad_n_mod then 'invalid_n_mod' end]) as reason from judged)
+      select src_file, reason, count(*) as n from reasons where reason is not null group by 1, 2""",
     "p1_found": f"with {_FIELDS} select line_id from judged where not whole or bad_position or bad_mod or bad_strand or bad_n_mod",
     "p1_records": f"""with {_FIELDS} select line_id, contig_id, {_INT('position')} as position, strand, {_MODS} as mod_type, {_INT('n_mod')} as n_mod,
         {_INT('cov')} as n_valid_cov, {_INT('can')} as n_canonical, {_INT('diff')} as n_diff
