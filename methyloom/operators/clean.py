@@ -51,25 +51,40 @@ def strongest_modification(df: DataFrame) -> DataFrame:
     return df.withColumn("__top", top).where(F.col("n_mod") == F.col("__top")).drop("__top")
 
 
-def without_dense_neighbourhoods(df: DataFrame, window: int, n_high: int, fraction: float) -> DataFrame:
+BUCKET = 1 << 16
+
+
+def without_dense_neighbourhoods(df: DataFrame, window: int, n_high: int, fraction: float, bucket: int = BUCKET) -> DataFrame:
     """Drop all records within ``window`` of a position around which ``n_high`` or more are highly modified.
 
-    Both passes use the same frame, so one exchange and one sort serve them. A contig is a window
-    partition per modification and strand; after the key dedupe it has one record per position.
+    Both passes use the same frame, so one exchange and one sort serve them. A contig is cut into
+    buckets of positions, each with the records up to two windows beyond its ends, so that a contig
+    that holds most records is not one task; the copies are dropped again.
     """
-    frame = Window.partitionBy("contig_id", "mod_type", "strand").orderBy("position").rangeBetween(-window, window)
+    if window < 0 or 2 * window >= bucket:
+        raise ValueError("the window must be shorter than half a bucket")
+    own = F.floor(F.col("position") / bucket)
+    offset = F.col("position") - own * bucket
+    places = F.array_compact(F.array(own, F.when(offset < 2 * window, own - 1), F.when(offset + 2 * window >= bucket, own + 1)))
+    frame = Window.partitionBy("contig_id", "mod_type", "strand", "__bucket").orderBy("position").rangeBetween(-window, window)
     high = F.coalesce(frac32(F.col("n_mod"), F.col("n_valid_cov")) > f32(fraction), F.lit(False)).cast("int")
     return (
-        df.withColumn("__high", F.sum(high).over(frame))
+        df.withColumn("__bucket", F.explode(places))
+        .withColumn("__high", F.sum(high).over(frame))
         .withColumn("__dense", F.max((F.col("__high") >= n_high).cast("int")).over(frame))
-        .where(F.col("__dense") == 0)
-        .drop("__high", "__dense")
+        .where((F.col("__dense") == 0) & (F.col("__bucket") == own))
+        .drop("__bucket", "__high", "__dense")
     )
 
 
 def clean(df: DataFrame, order: list[Column], options: CleanOptions = CleanOptions()) -> DataFrame:
-    """Scan coverage, key dedupe, strongest modification, strict coverage, density windows: in this order."""
-    scanned = last_wins(min_coverage(df, options.scan_min_cov), order)
+    """Scan coverage, key dedupe, strongest modification, strict coverage, density windows: in this order.
+
+    Records are placed by (contig, position, strand) once: that serves the dedupe and the comparison
+    of modifications, and a contig of any size spreads over all partitions.
+    """
+    placed = min_coverage(df, options.scan_min_cov).repartition("contig_id", "position", "strand")
+    scanned = last_wins(placed, order)
     strong = strict_coverage(strongest_modification(scanned), options.min_cov)
     return without_dense_neighbourhoods(strong, options.window, options.n_high, options.fraction).select(*COLUMNS)
 

@@ -33,7 +33,7 @@ def test_density_window_brute_force(spark):
         near = [r for r in rows if r[0] == c and r[2] == s and abs(r[1] - p) <= 8]
         if sum(r[5] > 0 and r[4] / r[5] > 0.4 for r in near) >= 2:
             dropped |= {(r[0], r[1], r[2]) for r in near}
-    got = {(r.contig_id, r.position, r.strand) for r in clean.without_dense_neighbourhoods(records(spark, rows), 8, 2, 0.4).collect()}
+    got = {(r.contig_id, r.position, r.strand) for r in clean.without_dense_neighbourhoods(records(spark, rows), 8, 2, 0.4, bucket=17).collect()}
     assert got == {(r[0], r[1], r[2]) for r in rows} - dropped
 
 
