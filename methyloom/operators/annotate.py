@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from methyloom.functions.measures import f32, frac32
 from methyloom.functions.modcodes import canonical_mod_type
 from methyloom.functions.motif import is_valid_col, pretty_col
-from methyloom.operators.clean import COLUMNS
+from methyloom.operators.clean import COLUMNS, KEY
 from methyloom.operators.occurrences import MOTIF
 
-AT = ["contig_id", "strand", "position", "mod_type"]
-
 
 def bin_motif_set(bin_motifs: DataFrame) -> DataFrame:
     """(bin, motif): forward and complement motifs of each bin that are valid, each once."""
@@ -57,11 +55,12 @@ def annotate(records: DataFrame, found: DataFrame) -> DataFrame:
     """Records with ``in_motif`` and the sorted, comma-joined pretty motifs at their position.
 
     Occurrences are gathered per position before the join, so no record is repeated; the join is on
-    position too, so a contig that holds most records spreads over all partitions.
+    position too, so a contig that holds most records spreads over all partitions, and in the order
+    of the record key, so that records which the key dedupe has placed are not moved again.
     """
     pretty = pretty_col(F.col("motif_seq"), F.col("mod_type"), F.col("mod_position"))
-    at = found.groupBy(*AT).agg(F.array_join(F.sort_array(F.collect_set(pretty)), ",").alias("motifs"))
-    joined = records.join(at, AT, "left")
+    at = found.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set(pretty)), ",").alias("motifs"))
+    joined = records.join(at, KEY, "left")
     return joined.select(*COLUMNS, F.col("motifs").isNotNull().alias("in_motif"), F.coalesce("motifs", F.lit("")).alias("motifs"))
 
 
