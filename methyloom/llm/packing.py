@@ -14,6 +14,8 @@ result is the same in every run; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -76,6 +78,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.ascontiguousarray(table[:, i]) for i in range(5))
 
 
+ITEMS_PER_SHARD = 500_000
 _SHIFT = 48  # ranks stay below 2 ** 48, sizes below 2 ** 15
 
 
@@ -85,7 +88,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         raise ValueError("the capacity must lie between 1 and 32767")
     # written once: the plan and the placing must see the same sizes, and these may cost an encoding
     items = checkpointed(sizes.select(F.col(f"`{key}`").alias("key"), F.col(f"`{size}`").cast("long").alias("whole")).where("whole > 0"))
-    shards = parallelism(sizes.sparkSession)
+    # a size that most items share is ranked in shards of about ITEMS_PER_SHARD, whatever their number
+    shards = max(parallelism(sizes.sparkSession), math.ceil(items.count() / ITEMS_PER_SHARD))
     parts = (
         items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(whole - 1) div {capacity}"))))
         .withColumn("first", F.col("part") * capacity)
