@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FOREVER = np.iinfo(np.int64).max
+FOREVER = "9999-12-31 23:59:59.999999"
 PARENTS_PER_RANGE = 4_096
 REFERENCES_PER_BATCH = 100_000
 
@@ -53,9 +53,9 @@ class References:
     time: str
 
 
-def _micros(name: str):
-    """Microseconds of a timestamp without zone, or of one with zone in UTC, as a long."""
-    return F.expr(f"unix_micros(to_utc_timestamp(cast(`{name}` as timestamp), current_timezone()))")
+def _wall(name: str):
+    """A time as it reads on the wall: the session's time zone plays no part in comparing such times."""
+    return F.col(f"`{name}`").cast("timestamp_ntz")
 
 
 def _hash(kind, key):
@@ -73,8 +73,8 @@ def existence(parents: Sequence[Parents]) -> DataFrame:
         one = p.df.where(F.col(f"`{p.key}`").isNotNull() & F.col(f"`{p.start}`").isNotNull()).select(
             F.lit(p.kind).alias("kind"),
             F.col(f"`{p.key}`").cast("string").alias("key"),
-            _micros(p.start).alias("start"),
-            F.coalesce(_micros(p.end), F.lit(int(FOREVER))).alias("end"),
+            _wall(p.start).alias("start"),
+            F.coalesce(_wall(p.end), F.lit(FOREVER).cast("timestamp_ntz")).alias("end"),
         )
         union = one if union is None else union.unionByName(one)
     merged = union.where(F.col("end") > F.col("start")).groupBy("kind", "key", "start").agg(F.max("end").alias("end"))
@@ -94,7 +94,7 @@ def _references(references: Sequence[References]) -> DataFrame:
             F.col(f"`{r.row_id}`").cast("long").alias("row_id"),
             F.lit(r.kind).alias("kind"),
             F.col(f"`{r.key}`").cast("string").alias("key"),
-            _micros(r.time).alias("t"),
+            _wall(r.time).alias("t"),
         )
         union = one if union is None else union.unionByName(one)
     return union.withColumn("hash", _hash(F.col("kind"), F.col("key")))
@@ -104,9 +104,13 @@ def _range(bits: int):
     return F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
 
 
+def _micros(times) -> np.ndarray:
+    return times.cast(pa.int64()).to_numpy(zero_copy_only=False) if isinstance(times, pa.Array) else times.cast(pa.int64()).to_numpy()
+
+
 def _months(t: pa.ChunkedArray) -> pa.Array:
-    """yyyy-MM of microseconds."""
-    months = t.to_numpy().astype("datetime64[us]").astype("datetime64[M]")
+    """yyyy-MM of times."""
+    months = _micros(t).astype("datetime64[us]").astype("datetime64[M]")
     return pa.array(months.astype(str), pa.string())
 
 
@@ -116,7 +120,7 @@ def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
     entries = pa.concat_arrays([x.values if isinstance(x, pa.ListArray) else x.flatten() for x in held["parents"].chunks]) if held.num_rows else None
     if entries is None or not len(entries) or not refs.num_rows:
         return found(refs)
-    hashes, starts, ends = (entries.field(n).to_numpy(zero_copy_only=False) for n in ("hash", "start", "end"))
+    hashes, starts, ends = entries.field("hash").to_numpy(), _micros(entries.field("start")), _micros(entries.field("end"))
     names = pc.binary_join_element_wise(entries.field("kind"), entries.field("key"), "\x00")
     # the entries are sorted by (hash, kind, key, start); a group is one (kind, key)
     same = np.zeros(len(hashes), dtype=bool)
@@ -139,7 +143,7 @@ def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
     width = len(ladder) + 1
     entry_group = np.cumsum(~same) - 1
     composite = entry_group * width + np.searchsorted(ladder, starts, "right")
-    t = refs["t"].to_numpy()
+    t = _micros(refs["t"])
     spot = np.searchsorted(composite, group * width + np.searchsorted(ladder, t, "right"), "right") - 1
     inside = (group >= 0) & (spot >= 0)
     spot = np.where(inside, spot, 0)

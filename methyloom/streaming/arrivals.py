@@ -34,7 +34,9 @@ def split_arrivals(lines: DataFrame, records_path: str, failures_path: str, chec
 
 def arrivals_per_window(lines: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
     """Lines, and lines of the wrong shape, per file and window of arrival; later lines than ``late`` are dropped."""
-    shaped = quar.parsed(lines.select("src_file", F.col("received_at").cast("timestamp").alias("received_at"), "raw_line"), "raw_line", quar.PILEUP_FIELDS)
+    # a stream's watermark needs an instant; a batch stays with wall time, whatever the session's zone
+    arrived = F.col("received_at").cast("timestamp") if lines.isStreaming else F.col("received_at")
+    shaped = quar.parsed(lines.select("src_file", arrived.alias("received_at"), "raw_line"), "raw_line", quar.PILEUP_FIELDS)
     broken = F.count(F.when((F.col("__q_n") != quar.PILEUP_FIELDS) | (F.col("__q_quoting") != "ok"), 1))
     return (
         shaped.withWatermark("received_at", late)

@@ -31,6 +31,18 @@ def test_against_brute_force(spark, sizes):
     assert run(spark, parents, refs, **sizes) == brute(parents, refs)
 
 
+def test_the_session_time_zone_plays_no_part(spark):
+    parents, refs = [("a", 5, 9)], [("a", t / 24) for t in range(0, 24 * 40)]
+    want = brute(parents, refs)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert run(spark, parents, refs) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_bounds_of_an_interval(spark):
     parents, refs = [("a", 5, 9), ("b", 5, 5), ("c", None, None)], [("a", 4), ("a", 5), ("a", 8), ("a", 9), ("b", 5), ("c", 50)]
     assert {i for i, _ in run(spark, parents, refs)} == {0, 3, 4, 5}
