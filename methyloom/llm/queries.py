@@ -120,6 +120,11 @@ SQL = {
       from (select *, cast(case when v < 2048 then 0 else floor(log2(v)) - 10 end as integer) as s from wanted) w
       join daily d on d.span = w.span and d.period = w.period and d.metric = w.metric
         and d.mod_type is not distinct from w.mod_type and d.in_motif is not distinct from w.in_motif""",
+    # the nodes of a day are its cells as long as no day holds _K values of a group
+    "p3_daily": f"""with {_LONG}, edged as (select *, case when v < 2048 then v else (((v >> s) + 1) << s) - 1 end as edge from
+        (select *, cast(case when v < 2048 then 0 else floor(log2(v)) - 10 end as integer) as s from long))
+      select day, mod_type, in_motif, metric, count(*) as n, count(distinct edge) as n_nodes, cast(count(*) // {_K} * {quantiles.LEVELS} as bigint) as rank_error
+      from edged group by day, mod_type, in_motif, metric""",
     "p5_found": """select contig_id, result_id from (select contig_id, result_id,
         row_number() over (partition by contig_id order by score desc, motif, result_id) as r
         from motif_result where contig_id is not null and score is not null and not isnan(score)) where r <= 5""",
