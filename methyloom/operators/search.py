@@ -31,6 +31,7 @@ from methyloom.functions.motif import subsets
 from methyloom.operators import mixture
 from methyloom.operators.occurrences import MOTIF, level_counts, occurrences
 from methyloom.operators.windows import background_windows, oriented, windows_at
+from methyloom.session import checkpointed
 
 GROUP = ["contig_id", "mod_type"]
 
@@ -248,6 +249,7 @@ def discover_by_counts(records: DataFrame, sequences: DataFrame, options: CountO
         return pd.DataFrame(rows, columns=["contig_id", "mod_type", "motif_seq", "mod_position", "score"])
 
     found = counts.groupBy(*GROUP).applyInPandas(run, "contig_id string, mod_type string, motif_seq string, mod_position int, score double")
+    found = checkpointed(found)  # read twice below: once for the counts, once for the scores
     at = occurrences(sequences, found)
     counted = level_counts(leveled, at if options.both_strands else at.where("strand = '+'"))
     return found.join(counted, ["contig_id", *MOTIF], "left").select(
