@@ -12,19 +12,31 @@ from pyspark.sql import functions as F
 from methyloom.functions.iupac import reverse_complement_col
 from methyloom.functions.modcodes import MOD_BASE
 
-TILE = 4096
+TILE = 512
+COARSE = 128 * TILE
 
 
 def tiles(sequences: DataFrame, flank: int) -> DataFrame:
-    """(contig_id, tile, length, start, piece): pieces of TILE bases with ``flank`` more on both sides."""
-    off = F.col("tile") * TILE
-    start = F.greatest(off - flank, F.lit(0))
-    return (
+    """(contig_id, tile, length, start, piece): pieces of TILE bases with ``flank`` more on both sides.
+
+    A substring walks its text from the start, so sequences are cut coarsely first, then finely.
+    """
+    last = lambda size: F.floor((F.col("length") - 1) / size)
+    begin = lambda at: F.greatest(at - flank, F.lit(0))
+    cut = lambda text, first, n: F.substr(text, (first + 1).cast("int"), n.cast("int"))
+    off, fine = F.col("coarse") * COARSE, F.col("tile") * TILE
+    coarse = (
         sequences.where("seq is not null and seq <> ''")
         .withColumn("length", F.length("seq").cast("long"))
-        .withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / TILE))))
-        .select("contig_id", "tile", "length", start.alias("start"), F.substr("seq", (start + 1).cast("int"), (off + TILE + flank - start).cast("int")).alias("piece"))
+        .withColumn("coarse", F.explode(F.sequence(F.lit(0).cast("long"), last(COARSE))))
+        .select("contig_id", "length", "coarse", begin(off).alias("from"), cut(F.col("seq"), begin(off), off + COARSE + flank - begin(off)).alias("text"))
     )
+    per = COARSE // TILE
+    within = F.sequence(F.col("coarse") * per, F.least((F.col("coarse") + 1) * per - 1, last(TILE)))
+    return coarse.withColumn("tile", F.explode(within)).select(
+        "contig_id", "tile", "length", begin(fine).alias("start"),
+        cut(F.col("text"), begin(fine) - F.col("from"), fine + TILE + flank - begin(fine)).alias("piece"),
+    )
 
 
 def _cut(center: Column, flank: int) -> Column:

@@ -52,14 +52,15 @@ def test_bin_motifs_of_a_file(spark):
     assert {(r.motif_seq, r.mod_position) for r in ann.bin_motif_set(df).collect()} == {("GATC", 1), ("RGATCY", 2), ("GAGNNT", 1), ("ANNCTC", 0)}
 
 
-def test_windows_across_tiles(spark):
+def test_windows_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(windows, "COARSE", 2 * windows.TILE)
     random.seed(2)
-    text = "".join(random.choices("ACGT", k=windows.TILE * 2 + 57))
+    text = "".join(random.choices("ACGT", k=windows.TILE * 5 + 57))
     seq = spark.createDataFrame([("c", text), ("short", "AC"), ("empty", "")], "contig_id string, seq string")
     back = windows.background_windows(seq, 3).where("mod_type = '6mA' and strand = '+'").collect()
     assert {(r.position, r.kmer) for r in back} == {(i, text[i - 3 : i + 4]) for i in range(3, len(text) - 3) if text[i] == "A"}
-    at = spark.createDataFrame([("c", p) for p in (0, 2, 3, windows.TILE - 1, windows.TILE, len(text) - 4, len(text) - 3)], "contig_id string, position long")
-    assert {(r.position, r.kmer) for r in windows.windows_at(at, seq, 3).collect()} == {(p, text[p - 3 : p + 4]) for p in (3, windows.TILE - 1, windows.TILE, len(text) - 4)}
+    at = spark.createDataFrame([("c", p) for p in (0, 2, 3, windows.TILE - 1, windows.TILE, 2 * windows.TILE, len(text) - 4, len(text) - 3)], "contig_id string, position long")
+    assert {(r.position, r.kmer) for r in windows.windows_at(at, seq, 3).collect()} == {(p, text[p - 3 : p + 4]) for p in (3, windows.TILE - 1, windows.TILE, 2 * windows.TILE, len(text) - 4)}
 
 
 def test_pssm_and_divergence(spark):
