@@ -59,6 +59,10 @@ class MixtureOptions:
     min_motif_records: int = 10
 
 
+_INDICATORS = 4_000_000
+_SUBSETS = np.array([[float(mask >> i & 1) for i in range(4)] for mask in range(16)])
+
+
 class _Windows:
     """Distinct windows of a group as columns of bases; motifs as base masks per offset (15 where free)."""
 
@@ -71,6 +75,8 @@ class _Windows:
         base = codes[text]
         self.bits = np.ascontiguousarray(np.array([1, 2, 4, 8, 0], np.uint8)[base].T)
         self._cell = base.astype(np.int16) + 5 * np.arange(self.width, dtype=np.int16)
+        # few windows are tallied by a product with their indicators, many by counting
+        self._hot = (base[:, :, None] == np.arange(4)).reshape(len(base), -1).astype(float) if base.size * 4 <= _INDICATORS else None
 
     def match(self, motif: tuple[int, ...], free: int = -1) -> np.ndarray:
         """Which windows match; the offset ``free`` is not looked at."""
@@ -80,10 +86,14 @@ class _Windows:
                 hit &= (self.bits[i] & mask) != 0
         return hit
 
-    def tally(self, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weight of the given windows per (offset, A C G T)."""
+    def tally(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of the weights (window, kind) of the given windows per (offset, A C G T, kind)."""
+        own = weights[rows]
+        if self._hot is not None:
+            return (self._hot[rows].T @ own).reshape(self.width, 4, -1)
         cells = self._cell[rows].ravel()
-        return np.bincount(cells, np.repeat(weight[rows], self.width), 5 * self.width).reshape(-1, 5)[:, :4]
+        sums = [np.bincount(cells, np.repeat(w, self.width), 5 * self.width).reshape(-1, 5)[:, :4] for w in own.T]
+        return np.stack(sums, axis=2)
 
     def text(self, motif: tuple[int, ...], extent: tuple[int, int]) -> tuple[str, int]:
         return "".join(_CODE[m] for m in motif[extent[0] : extent[1] + 1]), self.flank - extent[0]
@@ -94,22 +104,23 @@ class _Windows:
         Outside the motif one tally of the parent's windows answers for all sets; at a base of the
         motif the set joins what is there, so windows that fit elsewhere are looked at again.
         """
-        outer = [self.tally(rows, w) for w in weights]
+        outer = self.tally(rows, weights)
         for at in offsets:
             inside = extent[0] <= at <= extent[1]
-            tallies = outer
+            used, tallied = rows, outer
             if inside:
                 if motif[at] == 15:
                     continue  # joining bases to N leaves the motif as it is
-                again = np.flatnonzero(self.match(motif, free=at))
-                tallies = [self.tally(again, w) for w in weights]
+                used = np.flatnonzero(self.match(motif, free=at))
+                tallied = self.tally(used, weights)
+            per_mask = _SUBSETS @ tallied[at]
+            left, right = min(extent[0], at), max(extent[1], at)
             for mask in masks_at(at):
                 joined = mask | motif[at] if inside else mask
                 if inside and joined == motif[at]:
                     continue
-                new = (*motif[:at], joined, *motif[at + 1 :])
-                sums = [sum(float(t[at, i]) for i in range(4) if joined >> i & 1) for t in tallies] if joined != 15 else [float(w[again if inside else rows].sum()) for w in weights]
-                yield new, (min(extent[0], at), max(extent[1], at)), sums
+                sums = per_mask[joined] if joined != 15 else weights[used].sum(axis=0)  # N takes any character
+                yield (*motif[:at], joined, *motif[at + 1 :]), (left, right), sums.tolist()
 
 
 def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -132,10 +143,10 @@ def _seed(windows: _Windows, mod_type: str):
 def count_search(pdf: pd.DataFrame, o: CountOptions) -> list[tuple[str, int, float]]:
     """(sequence, position, score) of the motifs of one group, in the order found."""
     windows = _Windows(pdf["kmer"], o.flank)
-    background, methylated = pdf["background"].to_numpy(float).copy(), pdf["methylated"].to_numpy(float).copy()
-    levels = pdf["high"].to_numpy(float), pdf["low"].to_numpy(float)
+    background, methylated = (pdf[[c]].to_numpy(float).copy() for c in ("background", "methylated"))
+    levels = pdf[["high", "low"]].to_numpy(float)
     seed, extent = _seed(windows, pdf["mod_type"].iloc[0])
-    seed_high, seed_low = (w[windows.match(seed)].sum() for w in levels)
+    seed_high, seed_low = levels[windows.match(seed)].sum(axis=0)
     seed_odds = (seed_high + 1) / (seed_low + 1)
     results = []
     while methylated.any():
@@ -148,9 +159,9 @@ def count_search(pdf: pd.DataFrame, o: CountOptions) -> list[tuple[str, int, flo
             n_background, n_methylated = background[rows].sum(), methylated[rows].sum()
             if not (n_background and n_methylated):
                 continue
-            mean, sd = _shape(*(w[rows].sum() for w in levels))
-            p = windows.tally(rows, methylated) / n_methylated
-            wide = _divergence(p, windows.tally(rows, background) / n_background) > o.min_kl
+            mean, sd = _shape(*levels[rows].sum(axis=0).tolist())
+            p = windows.tally(rows, methylated)[:, :, 0] / n_methylated
+            wide = _divergence(p, windows.tally(rows, background)[:, :, 0] / n_background) > o.min_kl
             masks = lambda at: [sum(c) for c in subsets(1 << i for i in range(4) if p[at, i] > o.min_base_freq)]  # noqa: B023, E731
             for new, new_span, (high, low) in windows.children(motif, span, rows, levels, np.flatnonzero(wide).tolist(), masks):
                 new_mean, new_sd = _shape(high, low)
@@ -180,7 +191,7 @@ def mixture_search(pdf: pd.DataFrame, o: MixtureOptions) -> list[tuple[str, int,
     """(sequence, position, score, pi, alpha, beta) of the motifs of one group, in the order found."""
     windows = _Windows(pdf["kmer"], o.flank)
     methylated = pdf["methylated"].to_numpy()
-    sums = [pdf[c].to_numpy(float).copy() for c in ("n", "w", "wx", "wxx")]
+    sums = pdf[["n", "w", "wx", "wxx"]].to_numpy(float).copy()
     seed, extent = _seed(windows, pdf["mod_type"].iloc[0])
 
     def fit(count, weight, wx, wxx):
@@ -192,7 +203,7 @@ def mixture_search(pdf: pd.DataFrame, o: MixtureOptions) -> list[tuple[str, int,
         return (weight / count, mean * common, (1 - mean) * common, mean) if common > 0 else None
 
     results, low_scores = [], 0
-    while sums[0].sum() >= o.min_records and low_scores <= o.max_low_score:
+    while sums[:, 0].sum() >= o.min_records and low_scores <= o.max_low_score:
         seen, queue, order, since = {(seed, extent)}, [(0.0, 0, seed, extent)], 0, 0
         best = (0.0, seed, extent, None)
         while queue and since <= o.max_rounds:
@@ -213,9 +224,7 @@ def mixture_search(pdf: pd.DataFrame, o: MixtureOptions) -> list[tuple[str, int,
                 order += 1
                 heapq.heappush(queue, (-score, order, new, new_span))
         score, motif, span, model = best
-        gone = windows.match(motif)
-        for counts in sums:
-            counts[gone] = 0
+        sums[windows.match(motif)] = 0
         if score > o.min_score:
             results.append((*windows.text(motif, span), score, *model[:3]))
             low_scores = 0
@@ -243,7 +252,7 @@ def discover_by_counts(records: DataFrame, sequences: DataFrame, options: CountO
     counts = background.join(observed, [*GROUP, "kmer"], "full").join(active, GROUP, "left_semi").fillna(0, ["background", *sums])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = count_search(pdf, options)
+        found = count_search(pdf.sort_values("kmer"), options)
         first = pdf.iloc[0]
         rows = [(first["contig_id"], first["mod_type"], s, p, x) for s, p, x in found]
         return pd.DataFrame(rows, columns=["contig_id", "mod_type", "motif_seq", "mod_position", "score"])
@@ -286,12 +295,13 @@ def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: Mixtu
         .select(*GROUP, "strand", "position", "level", "x", "r")
     )
     r = F.col("r")
-    sums = {"methylated": F.count(F.when(F.col("level") == "High", 1)), "n": F.count("*"), "w": F.sum(r), "wx": F.sum(r * x), "wxx": F.sum(r * x * x)}
+    total = lambda c: F.round(F.sum(c), 10)  # noqa: E731  (a sum's last bits depend on the order of its rows)
+    sums = {"methylated": F.count(F.when(F.col("level") == "High", 1)), "n": F.count("*"), "w": total(r), "wx": total(r * x), "wxx": total(r * x * x)}
     observed, active = _observed_windows(weighed, sequences, options.flank, sums, both_strands=False)
     counts = observed.join(active, GROUP, "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = mixture_search(pdf, options)
+        found = mixture_search(pdf.sort_values("kmer"), options)
         first = pdf.iloc[0]
         rows = [(first["contig_id"], first["mod_type"], *f) for f in found]
         return pd.DataFrame(rows, columns=["contig_id", "mod_type", "motif_seq", "mod_position", "score", "pi", "true_alpha", "true_beta"])
