@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ class MixtureOptions:
     min_motif_records: int = 10
 
 
+_FOUND = pa.schema([(n, pa.string()) for n in (*GROUP, "motif_seq")] + [("mod_position", pa.int32())] + [(n, pa.float64()) for n in ("score", "pi", "true_alpha", "true_beta")])
 _INDICATORS = 4_000_000
 _SUBSETS = np.array([[float(mask >> i & 1) for i in range(4)] for mask in range(16)])
 
@@ -187,46 +190,127 @@ def count_search(pdf: pd.DataFrame, o: CountOptions) -> list[tuple[str, int, flo
     return results
 
 
-def mixture_search(pdf: pd.DataFrame, o: MixtureOptions) -> list[tuple[str, int, float, float, float, float]]:
-    """(sequence, position, score, pi, alpha, beta) of the motifs of one group, in the order found."""
-    windows = _Windows(pdf["kmer"], o.flank)
-    methylated = pdf["methylated"].to_numpy()
-    sums = pdf[["n", "w", "wx", "wxx"]].to_numpy(float).copy()
-    seed, extent = _seed(windows, pdf["mod_type"].iloc[0])
+class _Records:
+    """Records of a group on the forward reading of their contig; bases are looked up in the contig."""
+
+    def __init__(self, sequence: str, position: np.ndarray, flank: int):
+        codes = np.full(256, 4, np.uint8)
+        for i, base in enumerate("ACGT"):
+            codes[ord(base)] = i
+        text = np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)
+        self.length, self.flank, self.width = len(text), flank, 2 * flank + 1
+        self._text = np.append(codes[text], np.uint8(4))  # the last stands for all that lies outside
+        self.position = position
+        self.bits = np.array([1, 2, 4, 8, 0], np.uint8)[np.stack([self._bases(position, at) for at in range(self.width)])]
+
+    def _bases(self, position: np.ndarray, at) -> np.ndarray:
+        i = position + (at - self.flank)
+        return self._text[np.where((i >= 0) & (i < self.length), i, self.length)]
+
+    def inner(self) -> np.ndarray:
+        """Which records have a window that no end of the contig cuts."""
+        return (self.position >= self.flank) & (self.position + self.flank < self.length)
+
+    def match(self, motif: tuple[int, ...], extent: tuple[int, int], free: int = -1) -> np.ndarray:
+        """Which records lie on the motif, all of it within the contig; the offset ``free`` is not looked at."""
+        hit = (self.position + (extent[0] - self.flank) >= 0) & (self.position + (extent[1] - self.flank) < self.length)
+        for i, mask in enumerate(motif):
+            if mask != 15 and i != free:
+                hit &= (self.bits[i] & mask) != 0
+        return hit
+
+    def tally(self, rows: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Sums of the weights (record, kind) of the given records per (offset, A C G T, kind)."""
+        sums = np.zeros((len(offsets), 4, weights.shape[1]))
+        step = max(1, _INDICATORS // (4 * len(offsets)))
+        for first in range(0, len(rows), step):
+            some = rows[first : first + step]
+            bases = self._bases(self.position[some], offsets[:, None])
+            for base in range(4):
+                sums[:, base] += (bases == base).astype(float) @ weights[some]
+        return sums
+
 
-    def fit(count, weight, wx, wxx):
-        if count < o.min_motif_records or weight <= 0:
+def mixture_search(sequence: str, mod_type: str, records: dict[str, np.ndarray], o: MixtureOptions) -> list[tuple[str, int, float, float, float, float]]:
+    """(sequence, position, score, pi, alpha, beta) of the motifs of one group, in the order found.
+
+    ``records`` holds all records of the group: position, high (of the high level on the plus strand),
+    valid (has a responsibility), x and r. As upstream, a motif has the records of both strands at its
+    forward positions. The gate counts every record that no motif has removed.
+    """
+    windows = _Records(sequence, records["position"], o.flank)
+    seed, extent = _seed(windows, mod_type)
+    methylated = records["high"] & windows.inner() & windows.match(seed, extent)
+    if not methylated.any():
+        return []
+    mantissa, exponent = np.frexp(np.where(records["valid"], records["r"], 0.0))
+    r = np.ldexp(np.round(np.ldexp(mantissa, 36)), exponent - 36)  # the last bits differ from run to run
+    x = np.where(records["valid"], records["x"], 0.0)
+    left = np.ones(len(r), bool)
+    sums = np.stack([left.astype(float), records["valid"].astype(float), r, r * x, r * x * x], axis=1)
+
+    def fit(n, valid, weight, wx, wxx):
+        if n < o.min_motif_records or weight <= 0:
             return None
         mean = wx / weight
         variance = wxx / weight - mean * mean
         common = mean * (1 - mean) / variance - 1 if variance >= 1e-12 else 0.0
-        return (weight / count, mean * common, (1 - mean) * common, mean) if common > 0 else None
+        return (weight / valid, mean * common, (1 - mean) * common, mean) if common > 0 else None
+
+    def children(motif, span, rows, rounds):
+        """(motif, extent, model) of each growth by a base at the offsets that are open.
+
+        At a base of the motif the new base joins what is there, so other records are looked at again.
+        """
+        offsets = np.arange(min(2 * rounds + 1, windows.width))
+        outer = windows.tally(rows, sums, offsets)
+        for at in offsets.tolist():
+            inside = span[0] <= at <= span[1]
+            per_base = outer[at]
+            if inside:
+                if motif[at] == 15:
+                    continue  # joining bases to N leaves the motif as it is
+                used = np.flatnonzero(windows.match(motif, span, free=at))
+                per_base = windows.tally(used, sums, np.array([at]))[0]
+            for base in range(4):
+                mask = joined = 1 << base
+                totals = per_base[base]
+                if inside:
+                    joined |= motif[at]
+                    if joined == motif[at]:
+                        continue
+                    totals = _SUBSETS[joined] @ per_base if joined != 15 else sums[used].sum(axis=0)  # N takes any character
+                model = fit(*totals.tolist())
+                if model is not None:
+                    yield (*motif[:at], joined if inside else mask, *motif[at + 1 :]), (min(span[0], at), max(span[1], at)), model
 
     results, low_scores = [], 0
-    while sums[:, 0].sum() >= o.min_records and low_scores <= o.max_low_score:
+    while left.sum() >= o.min_records and low_scores <= o.max_low_score:
         seen, queue, order, since = {(seed, extent)}, [(0.0, 0, seed, extent)], 0, 0
         best = (0.0, seed, extent, None)
         while queue and since <= o.max_rounds:
             _, _, motif, span = heapq.heappop(queue)
             since += 1
-            rows = np.flatnonzero(windows.match(motif))
-            if not methylated[rows].any():  # its windows are background windows too, and neither set is ever reduced
+            hit = windows.match(motif, span)
+            if not (methylated & hit).any():  # its windows are background windows too, and neither set is ever reduced
                 continue
-            offsets = range(min(2 * since + 1, windows.width))
-            for new, new_span, totals in windows.children(motif, span, rows, sums, offsets, lambda _: (1, 2, 4, 8)):
-                model = None if (new, new_span) in seen else fit(*totals)
-                if model is None:
+            for new, new_span, model in children(motif, span, np.flatnonzero(hit & left), since):
+                if (new, new_span) in seen:
                     continue
-                score = round(model[0] * model[3], 9)  # sums differ in their last bits from run to run
+                score = round(model[0] * model[3], 9)
                 if score > best[0]:
                     best, since = (score, new, new_span, model), 0
                 seen.add((new, new_span))
                 order += 1
                 heapq.heappush(queue, (-score, order, new, new_span))
         score, motif, span, model = best
-        sums[windows.match(motif)] = 0
+        hit = windows.match(motif, span)
+        if score <= o.min_score and not (hit & left).any():
+            break  # nothing changes, so every further search would end alike
+        sums[hit], left[hit] = 0, False
         if score > o.min_score:
-            results.append((*windows.text(motif, span), score, *model[:3]))
+            text = "".join(_CODE[m] for m in motif[span[0] : span[1] + 1])
+            results.append((text, o.flank - span[0], score, *model[:3]))
             low_scores = 0
         else:
             low_scores += 1
@@ -283,31 +367,34 @@ def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: Mixtu
     models = fitted.select(*GROUP, "pi", F.col("alpha").alias("ta"), F.col("beta").alias("tb")).join(seeds.select(*GROUP, "fa", "fb"), GROUP)
     logged = models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
     x = F.col("x")
+    lt = F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt"))
+    lf = F.log(1 - F.col("pi")) + beta_log_pdf(x, F.col("fa"), F.col("fb"), F.col("lbf")) + F.log(F.lit(options.penalty))
+    high = (level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels) == "High") & (F.col("strand") == "+")
     weighed = (
-        records.where("n_valid_cov > 0")
-        .withColumn("level", level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels))
-        .withColumn("x", F.least(F.greatest(frac64(F.col("n_mod"), F.col("n_valid_cov")), F.lit(mixture.CLAMP)), F.lit(1 - mixture.CLAMP)))
+        records.withColumn("x", F.when(F.col("n_valid_cov") > 0, F.least(F.greatest(frac64(F.col("n_mod"), F.col("n_valid_cov")), F.lit(mixture.CLAMP)), F.lit(1 - mixture.CLAMP))))
         .join(logged, GROUP)
-        .withColumn("lt", F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt")))
-        .withColumn("lf", F.log(1 - F.col("pi")) + beta_log_pdf(x, F.col("fa"), F.col("fb"), F.col("lbf")) + F.log(F.lit(options.penalty)))
-        .where("lt is not null and lf is not null")
-        .withColumn("r", F.exp(F.col("lt") - log_sum_exp(F.col("lt"), F.col("lf"))))
-        .select(*GROUP, "strand", "position", "level", "x", "r")
+        .withColumn("r", F.exp(lt - log_sum_exp(lt, lf)))
+        .select(*GROUP, "position", "strand", F.coalesce(high, F.lit(False)).alias("high"), "x", "r")
     )
-    r = F.col("r")
-    total = lambda c: F.round(F.sum(c), 10)  # noqa: E731  (a sum's last bits depend on the order of its rows)
-    sums = {"methylated": F.count(F.when(F.col("level") == "High", 1)), "n": F.count("*"), "w": total(r), "wx": total(r * x), "wxx": total(r * x * x)}
-    observed, active = _observed_windows(weighed, sequences, options.flank, sums, both_strands=False)
-    counts = observed.join(active, GROUP, "left_semi")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = mixture_search(pdf.sort_values("kmer"), options)
-        first = pdf.iloc[0]
-        rows = [(first["contig_id"], first["mod_type"], *f) for f in found]
-        return pd.DataFrame(rows, columns=["contig_id", "mod_type", "motif_seq", "mod_position", "score", "pi", "true_alpha", "true_beta"])
+    # records without a responsibility (no coverage) count in the gates, as every record of the group does
+    active = weighed.where("high").select(*GROUP).distinct()
+    rows = weighed.join(active, GROUP, "left_semi")
+    texts = sequences.where("seq is not null").select("contig_id", "seq").join(active, "contig_id")
+    texts = texts.select(F.col("contig_id").alias("contig"), F.col("mod_type").alias("kind"), "seq")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list = []
+        if left.num_rows and right.num_rows:
+            left = left.sort_by([("position", "ascending"), ("strand", "ascending")])
+            column = {n: left.column(n) for n in ("position", "high", "x", "r")}
+            known = {"valid": pc.and_(pc.is_valid(column["x"]), pc.is_valid(column["r"])).to_numpy()}
+            known |= {n: c.fill_null(0).to_numpy() if n in ("x", "r") else c.to_numpy() for n, c in column.items()}
+            keys = [left.column(n)[0].as_py() for n in GROUP]
+            out = [(*keys, *f) for f in mixture_search(right.column("seq")[0].as_py(), keys[1], known, options)]
+        return pa.table({f.name: pa.array([row[i] for row in out], f.type) for i, f in enumerate(_FOUND)}, schema=_FOUND)
 
     schema = "contig_id string, mod_type string, motif_seq string, mod_position int, score double, pi double, true_alpha double, true_beta double"
-    found = counts.groupBy(*GROUP).applyInPandas(run, schema)
+    found = rows.groupBy(*GROUP).cogroup(texts.groupBy("contig", "kind")).applyInArrow(run, schema)
     false = seeds.select(*GROUP, F.col("fa").alias("false_alpha"), F.col("fb").alias("false_beta"))
     return found.join(false, GROUP).select(
         "contig_id",

@@ -137,3 +137,33 @@ def test_standalone_scores(spark):
     assert mixture.score_single_motifs(marked, ["contig_id", "mod_type", "motif"]).first().n > 0
     models = mixture.seed_models(recs, ["contig_id"])
     assert mixture.standalone_fit(recs, models, ["contig_id"], 2).count() == 1
+
+
+def _group(spark, n_plus, n_minus):
+    """A contig with ``n_plus`` plus-strand and ``n_minus`` minus-strand records; GATC is methylated on the plus strand."""
+    random.seed(5)
+    text = "".join(random.choice(["GATC", "TTAC", "CTCA", "GCTG"]) for _ in range(400))
+    hits = {m.start() + 1 for m in re.finditer("(?=GATC)", text)}
+    plus = [i for i, b in enumerate(text) if b == "A" and 4 <= i < len(text) - 4][:n_plus]
+    minus = [i for i, b in enumerate(text) if b == "T"][:n_minus]
+    rows = [("c", i, "+", "6mA", 16 + i // 4 % 3 if i in hits else i % 3, 20, 2, 0) for i in plus]
+    rows += [("c", i, "-", "6mA", i % 3, 20, 2, 0) for i in minus]
+    return spark.createDataFrame([("c", text)], "contig_id string, seq string"), spark.createDataFrame(rows, PILE)
+
+
+def test_gate_of_the_mixture_search_counts_all_records(spark):
+    seq, recs = _group(spark, 45, 20)
+    assert search.discover_by_mixture(recs, seq).count() > 0  # 65 records, 45 of them on the plus strand
+    few_seq, few = _group(spark, 30, 19)
+    assert search.discover_by_mixture(few, few_seq).count() == 0  # 49 records
+
+
+def test_mixture_search_keeps_records_at_the_ends(spark):
+    text = "GATC" + "CTTC" * 60 + "GATC"
+    position = np.array([1, *(i for i in range(5, 5 + 60)), len(text) - 3])
+    r = search._Records(text, position, 4)
+    g, a = 0b0100, 0b0001
+    gat = (15, 15, 15, g, a, 8, 15, 15, 15)
+    assert np.flatnonzero(r.match(gat, (3, 5))).tolist() == [0, len(position) - 1]
+    assert np.flatnonzero(r.match(gat, (2, 5))).tolist() == [len(position) - 1]  # NGAT does not fit at the start
+    assert r.inner()[[0, -1]].tolist() == [False, False]
