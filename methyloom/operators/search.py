@@ -211,12 +211,17 @@ class _Records:
         """Which records have a window that no end of the contig cuts."""
         return (self.position >= self.flank) & (self.position + self.flank < self.length)
 
-    def match(self, motif: tuple[int, ...], extent: tuple[int, int], free: int = -1) -> np.ndarray:
-        """Which records lie on the motif, all of it within the contig; the offset ``free`` is not looked at."""
+    def match(self, motif: tuple[int, ...], extent: tuple[int, int], far: int = 0, free: int = -1) -> np.ndarray:
+        """Which records lie on the motif, all of it within the contig; the offset ``free`` is not looked at.
+
+        ``far`` is the base of a motif that ends right of the window, 0 without one.
+        """
         hit = (self.position + (extent[0] - self.flank) >= 0) & (self.position + (extent[1] - self.flank) < self.length)
         for i, mask in enumerate(motif):
             if mask != 15 and i != free:
                 hit &= (self.bits[i] & mask) != 0
+        if far:
+            hit &= self._bases(self.position, extent[1]) == far.bit_length() - 1
         return hit
 
     def tally(self, rows: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -258,13 +263,14 @@ def mixture_search(sequence: str, mod_type: str, records: dict[str, np.ndarray],
         return (weight / valid, mean * common, (1 - mean) * common, mean) if common > 0 else None
 
     def children(motif, span, rows, rounds):
-        """(motif, extent, model) of each growth by a base at the offsets that are open.
+        """(motif, extent, far base, model) of each growth by a base at the offsets that are open.
 
         At a base of the motif the new base joins what is there, so other records are looked at again.
+        Offsets open further right than the window reaches; nothing lies beyond the contig.
         """
-        offsets = np.arange(min(2 * rounds + 1, windows.width))
+        offsets = np.arange(min(2 * rounds + 1, windows.length + windows.flank))
         outer = windows.tally(rows, sums, offsets)
-        for at in offsets.tolist():
+        for at in offsets[: windows.width].tolist():
             inside = span[0] <= at <= span[1]
             per_base = outer[at]
             if inside:
@@ -282,34 +288,43 @@ def mixture_search(sequence: str, mod_type: str, records: dict[str, np.ndarray],
                     totals = _SUBSETS[joined] @ per_base if joined != 15 else sums[used].sum(axis=0)  # N takes any character
                 model = fit(*totals.tolist())
                 if model is not None:
-                    yield (*motif[:at], joined if inside else mask, *motif[at + 1 :]), (min(span[0], at), max(span[1], at)), model
+                    yield (*motif[:at], joined if inside else mask, *motif[at + 1 :]), (min(span[0], at), max(span[1], at)), 0, model
+        far = outer[windows.width :]
+        for at, base in np.argwhere((far[:, :, 0] >= o.min_motif_records) & (far[:, :, 2] > 0)).tolist():
+            model = fit(*far[at, base].tolist())
+            if model is not None:
+                yield motif, (span[0], windows.width + at), 1 << base, model
 
     results, low_scores = [], 0
     while left.sum() >= o.min_records and low_scores <= o.max_low_score:
-        seen, queue, order, since = {(seed, extent)}, [(0.0, 0, seed, extent)], 0, 0
-        best = (0.0, seed, extent, None)
+        seen, queue, order, since = {(seed, extent, 0)}, [(0.0, 0, seed, extent, 0)], 0, 0
+        best = (0.0, seed, extent, 0, None)
         while queue and since <= o.max_rounds:
-            _, _, motif, span = heapq.heappop(queue)
+            _, _, motif, span, far = heapq.heappop(queue)
             since += 1
+            if far:  # as upstream, what is longer than the windows grows no further
+                continue
             hit = windows.match(motif, span)
             if not (methylated & hit).any():  # its windows are background windows too, and neither set is ever reduced
                 continue
-            for new, new_span, model in children(motif, span, np.flatnonzero(hit & left), since):
-                if (new, new_span) in seen:
+            for new, new_span, new_far, model in children(motif, span, np.flatnonzero(hit & left), since):
+                if (new, new_span, new_far) in seen:
                     continue
                 score = round(model[0] * model[3], 9)
                 if score > best[0]:
-                    best, since = (score, new, new_span, model), 0
-                seen.add((new, new_span))
+                    best, since = (score, new, new_span, new_far, model), 0
+                seen.add((new, new_span, new_far))
                 order += 1
-                heapq.heappush(queue, (-score, order, new, new_span))
-        score, motif, span, model = best
-        hit = windows.match(motif, span)
+                heapq.heappush(queue, (-score, order, new, new_span, new_far))
+        score, motif, span, far, model = best
+        hit = windows.match(motif, span, far)
         if score <= o.min_score and not (hit & left).any():
             break  # nothing changes, so every further search would end alike
         sums[hit], left[hit] = 0, False
         if score > o.min_score:
             text = "".join(_CODE[m] for m in motif[span[0] : span[1] + 1])
+            if far:
+                text += "N" * (span[1] - windows.width) + _CODE[far]
             results.append((text, o.flank - span[0], score, *model[:3]))
             low_scores = 0
         else:

@@ -167,3 +167,14 @@ def test_mixture_search_keeps_records_at_the_ends(spark):
     assert np.flatnonzero(r.match(gat, (3, 5))).tolist() == [0, len(position) - 1]
     assert np.flatnonzero(r.match(gat, (2, 5))).tolist() == [len(position) - 1]  # NGAT does not fit at the start
     assert r.inner()[[0, -1]].tolist() == [False, False]
+
+
+def test_mixture_search_reaches_beyond_the_window():
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("ACGT"), 6000))
+    position = np.array([i for i, b in enumerate(text) if b == "A" and i + 7 < len(text)])
+    high = np.array([text[i + 7] == "G" for i in position])
+    x = np.where(high, 0.8 + 0.05 * (position % 4), 0.02 + 0.01 * (position % 3))
+    records = {"position": position, "high": high, "valid": np.ones(len(x), bool), "x": x, "r": np.where(high, 0.99, 0.001)}
+    found = search.mixture_search(text, "6mA", records, search.MixtureOptions(max_rounds=20))
+    assert any(len(s) > p + 7 and s[p + 7] == "G" for s, p, *_ in found)
