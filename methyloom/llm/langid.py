@@ -9,8 +9,8 @@ the markup and in the response headers counts by how often such declarations agr
 rate that is also aggregated over all documents. The posterior of a passage combines these with the
 share of each language in its own document, which is refined for a few rounds.
 
-The corpus is read once by the text model; what it finds per passage (the best languages and their
-margins) is written to the shared folder and joined with the priors of its host, salted, since one
+The corpus is read once by the text model; what it finds per passage (how far each language lies
+behind the likeliest) is written to the shared folder and joined with the priors of its host, salted, since one
 host may hold a third of all documents.
 
 Defined results: null, empty and letterless texts have no passage and no language; every letter of a
@@ -34,7 +34,6 @@ from methyloom.session import checkpointed
 MAX_SAMPLES = 20_000
 ORDERS = 4
 ALPHA = 1.0
-TOP = 4
 _MISREAD = 0.05
 _CACHED_TOKENS, _CACHED_CHARS = 200_000, 20_000_000  # a worker forgets beyond these, it skips nothing
 HOST_WEIGHT = 5.0  # documents that each level of the address counts as for the level below
@@ -219,11 +218,11 @@ def declared_languages(page: Column, headers: Column, names: dict[str, str]) ->
     return {"markup": named_language(markup, names), "header": named_language(header, names)}
 
 
-_PASSAGE = "struct<`from`:int,`to`:int,letters:int,l0:tinyint,l1:tinyint,l2:tinyint,l3:tinyint,d1:float,d2:float,d3:float>"
+_PASSAGE = "struct<`from`:int,`to`:int,letters:int,behind:array<float>>"
 
 
 def _read_texts(model):
-    """Per document its passages, each with its likeliest languages and how far they lie behind the first."""
+    """Per document its passages, each with how far every language lies behind the likeliest."""
 
     def run(batches):
         reader = Reader(model.value)
@@ -236,17 +235,15 @@ def _read_texts(model):
                     found.append(passages)
                     counts[i + 1] = len(passages[0])
             start, stop, letters, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3 + (np.empty((0, k)),)
-            first = np.argsort(-scores, axis=1)[:, :TOP]
-            best = np.take_along_axis(scores, first, axis=1)
-            behind = (best[:, :1] - best).astype(np.float32)
+            behind = (scores.max(axis=1, keepdims=True) - scores).astype(np.float32)
             fields = [pa.array(x.astype(np.int32)) for x in (start, stop, letters)]
-            fields += [pa.array(first[:, i].astype(np.int8)) for i in range(TOP)] + [pa.array(behind[:, i]) for i in range(1, TOP)]
-            names = ["from", "to", "letters", *(f"l{i}" for i in range(TOP)), *(f"d{i}" for i in range(1, TOP))]
+            fields.append(pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * k), pa.array(behind.ravel())))
+            names = ["from", "to", "letters", "behind"]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.StructArray.from_arrays(fields, names))
             # the language of most letters, by the text alone
             of = np.repeat(np.arange(batch.num_rows), counts[1:])
             held = np.zeros((batch.num_rows, k))
-            np.add.at(held, (of, first[:, 0]), letters)
+            np.add.at(held, (of, behind.argmin(axis=1)), letters)
             main = pa.array(held.argmax(axis=1).astype(np.int8), mask=counts[1:] == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], main, lists], names=[*batch.schema.names[:-1], "main", "passages"])
 
@@ -276,14 +273,10 @@ def _fuse(languages: list[str], rates: dict[str, float]):
             items = lists.flatten()
             get = lambda name: items.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             letters, of = get("letters"), np.repeat(np.arange(n), counts)
-            rows = np.arange(len(letters))
-            # languages beyond the kept ones lie a little behind the last of these
-            scores = np.repeat(-(get(f"d{TOP - 1}") + 1.0)[:, None], k, axis=1).astype(np.float64)
-            for i in range(TOP):
-                scores[rows, get(f"l{i}")] = -get(f"d{i}") if i else 0.0
+            scores = -items.field("behind").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, k)
             post = posterior(scores, letters, of, prior)
             best = post.argmax(axis=1) if len(post) else np.empty(0, np.int64)
-            sure = post[rows, best] * letters
+            sure = post[np.arange(len(best)), best] * letters
             new = np.ones(len(best), bool)
             new[1:] = (best[1:] != best[:-1]) | (of[1:] != of[:-1])
             first = np.flatnonzero(new)

@@ -124,3 +124,24 @@ def test_priors_are_smoothed_along_the_address(spark):
     assert set(p) == {"a.x.pt", "b.x.pt", "c.y.de"} and all(abs(sum(r.prior) - 1) < 1e-9 and r.n_all == 36 for r in p.values())
     # a host of one document leans on its domain, another suffix does not
     assert p["b.x.pt"].prior[0] > 0.5 > p["c.y.de"].prior[0] and p["a.x.pt"].prior[0] > p["b.x.pt"].prior[0]
+
+
+def test_every_language_is_fused_with_its_own_likelihood(model):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    reader, k = langid.Reader(model), len(model.languages)
+    read = langid._read_texts(SimpleNamespace(value=model))
+    for text in ("Fresh soup and bread every day", "Das Haus ist heute geschlossen"):
+        scores, letters = reader.passages(text)[3].astype(float), reader.passages(text)[2]
+        batch = next(read([pa.RecordBatch.from_pydict({"key": [1], "label": ["en"], "text": [text]})]))
+        for favoured in range(k):
+            prior = np.full((1, k), 1e-4)
+            prior[0, favoured] = 1.0
+            prior /= prior.sum()
+            placed = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prior.tolist())], names=[*batch.schema.names, "prior"])
+            got = next(langid._fuse(model.languages, {})([placed])).column(2).to_pylist()[0][0]
+            want = langid.posterior(scores, letters, np.zeros(1, int), prior)[0]
+            assert got["lang"] == model.languages[want.argmax()] and abs(got["confidence"] - want.max()) < 1e-4
