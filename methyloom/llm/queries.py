@@ -18,7 +18,8 @@ _GROUPS = ["mod_type", "in_motif"]
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "annotated_records_multiple")
-    groups = {"mod_type": canonical_mod_type(F.col("mod_type")), "in_motif": F.col("in_motif")}
+    mod_type = F.col("mod_type")
+    groups = {"mod_type": F.coalesce(canonical_mod_type(mod_type), mod_type), "in_motif": F.col("in_motif")}
     return quantiles.digests(records, F.to_date("called_at"), groups, ["n_mod", "n_valid_cov"])
 
 
