@@ -62,15 +62,17 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule], n_fields: int) -> Dat
 
 
 # Pieces between tabs are gathered into fields: a field that begins with a quote runs to the piece
-# at which the number of quotes seen in it becomes even. Spans keep the first ``n_fields`` fields.
+# at which the number of quotes seen in it becomes even. Spans keep the first ``n_fields`` fields,
+# ``sound`` tells of all of them.
 _SPANS = """
 aggregate(__q_pieces,
-  named_struct('n', 0, 'i', 0, 'first', 0, 'quotes', 0, 'spans', cast(array() as array<struct<a:int,b:int>>)),
+  named_struct('n', 0, 'i', 0, 'first', 0, 'quotes', 0, 'sound', true, 'spans', cast(array() as array<struct<a:int,b:int>>)),
   (s, p) -> named_struct(
     'n', s.n + if({closed}, 1, 0),
     'i', s.i + 1,
     'first', if({closed}, s.i + 1, s.first),
     'quotes', if({closed}, 0, {quotes}),
+    'sound', s.sound and if({closed} and (s.quotes > 0 or startswith(p, '"')), {sound}, true),
     'spans', if({closed} and s.n < {n_fields},
                 concat(s.spans, array(named_struct('a', s.first, 'b', s.i))), s.spans)))
 """
@@ -84,13 +86,14 @@ def parsed(lines: DataFrame, line: str, n_fields: int) -> DataFrame:
     together again; such a field is sound if it ends in a quote and holds only doubled ones inside.
     """
     closed = f"({_QUOTES}) % 2 = 0"
-    spans = _SPANS.format(closed=closed, quotes=_QUOTES, n_fields=n_fields)
+    inner = "replace(substring({f}, 2, length({f}) - 2), '\"\"', '{to}')"
+    whole = "array_join(slice(__q_pieces, s.first + 1, s.i - s.first + 1), '\t')"
+    sound = f"(length({whole}) >= 2 and endswith({whole}, '\"') and not contains({inner.format(f=whole, to='')}, '\"'))"
+    spans = _SPANS.format(closed=closed, quotes=_QUOTES, sound=sound, n_fields=n_fields)
     split = lines.withColumn("__q_pieces", F.split(F.col(line), "\t", -1))
     quoted = F.contains(F.col(line), F.lit('"'))
     scanned = split.withColumn("__q_scan", F.when(quoted, F.expr(spans)))
     raw = "transform(__q_scan.spans, s -> array_join(slice(__q_pieces, s.a + 1, s.b - s.a + 1), '\t'))"
-    inner = "replace(substring(f, 2, length(f) - 2), '\"\"', '{to}')"
-    sound = f"(not startswith(f, '\"') or (length(f) >= 2 and endswith(f, '\"') and not contains({inner.format(to='')}, '\"')))"
     with_raw = scanned.withColumn("__q_raw", F.expr(raw))
     return with_raw.select(
         *(F.col(f"`{c}`") for c in lines.columns),
@@ -98,14 +101,14 @@ def parsed(lines: DataFrame, line: str, n_fields: int) -> DataFrame:
         F.when(F.col(line).isNull(), "missing")
         .when(~quoted, "ok")
         .when(
-            (F.col("__q_scan.quotes") == 0) & F.expr(f"forall(__q_raw, f -> {sound})"),
+            (F.col("__q_scan.quotes") == 0) & F.col("__q_scan.sound"),
             "ok",
         )
         .otherwise("broken")
         .alias("__q_quoting"),
         F.when(
             quoted,
-            F.expr(f"transform(__q_raw, f -> if(startswith(f, '\"'), {inner.format(to=chr(34))}, f))"),
+            F.expr(f"transform(__q_raw, f -> if(startswith(f, '\"'), {inner.format(f='f', to=chr(34))}, f))"),
         )
         .otherwise(F.col("__q_pieces"))
         .alias("__q_fields"),

@@ -90,3 +90,10 @@ def test_empty_and_repeated_keys(spark):
     twice = spark.createDataFrame([(1, line()), (1, "bad"), (None, "bad"), (None, line()), (2, line())], "line_id long, raw_line string")
     records, errors = quar.load_pileup(twice)
     assert [r.line_id for r in records.collect()] == [2] and errors.count() == 2
+
+
+def test_unsound_quotes_beyond_the_last_field_break_the_quoting(spark):
+    lines = ["\t".join([*GOOD, '"a"b"']), "\t".join([*GOOD, '"a""b"']), "\t".join([*GOOD, "x", '"a\tb"c"'])]
+    assert [scan(s) is None for s in lines] == [True, False, True]
+    got = {r.line_id: r.reasons for r in quar.row_errors(frame(spark, lines), "line_id", "raw_line").collect()}
+    assert got == {0: ["broken_quoting"], 1: ["wrong_field_count"], 2: ["broken_quoting"]}
