@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 from methyloom.functions.modcodes import canonical_mod_type
 from methyloom.llm import langid, packing, quantiles, tokenise, topn
-from methyloom.session import table
+from methyloom.session import checkpointed, table
 
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 CAPACITY = 2048
 _GROUPS = ["mod_type", "in_motif"]
 
 
-def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "annotated_records_multiple")
+COARSE = 0.2
+_VALUES = ["n_mod", "n_valid_cov"]
+
+
+def _by_group() -> dict:
     mod_type = F.col("mod_type")
-    groups = {"mod_type": F.coalesce(canonical_mod_type(mod_type), mod_type), "in_motif": F.col("in_motif")}
-    return quantiles.digests(records, F.to_date("called_at"), groups, ["n_mod", "n_valid_cov"])
+    return {"mod_type": F.coalesce(canonical_mod_type(mod_type), mod_type), "in_motif": F.col("in_motif")}
+
+
+def _digests(spark: SparkSession, sf_dir: str, eps: float = quantiles.EPS) -> DataFrame:
+    records = table(spark, sf_dir, "annotated_records_multiple")
+    return quantiles.digests(records, F.to_date("called_at"), _by_group(), _VALUES, eps)
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,17 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _digests(spark, sf_dir).select("*", F.explode(spans).alias("s"))
     groups = ["span", "period", *_GROUPS]
     merged = quantiles.merge(nodes.select("s.span", F.col("s.of").alias("period"), *_GROUPS, "metric", "node", "n", "rank_error"), groups)
-    return quantiles.percentiles(merged, groups, SHARES)
+    return quantiles.percentiles(merged, groups, SHARES).drop("low")
+
+
+def p3_rank_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles over all days from digests that compress strongly, each held against the rows: is its rank within the bound?"""
+    found = quantiles.percentiles(quantiles.merge(_digests(spark, sf_dir, COARSE), _GROUPS), _GROUPS, SHARES)
+    ranked = quantiles.ranks(table(spark, sf_dir, "annotated_records_multiple"), _by_group(), checkpointed(found))
+    target = F.greatest(F.lit(1), F.ceil(F.round(F.col("share") * F.col("n"), 6)))
+    within = (F.col("n_upto") >= target) & (F.col("n_below") < target + F.greatest("rank_error", F.lit(1)))
+    bounded = F.col("rank_error") <= COARSE * F.col("n")
+    return ranked.select(*_GROUPS, "metric", "share", "n", "rank_error", (within & bounded).alias("within_bound"))
 
 
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +107,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily": p3_daily,
+    "p3_rank_bound": p3_rank_bound,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
@@ -99,7 +117,8 @@ QUERIES = {
     "p8_passages": p8_passages,
 }
 
-_K = math.ceil(quantiles.LEVELS / quantiles.EPS)
+_LEVELS = quantiles.LONG.levels
+_K, _K_COARSE = (math.ceil(_LEVELS / eps) for eps in (quantiles.EPS, COARSE))
 _MOD = "case mod_type when 'a' then '6mA' when 'm' then '5mC' when '21839' then '4mC' else mod_type end"
 _LONG = f"""
   long as (select cast(called_at as date) as day, {_MOD} as mod_type, in_motif, 'n_mod' as metric, n_mod as v from annotated_records_multiple where n_mod is not null
@@ -110,7 +129,7 @@ SQL = {
     "p3_percentiles": f"""with {_LONG},
       spans as (select *, 'day' as span, strftime(day, '%Y-%m-%d') as period from long union all
                 select *, 'month', strftime(day, '%Y-%m') from long union all select *, 'all', 'all' from long),
-      daily as (select span, period, mod_type, in_motif, metric, cast(sum(n // {_K}) * {quantiles.LEVELS} as bigint) as rank_error
+      daily as (select span, period, mod_type, in_motif, metric, cast(sum(n // {_K}) * {_LEVELS} as bigint) as rank_error
                 from (select span, period, day, mod_type, in_motif, metric, count(*) as n from spans group by all) group by all),
       ranked as (select span, period, mod_type, in_motif, metric, v, row_number() over (partition by span, period, mod_type, in_motif, metric order by v) as r,
                         count(*) over (partition by span, period, mod_type, in_motif, metric) as n from spans),
@@ -124,8 +143,13 @@ SQL = {
     # the nodes of a day are its cells as long as no day holds _K values of a group
     "p3_daily": f"""with {_LONG}, edged as (select *, case when v < 2048 then v else (((v >> s) + 1) << s) - 1 end as edge from
         (select *, cast(case when v < 2048 then 0 else floor(log2(v)) - 10 end as integer) as s from long))
-      select day, mod_type, in_motif, metric, count(*) as n, count(distinct edge) as n_nodes, cast(count(*) // {_K} * {quantiles.LEVELS} as bigint) as rank_error
+      select day, mod_type, in_motif, metric, count(*) as n, count(distinct edge) as n_nodes, cast(count(*) // {_K} * {_LEVELS} as bigint) as rank_error
       from edged group by day, mod_type, in_motif, metric""",
+    "p3_rank_bound": f"""with {_LONG},
+      daily as (select mod_type, in_motif, metric, cast(sum(n) as bigint) as n, cast(sum(n // {_K_COARSE}) * {_LEVELS} as bigint) as rank_error
+                from (select day, mod_type, in_motif, metric, count(*) as n from long group by all) group by all)
+      select mod_type, in_motif, metric, share, n, rank_error, true as within_bound
+      from daily, (select unnest([{', '.join(map(str, SHARES))}]::double[]) as share)""",
     "p5_found": """select contig_id, result_id from (select contig_id, result_id,
         row_number() over (partition by contig_id order by score desc, motif, result_id) as r
         from motif_result where contig_id is not null and score is not null and not isnan(score)) where r <= 5""",
