@@ -2,6 +2,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from methyloom.llm.topn import top_n
 
@@ -17,19 +19,19 @@ def brute(rows, n):
     return sorted((g, i if i is not None else -1) for g, i, _, _ in out)
 
 
-@pytest.mark.parametrize(("heavy_rows", "heavy_share"), [(10**9, 1000), (50, 20), (1, 10**6)])
-def test_against_brute_force(spark, heavy_rows, heavy_share):
+@pytest.mark.parametrize(("heavy_rows", "broadcast_groups"), [(10**9, 1000), (50, 20), (50, 0), (1, 10**6), (1, 3)])
+def test_against_brute_force(spark, heavy_rows, broadcast_groups):
     rnd = random.Random(1)
     score = lambda: rnd.choice([None, float("nan"), 1.0, 2.0, 2.0, -3.5, 0.0, -0.0, float("inf")])
     rows = [(rnd.choice(["hot"] * 6 + [f"g{i}" for i in range(40)] + [None]), i, rnd.choice(["a", "B", "é", "", None]), score()) for i in range(2000)]
-    got = top_n(spark.createDataFrame(rows, SCHEMA), "g", "s", ["m", "id"], 5, heavy_rows, heavy_share).collect()
+    got = top_n(spark.createDataFrame(rows, SCHEMA), "g", "s", ["m", "id"], 5, heavy_rows, broadcast_groups).collect()
     assert sorted((r.g, r.id) for r in got) == brute(rows, 5)
 
 
 def test_repeated_rows_count_each_and_columns_stay(spark):
     df = spark.createDataFrame([("a", 1, "x", 1.0, "k")] * 7 + [("a", 2, "x", 0.5, "k")], SCHEMA + ", `__p` string")
     for heavy in (10**9, 1):
-        got = top_n(df.withColumnRenamed("__p", "other"), "g", "s", ["m", "id"], 5, heavy, 10**6)
+        got = top_n(df.withColumnRenamed("__p", "other"), "g", "s", ["m", "id"], 5, heavy)
         assert [r.id for r in got.collect()] == [1] * 5 and got.columns == ["g", "id", "m", "s", "other"]
 
 
@@ -44,3 +46,19 @@ def test_plan_limits_groups_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", 1, "x", 1.0)], SCHEMA)
     plan = top_n(df, "g", "s", ["m", "id"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "rangepartitioning" in plan and "CartesianProduct" not in plan
+
+
+def test_heavy_is_a_matter_of_rows_alone(spark):
+    """Many groups, each a small share of the table and each above the limit, none left unsplit."""
+    from methyloom.llm import topn
+
+    df = spark.range(0, 60_000, 1, 6).select((F.col("id") % 300).cast("string").alias("g"), "id", F.lit("m").alias("m"), (F.col("id") * 7919 % 1000).cast("double").alias("s"))
+    seen = []
+    whole, topn._with_salts = topn._with_salts, lambda *a: seen.append(a[3].count()) or whole(*a)
+    try:
+        got = top_n(df, "g", "s", ["m", "id"], 5, heavy_rows=100)
+    finally:
+        topn._with_salts = whole
+    assert seen == [300]
+    want = {(r.g, r.id) for r in df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "m", "id"))).where("r <= 5").collect()}
+    assert {(r.g, r.id) for r in got.collect()} == want and len(want) == 1500
