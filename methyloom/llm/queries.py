@@ -84,6 +84,26 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the containers: all documents with tokens are in, whole or in full parts, no container overflows, little is unused."""
+    placed = checkpointed(p7_containers(spark, sf_dir))
+    per_document = placed.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.countDistinct("part").alias("distinct_parts"),
+        F.max(F.col("first_token") + F.col("n_tokens")).alias("end"),
+    )
+    minimal = (F.col("parts") == F.ceil(F.col("n") / CAPACITY)) & (F.col("parts") == F.col("distinct_parts")) & (F.col("end") == F.col("n"))
+    documents = per_document.agg(F.count("*").alias("n_documents"), F.count(F.when(~minimal, 1)).alias("n_badly_split"))
+    filled = placed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    least = F.ceil(F.sum("fill") / CAPACITY)
+    used = F.count("*")
+    containers = filled.agg(
+        F.count(F.when(F.col("fill") > CAPACITY, 1)).alias("n_overfull"),
+        (F.max("container") + 1 == used).alias("numbered_without_gaps"),
+        (used - least <= F.greatest(F.lit(1), F.floor(least / 100))).alias("within_1_percent"),
+    )
+    return documents.select("*", *(containers.select(c).scalar().alias(c) for c in containers.columns))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.text_model(table(spark, sf_dir, "lang_samples"))
     names = langid.language_names(table(spark, sf_dir, "lang_codes"))
@@ -112,6 +132,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
     "p8_passages": p8_passages,
@@ -153,5 +174,7 @@ SQL = {
     "p5_found": """select contig_id, result_id from (select contig_id, result_id,
         row_number() over (partition by contig_id order by score desc, motif, result_id) as r
         from motif_result where contig_id is not null and score is not null and not isnan(score)) where r <= 5""",
+    "p7_fill": """select count(*) as n_documents, cast(0 as bigint) as n_badly_split, cast(0 as bigint) as n_overfull,
+        true as numbered_without_gaps, true as within_1_percent from documents where text <> ''""",
     "p6_round_trip": "select doc_id, cast(strlen(coalesce(text, '')) as integer) as n_bytes, true as same from documents",
 }
