@@ -143,5 +143,45 @@ def test_every_language_is_fused_with_its_own_likelihood(model):
             prior /= prior.sum()
             placed = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prior.tolist())], names=[*batch.schema.names, "prior"])
             got = next(langid._fuse(model.languages, {})([placed])).column(2).to_pylist()[0][0]
-            want = langid.posterior(scores, letters, np.zeros(1, int), prior)[0]
+            want = langid.confidences(langid.posterior(scores, letters, np.zeros(1, int), prior))[0]
             assert got["lang"] == model.languages[want.argmax()] and abs(got["confidence"] - want.max()) < 1e-4
+
+
+def test_documents_of_any_host_meet_its_prior(spark):
+    read = spark.createDataFrame([(i, h) for i, h in enumerate(["hot"] * 60 + ["warm"] * 30 + ["cold"] * 9 + ["silent"])], "key long, host string")
+    priors = spark.createDataFrame([("hot", 60.0, [0.9, 0.1]), ("warm", 30.0, [0.5, 0.5]), ("cold", 9.0, [0.2, 0.8])], "host string, n_host double, prior array<double>")
+    want = {"hot": [0.9, 0.1], "warm": [0.5, 0.5], "cold": [0.2, 0.8], "silent": [0.5, 0.5]}
+    for hot_share, per_salt in ((2, 200_000), (2, 3), (1, 10), (100, 1)):
+        got = langid.with_priors(read, priors, 2, 99, hot_share, per_salt).collect()
+        assert len(got) == 100 and all(list(r.prior) == want[r.host] for r in got)
+
+
+def test_confidence_is_calibrated(samples):
+    """Held-out passages of one to six words under a flat prior: among those of a confidence, about that share is right."""
+    import numpy as np
+
+    by = {}
+    for lang, text in samples:
+        by.setdefault(lang, []).append(text)
+    held = langid.TextModel([(lang, t) for lang, ts in by.items() for t in ts[::2]])
+    reader, k = langid.Reader(held), len(held.languages)
+    sure, right = [], []
+    for lang, ts in by.items():
+        for text in ts[1::2]:
+            words = text.split() if " " in text else list(text)
+            for n in (1, 2, 3, 6):
+                for at in range(0, len(words) - n + 1, n):
+                    found = reader.passages(" ".join(words[at : at + n]))
+                    if found is None:
+                        continue
+                    _, _, letters, scores = found
+                    post = langid.posterior(scores, letters, np.zeros(len(scores), int), np.full((1, k), 1 / k), rounds=1)
+                    sure += langid.confidences(post).max(axis=1).tolist()
+                    right += (post.argmax(axis=1) == held.languages.index(lang)).tolist()
+    sure, right = np.array(sure), np.array(right)
+    gaps = []
+    for low, high in ((0.0, 0.5), (0.5, 0.7), (0.7, 0.9), (0.9, 0.99), (0.99, 1.01)):
+        own = (sure >= low) & (sure < high)
+        gaps.append((own.mean(), sure[own].mean(), right[own].mean()))
+    print([tuple(round(float(x), 3) for x in g) for g in gaps])
+    assert sum(w * abs(a - b) for w, a, b in gaps) < 0.1
