@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methyloom.functions.measures import beta_log_pdf, beta_mean, beta_variance, frac64, log_beta, log_sum_exp
+from methyloom.operators.spread import with_lookup
 
 CLAMP = 1e-12
+_PLACE = lambda df: [c for c in ("position", "strand") if c in df.columns]  # noqa: E731  tells records of a group apart
 
 
 def beta_moments(df: DataFrame, by: list[str]) -> DataFrame:
@@ -30,18 +32,25 @@ def _clamped(low: float = CLAMP) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(1.0 - low))
 
 
+def with_log_beta(models: DataFrame) -> DataFrame:
+    """Models with the logarithms of the Beta functions of both components."""
+    return models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
+
+
+def with_models(df: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
+    """Records with the model of their group. Models that know their number of records (``n``) spread a group over the cluster."""
+    return with_lookup(df, models, by, "n") if "n" in models.columns else df.join(models, by)
+
+
 def em_step(df: DataFrame, models: DataFrame, by: list[str], penalty: float, prior: tuple[float, float] = (0.0, 0.0), clamp: float = CLAMP) -> DataFrame:
     """(by, n, pi, alpha, beta, loglik): one step from ``models`` (by, pi, ta, tb, fa, fb).
 
     The false component weighs ``penalty``. Groups whose weights or variance vanish, or whose
     moments fit no Beta, have null alpha and beta. ``models`` has one row per group.
     """
-    logged = models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
     x = F.col("x")
     rows = (
-        df.where("n_valid_cov > 0")
-        .select(*by, _clamped(clamp).alias("x"))
-        .join(logged, by)
+        with_models(df.where("n_valid_cov > 0").select(*by, _clamped(clamp).alias("x"), *_PLACE(df)), with_log_beta(models), by)
         .withColumn("lt", F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt")))
         .withColumn("lf", F.log(1 - F.col("pi")) + beta_log_pdf(x, F.col("fa"), F.col("fb"), F.col("lbf")) + F.log(F.lit(penalty)))
         .where("lt is not null and lf is not null")
@@ -77,12 +86,12 @@ def fit(df: DataFrame, models: DataFrame, by: list[str], penalty: float, iterati
 
 
 def seed_models(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pi, ta, tb, fa, fb): Beta(10, 1) at weight 0.01 against the Beta of all records, its beta at least 1.1.
+    """(by, pi, ta, tb, fa, fb, n): Beta(10, 1) at weight 0.01 against the Beta of all records, its beta at least 1.1.
 
     Groups whose moments give an alpha of 1e-9 or less have no density, hence no seed.
     """
     m = beta_moments(df, by).where("alpha > 1e-9")
-    return m.select(*by, F.lit(0.01).alias("pi"), F.lit(10.0).alias("ta"), F.lit(1.0).alias("tb"), F.col("alpha").alias("fa"), F.greatest("beta", F.lit(1.1)).alias("fb"))
+    return m.select(*by, F.lit(0.01).alias("pi"), F.lit(10.0).alias("ta"), F.lit(1.0).alias("tb"), F.col("alpha").alias("fa"), F.greatest("beta", F.lit(1.1)).alias("fb"), "n")
 
 
 def mixture_stats(models: DataFrame) -> DataFrame:
@@ -95,8 +104,7 @@ def mixture_stats(models: DataFrame) -> DataFrame:
 
 def log_likelihoods(df: DataFrame, models: DataFrame, by: list[str], clamp: float = 1e-6) -> DataFrame:
     """(by, loglik_true, loglik_false): sums of the log densities of both components."""
-    logged = models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
-    rows = df.where("n_valid_cov > 0").select(*by, _clamped(clamp).alias("x")).join(logged, by)
+    rows = with_models(df.where("n_valid_cov > 0").select(*by, _clamped(clamp).alias("x"), *_PLACE(df)), with_log_beta(models), by)
     x = F.col("x")
     return rows.groupBy(*by).agg(
         F.sum(beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt"))).alias("loglik_true"),

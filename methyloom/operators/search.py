@@ -1,41 +1,59 @@
-"""Motif discovery: best-first search over motifs that grow around the modified base.
+"""Motif discovery: best-first search over motifs that grow around the modified base, in Spark rounds.
 
-Spark prepares what a search needs: levels, windows, seed fits and responsibilities are joins and
-aggregations, and equal windows of a contig and modification meet in one row with their counts. A
-search then runs per (contig, modification) on these distinct windows; a motif is tested on whole
-columns of them. Contigs without a methylated window are dropped before any window is shuffled.
+Spark prepares what a search needs: levels, seed fits and responsibilities are joins and aggregations.
+A contig is cut into chunks of ``CHUNK`` positions; a chunk is one row with its bases (and those that
+windows reach beyond its ends) and its records, packed once and written, so that no window is ever
+shuffled. What is open in a group is one small row: its queue of motifs and what was found so far.
+
+A round joins the open groups with their chunks. Every chunk tallies the motifs that its group wants to
+look at next: sums of the weights per offset and base over the windows that match. The tallies of a
+group of many chunks are added up by a grouped sum with a bounded fan-in, and then move its queue, so
+a contig of any length is spread over the cluster, and the best ``AHEAD`` motifs of the queue are
+tallied at a time, so that few rounds are needed. A group of one chunk needs nobody else's tallies and
+takes up to ``STEPS`` steps a round where it is. Rounds go on while a group is open.
 
 Choices where upstream behaviour is undefined or aborts: equal priorities are expanded in order of
 insertion, among equal scores the motif inserted last is the best; a motif that explains every
 methylated window ends the search of its modification; a motif that removes no window ends it too.
-Counts within the search are anchored (every window tests itself), so matches may overlap; the
-counts of the results come from ``occurrences``, without overlap.
+Counts within the search are of all records of the contig that lie on the motif, windows cut by an
+end of the contig included; every record tests itself, so matches may overlap. The counts of the
+results come from ``occurrences``, without overlap.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methyloom.functions.iupac import MASK, _CODE
-from methyloom.functions.measures import COUNT_LEVELS, MIXTURE_LEVELS, Levels, beta_log_pdf, frac64, log_beta, log_sum_exp
+from methyloom.functions.measures import COUNT_LEVELS, MIXTURE_LEVELS, Levels, beta_log_pdf, frac64, log_sum_exp
 from methyloom.functions.measures import level as level_of
 from methyloom.functions.modcodes import MOD_BASE
 from methyloom.functions.motif import subsets
 from methyloom.operators import mixture
 from methyloom.operators.occurrences import MOTIF, level_counts, occurrences
-from methyloom.operators.windows import background_windows, oriented, windows_at
-from methyloom.session import checkpointed
+from methyloom.session import checkpointed, parallelism
 
 GROUP = ["contig_id", "mod_type"]
+CHUNK = 1 << 18  # positions of a chunk
+STEPS = 5_000
+AHEAD = 32
+_FAN_IN = 32
+_BLOCK = 1 << 21  # cells taken apart at a time
+
+_ANY = 31  # A, C, G, T and every other character
+_BITS = {**{c: _ANY if m == 15 else m for c, m in MASK.items()}}
+_SUBSETS = np.array([[float(mask >> i & 1) for i in range(4)] for mask in range(16)])
+_BASES = np.full(256, 4, np.uint8)
+for _i, _base in enumerate("ACGT"):
+    _BASES[ord(_base)] = _i
 
 
 @dataclass(frozen=True)
@@ -48,6 +66,10 @@ class CountOptions:
     max_rounds: int = 15
     both_strands: bool = False  # False: as the reference counts, the plus strand only
 
+    @property
+    def width(self) -> int:
+        return 2 * self.flank + 1
+
 
 @dataclass(frozen=True)
 class MixtureOptions:
@@ -60,362 +82,564 @@ class MixtureOptions:
     min_records: int = 50
     min_motif_records: int = 10
 
+    @property
+    def width(self) -> int:
+        """All offsets that the rounds can open, from the left edge of the window on."""
+        return 2 * (self.max_rounds + 1) + 1
 
-_FOUND = pa.schema([(n, pa.string()) for n in (*GROUP, "motif_seq")] + [("mod_position", pa.int32())] + [(n, pa.float64()) for n in ("score", "pi", "true_alpha", "true_beta")])
-_INDICATORS = 4_000_000
-_SUBSETS = np.array([[float(mask >> i & 1) for i in range(4)] for mask in range(16)])
 
+# ---------------------------------------------------------------- within a chunk
 
-class _Windows:
-    """Distinct windows of a group as columns of bases; motifs as base masks per offset (15 where free)."""
-
-    def __init__(self, kmers: pd.Series, flank: int):
-        self.flank, self.width = flank, 2 * flank + 1
-        codes = np.full(256, 4, np.uint8)
-        for i, base in enumerate("ACGT"):
-            codes[ord(base)] = i
-        text = np.frombuffer("".join(kmers).encode("latin-1", "replace"), np.uint8).reshape(len(kmers), self.width)
-        base = codes[text]
-        self.bits = np.ascontiguousarray(np.array([1, 2, 4, 8, 0], np.uint8)[base].T)
-        self._cell = base.astype(np.int16) + 5 * np.arange(self.width, dtype=np.int16)
-        # few windows are tallied by a product with their indicators, many by counting
-        self._hot = (base[:, :, None] == np.arange(4)).reshape(len(base), -1).astype(float) if base.size * 4 <= _INDICATORS else None
-
-    def match(self, motif: tuple[int, ...], free: int = -1) -> np.ndarray:
-        """Which windows match; the offset ``free`` is not looked at."""
-        hit = np.ones(self.bits.shape[1], bool)
-        for i, mask in enumerate(motif):
-            if mask != 15 and i != free:
-                hit &= (self.bits[i] & mask) != 0
-        return hit
-
-    def tally(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Sums of the weights (window, kind) of the given windows per (offset, A C G T, kind)."""
-        own = weights[rows]
-        if self._hot is not None:
-            return (self._hot[rows].T @ own).reshape(self.width, 4, -1)
-        cells = self._cell[rows].ravel()
-        sums = [np.bincount(cells, np.repeat(w, self.width), 5 * self.width).reshape(-1, 5)[:, :4] for w in own.T]
-        return np.stack(sums, axis=2)
-
-    def text(self, motif: tuple[int, ...], extent: tuple[int, int]) -> tuple[str, int]:
-        return "".join(_CODE[m] for m in motif[extent[0] : extent[1] + 1]), self.flank - extent[0]
-
-    def children(self, motif, extent, rows, weights, offsets, masks_at):
-        """(motif, extent, sums of the weights) of each growth by a set of bases at an offset.
-
-        Outside the motif one tally of the parent's windows answers for all sets; at a base of the
-        motif the set joins what is there, so windows that fit elsewhere are looked at again.
-        """
-        outer = self.tally(rows, weights)
-        for at in offsets:
-            inside = extent[0] <= at <= extent[1]
-            used, tallied = rows, outer
-            if inside:
-                if motif[at] == 15:
-                    continue  # joining bases to N leaves the motif as it is
-                used = np.flatnonzero(self.match(motif, free=at))
-                tallied = self.tally(used, weights)
-            per_mask = _SUBSETS @ tallied[at]
-            left, right = min(extent[0], at), max(extent[1], at)
-            for mask in masks_at(at):
-                joined = mask | motif[at] if inside else mask
-                if inside and joined == motif[at]:
-                    continue
-                sums = per_mask[joined] if joined != 15 else weights[used].sum(axis=0)  # N takes any character
-                yield (*motif[:at], joined, *motif[at + 1 :]), (left, right), sums.tolist()
-
-
-def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    p, q = p + 1e-6, q + 1e-6
-    return (p * np.log(p / q)).sum(axis=1)
-
-
-def _shape(high: float, low: float) -> tuple[float, float]:
-    """Mean and standard deviation of a Beta of the counts, each raised by one."""
-    a, b = high + 1.0, low + 1.0
-    return a / (a + b), math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-
-
-def _seed(windows: _Windows, mod_type: str):
-    free = [15] * windows.width
-    free[windows.flank] = MASK[MOD_BASE[mod_type]]
-    return tuple(free), (windows.flank, windows.flank)
-
-
-def count_search(pdf: pd.DataFrame, o: CountOptions) -> list[tuple[str, int, float]]:
-    """(sequence, position, score) of the motifs of one group, in the order found."""
-    windows = _Windows(pdf["kmer"], o.flank)
-    background, methylated = (pdf[[c]].to_numpy(float).copy() for c in ("background", "methylated"))
-    levels = pdf[["high", "low"]].to_numpy(float)
-    seed, extent = _seed(windows, pdf["mod_type"].iloc[0])
-    seed_high, seed_low = levels[windows.match(seed)].sum(axis=0)
-    seed_odds = (seed_high + 1) / (seed_low + 1)
-    results = []
-    while methylated.any():
-        nodes, queue, order = {(seed, extent): (0.0, 0)}, [(0.0, 0, seed, extent)], 0
-        best, since = 0.0, 0
-        while queue and since <= o.max_rounds:
-            _, _, motif, span = heapq.heappop(queue)
-            since += 1
-            rows = np.flatnonzero(windows.match(motif))
-            n_background, n_methylated = background[rows].sum(), methylated[rows].sum()
-            if not (n_background and n_methylated):
-                continue
-            mean, sd = _shape(*levels[rows].sum(axis=0).tolist())
-            p = windows.tally(rows, methylated)[:, :, 0] / n_methylated
-            wide = _divergence(p, windows.tally(rows, background)[:, :, 0] / n_background) > o.min_kl
-            masks = lambda at: [sum(c) for c in subsets(1 << i for i in range(4) if p[at, i] > o.min_base_freq)]  # noqa: B023, E731
-            for new, new_span, (high, low) in windows.children(motif, span, rows, levels, np.flatnonzero(wide).tolist(), masks):
-                new_mean, new_sd = _shape(high, low)
-                score = round(new_mean * -math.log10((new_sd + sd) / 2) * (new_mean - mean), 12)
-                if score > best:
-                    best, since = score, 0
-                known = nodes.get((new, new_span))
-                if known is None:
-                    order += 1
-                    nodes[new, new_span] = (score, order)
-                    heapq.heappush(queue, ((1 - (high + 1) / (low + 1)) / seed_odds, order, new, new_span))
-                elif known[0] < score:
-                    nodes[new, new_span] = (score, known[1])
-        if best <= o.min_score:
-            break
-        (motif, span), (score, _) = max(nodes.items(), key=lambda kv: kv[1])
-        hit = windows.match(motif)
-        if not methylated[hit].any():
-            break
-        results.append((*windows.text(motif, span), score))
-        methylated[hit] = 0
-        background[hit] = 0
-    return results
-
-
-class _Records:
-    """Records of a group on the forward reading of their contig; bases are looked up in the contig."""
-
-    def __init__(self, sequence: str, position: np.ndarray, flank: int):
-        codes = np.full(256, 4, np.uint8)
-        for i, base in enumerate("ACGT"):
-            codes[ord(base)] = i
-        text = np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)
-        self.length, self.flank, self.width = len(text), flank, 2 * flank + 1
-        self._text = np.append(codes[text], np.uint8(4))  # the last stands for all that lies outside
-        self.position = position
-        self.bits = np.array([1, 2, 4, 8, 0], np.uint8)[np.stack([self._bases(position, at) for at in range(self.width)])]
-
-    def _bases(self, position: np.ndarray, at) -> np.ndarray:
-        i = position + (at - self.flank)
-        return self._text[np.where((i >= 0) & (i < self.length), i, self.length)]
-
-    def inner(self) -> np.ndarray:
-        """Which records have a window that no end of the contig cuts."""
-        return (self.position >= self.flank) & (self.position + self.flank < self.length)
-
-    def match(self, motif: tuple[int, ...], extent: tuple[int, int], far: int = 0, free: int = -1) -> np.ndarray:
-        """Which records lie on the motif, all of it within the contig; the offset ``free`` is not looked at.
-
-        ``far`` is the base of a motif that ends right of the window, 0 without one.
-        """
-        hit = (self.position + (extent[0] - self.flank) >= 0) & (self.position + (extent[1] - self.flank) < self.length)
-        for i, mask in enumerate(motif):
-            if mask != 15 and i != free:
-                hit &= (self.bits[i] & mask) != 0
-        if far:
-            hit &= self._bases(self.position, extent[1]) == far.bit_length() - 1
-        return hit
-
-    def tally(self, rows: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Sums of the weights (record, kind) of the given records per (offset, A C G T, kind)."""
-        sums = np.zeros((len(offsets), 4, weights.shape[1]))
-        step = max(1, _INDICATORS // (4 * len(offsets)))
+
+class Windows:
+    """Windows around positions of a chunk as bases per offset, and their weights (window, kind).
+
+    A motif is a text as wide as a window: codes from its first to its last base, dots around them.
+    """
+
+    def __init__(self, bases: np.ndarray, at: np.ndarray, minus: np.ndarray, left: int, right: int, weights: np.ndarray):
+        """``at`` are places in ``bases``, which end where the contig ends; windows of the minus strand read its complement."""
+        margin = max(left, right)
+        padded = np.concatenate([np.full(margin, 5, np.uint8), bases, np.full(margin, 5, np.uint8)])
+        turned = np.array([3, 2, 1, 0, 4, 5], np.uint8)[padded] if minus.any() else padded
+        self.base = np.empty((left + right + 1, len(at)), np.uint8)
+        for i in range(len(self.base)):
+            self.base[i] = np.where(minus, turned[at + margin - (i - left)], padded[at + margin + (i - left)])
+        self._bits = np.array([1, 2, 4, 8, 16, 0], np.uint8)[self.base]
+        self.weights = weights
+
+    def missed(self, motif: str) -> tuple[list[int], np.ndarray]:
+        """The offsets of a motif, and for each which windows have another base there."""
+        at = [i for i, c in enumerate(motif) if c != "."]
+        return at, np.stack([(self._bits[i] & _BITS[motif[i]]) == 0 for i in at])
+
+    def without(self, motif: str, kinds: slice) -> None:
+        """The windows that match a motif weigh nothing any more."""
+        hit = ~self.missed(motif)[1].any(axis=0)
+        self.weights[hit, kinds] = 0
+
+    def _sums(self, rows: np.ndarray, offsets: slice) -> np.ndarray:
+        n = offsets.stop - offsets.start
+        sums = np.zeros((n, 5, self.weights.shape[1]))
+        step = max(1, _BLOCK // max(n, 1))
         for first in range(0, len(rows), step):
             some = rows[first : first + step]
-            bases = self._bases(self.position[some], offsets[:, None])
-            for base in range(4):
-                sums[:, base] += (bases == base).astype(float) @ weights[some]
+            base, own = self.base[offsets, some], self.weights[some]
+            for b in range(5):
+                sums[:, b] += (base == b).astype(float) @ own
         return sums
 
+    def tally(self, motif: str, n_offsets: int) -> np.ndarray:
+        """Sums of the weights per (offset, A C G T other, kind) of the windows that match.
 
-def mixture_search(sequence: str, mod_type: str, records: dict[str, np.ndarray], o: MixtureOptions) -> list[tuple[str, int, float, float, float, float]]:
-    """(sequence, position, score, pi, alpha, beta) of the motifs of one group, in the order found.
-
-    ``records`` holds all records of the group: position, high (of the high level on the plus strand),
-    valid (has a responsibility), x and r. As upstream, a motif has the records of both strands at its
-    forward positions. The gate counts every record that no motif has removed.
-    """
-    windows = _Records(sequence, records["position"], o.flank)
-    seed, extent = _seed(windows, mod_type)
-    methylated = records["high"] & windows.inner() & windows.match(seed, extent)
-    if not methylated.any():
-        return []
-    mantissa, exponent = np.frexp(np.where(records["valid"], records["r"], 0.0))
-    r = np.ldexp(np.round(np.ldexp(mantissa, 36)), exponent - 36)  # the last bits differ from run to run
-    x = np.where(records["valid"], records["x"], 0.0)
-    left = np.ones(len(r), bool)
-    sums = np.stack([left.astype(float), records["valid"].astype(float), r, r * x, r * x * x], axis=1)
-
-    def fit(n, valid, weight, wx, wxx):
-        if n < o.min_motif_records or weight <= 0:
-            return None
-        mean = wx / weight
-        variance = wxx / weight - mean * mean
-        common = mean * (1 - mean) / variance - 1 if variance >= 1e-12 else 0.0
-        return (weight / valid, mean * common, (1 - mean) * common, mean) if common > 0 else None
-
-    def children(motif, span, rows, rounds):
-        """(motif, extent, far base, model) of each growth by a base at the offsets that are open.
-
-        At a base of the motif the new base joins what is there, so other records are looked at again.
-        Offsets open further right than the window reaches; nothing lies beyond the contig.
+        At an offset of the motif its own base is not looked at, so that other bases are counted too.
         """
-        offsets = np.arange(min(2 * rounds + 1, windows.length + windows.flank))
-        outer = windows.tally(rows, sums, offsets)
-        for at in offsets[: windows.width].tolist():
-            inside = span[0] <= at <= span[1]
-            per_base = outer[at]
-            if inside:
-                if motif[at] == 15:
-                    continue  # joining bases to N leaves the motif as it is
-                used = np.flatnonzero(windows.match(motif, span, free=at))
-                per_base = windows.tally(used, sums, np.array([at]))[0]
-            for base in range(4):
-                mask = joined = 1 << base
-                totals = per_base[base]
-                if inside:
-                    joined |= motif[at]
-                    if joined == motif[at]:
-                        continue
-                    totals = _SUBSETS[joined] @ per_base if joined != 15 else sums[used].sum(axis=0)  # N takes any character
-                model = fit(*totals.tolist())
-                if model is not None:
-                    yield (*motif[:at], joined if inside else mask, *motif[at + 1 :]), (min(span[0], at), max(span[1], at)), 0, model
-        far = outer[windows.width :]
-        for at, base in np.argwhere((far[:, :, 0] >= o.min_motif_records) & (far[:, :, 2] > 0)).tolist():
-            model = fit(*far[at, base].tolist())
-            if model is not None:
-                yield motif, (span[0], windows.width + at), 1 << base, model
-
-    results, low_scores = [], 0
-    while left.sum() >= o.min_records and low_scores <= o.max_low_score:
-        seen, queue, order, since = {(seed, extent, 0)}, [(0.0, 0, seed, extent, 0)], 0, 0
-        best = (0.0, seed, extent, 0, None)
-        while queue and since <= o.max_rounds:
-            _, _, motif, span, far = heapq.heappop(queue)
-            since += 1
-            if far:  # as upstream, what is longer than the windows grows no further
-                continue
-            hit = windows.match(motif, span)
-            if not (methylated & hit).any():  # its windows are background windows too, and neither set is ever reduced
+        at, missed = self.missed(motif)
+        misses = missed.sum(axis=0, dtype=np.uint8 if len(at) < 256 else np.int32)
+        sums = self._sums(np.flatnonzero(misses == 0), slice(0, n_offsets))
+        for i, own in zip(at, missed, strict=True):
+            if i < n_offsets and motif[i] != "N":
+                near = np.flatnonzero((misses == 1) & own)
+                if len(near):
+                    sums[i] += self._sums(near, slice(i, i + 1))[0]
+        return sums
+
+
+class Chunk:
+    """A row of packed chunks: the bases around a stretch of a contig, and the records on it."""
+
+    def __init__(self, rows: pa.RecordBatch, i: int, kinds: tuple[str, ...]):
+        get = lambda name: rows[name][i].as_py()
+        self.bases = _BASES[np.frombuffer(rows["text"][i].as_buffer(), np.uint8)]
+        self.begin, self.length = get("begin"), get("length")
+        self.first, self.last = get("first") - self.begin, get("last") - self.begin
+        items = rows["records"][i].values
+        column = lambda name: items.field(name).to_numpy(zero_copy_only=False)
+        empty = items is None
+        self.at = np.empty(0, np.int64) if empty else column("position") - self.begin
+        self.minus = np.empty(0, bool) if empty else column("minus")
+        self.records = {k: np.empty(0) if empty else column(k).astype(float) for k in kinds}
+
+    def whole(self, at: np.ndarray, flank: int) -> np.ndarray:
+        """Which windows no end of the contig cuts."""
+        position = at + self.begin
+        return (position >= flank) & (position + flank < self.length)
+
+
+def _grown(motif: str, at: int, mask: int) -> str:
+    """A motif with a set of bases at an offset; outside the motif the gap fills with N."""
+    if motif[at] != ".":
+        return motif[:at] + _CODE[mask] + motif[at + 1 :]
+    codes = motif.strip(".")
+    left = len(motif) - len(motif.lstrip("."))
+    right = left + len(codes)
+    if at < left:
+        return "." * at + _CODE[mask] + "N" * (left - at - 1) + motif[left:]
+    return motif[:right] + "N" * (at - right) + _CODE[mask] + motif[at + 1 :]
+
+
+def _own(motif: str, sums: np.ndarray) -> np.ndarray:
+    """The sums of the windows that match: at offsets of the motif its own bases only."""
+    own = sums.copy()
+    for i, c in enumerate(motif[: len(sums)]):
+        if c not in ".N":
+            own[i, [b for b in range(5) if not _BITS[c] >> b & 1]] = 0
+    return own
+
+
+# ---------------------------------------------------------------- the queue of a group
+
+
+@dataclass
+class Search:
+    """What is open in a group: a queue of motifs by priority, the best so far, what was found."""
+
+    mod_type: str
+    options: object
+    n_left: int
+    open: bool = True
+    found: list = field(default_factory=list)
+    removed: list = field(default_factory=list)
+    low: int = 0
+    ready: dict = field(default_factory=dict)  # tallies of motifs that the queue has not come to
+
+    def __post_init__(self):
+        self.seed = "." * self.options.flank + MOD_BASE[self.mod_type] + "." * (self.options.width - self.options.flank - 1)
+        self.begin()
+
+    def begin(self) -> None:
+        self.queue, self.order, self.since, self.best = [(0.0, 0, self.seed)], 0, 0, (0.0, 0, self.seed, None)
+        self.known, self.ready = {self.seed: (0.0, 0)}, {}
+
+    def wanted(self, limit: int) -> list[str]:
+        """The motifs to be tallied next; the first of the queue is among them."""
+        return [m for _, _, m in heapq.nsmallest(limit, self.queue) if m not in self.ready]
+
+    def push(self, priority: float, motif: str) -> None:
+        self.order += 1
+        heapq.heappush(self.queue, (priority, self.order, motif))
+
+    def feed(self, tallies: dict[str, np.ndarray]) -> None:
+        """Go on with the queue as far as its tallies are there."""
+        self.ready |= tallies
+        while self.open:
+            if not self.queue or self.since > self.options.max_rounds:
+                self.finish()
                 continue
-            for new, new_span, new_far, model in children(motif, span, np.flatnonzero(hit & left), since):
-                if (new, new_span, new_far) in seen:
+            motif = self.queue[0][2]
+            if self.expandable(motif):
+                sums = self.ready.get(motif)
+                if sums is None or len(sums) < self.n_offsets(1):
+                    self.ready.pop(motif, None)
+                    return
+                del self.ready[motif]
+            heapq.heappop(self.queue)
+            self.since += 1
+            if self.expandable(motif):
+                self.expand(motif, sums)
+
+    def close(self) -> None:
+        self.open, self.queue, self.known, self.ready = False, [], {}, {}
+
+    def remove(self, motif: str) -> None:
+        self.removed.append(motif)
+        self.begin()
+
+
+class CountSearch(Search):
+    """Scores by the counts of high and low records; grows where methylated and background windows differ.
+
+    Kinds of weights: background, methylated, high, low.
+    """
+
+    KINDS = ("background", "methylated", "high", "low")
+    RECORD = ("high", "low")  # what a record of a chunk says
+    REMOVABLE = slice(0, 2)
+    seed_odds = None
+
+    @classmethod
+    def windows(cls, o: CountOptions, mod_type: str, chunk: Chunk) -> Windows:
+        """Background windows around every base that can carry the modification, and windows of the records."""
+        base = _BASES[ord(MOD_BASE[mod_type])]
+        own = chunk.bases[chunk.first : chunk.last]
+        around = [np.flatnonzero(own == b) + chunk.first for b in (base, 3 - base)]
+        around = [a[chunk.whole(a, o.flank)] for a in around]
+        high, low = chunk.records["high"], chunk.records["low"]
+        n, at = [len(a) for a in around], chunk.at
+        weights = np.zeros((sum(n) + len(at), 4))
+        weights[: sum(n), 0] = 1
+        weights[sum(n) :, 1:] = np.stack([high * chunk.whole(at, o.flank), high, low], axis=1)
+        minus = np.concatenate([np.zeros(n[0], bool), np.ones(n[1], bool), chunk.minus])
+        return Windows(chunk.bases, np.concatenate([*around, at]), minus, o.flank, o.flank, weights)
+
+    def n_offsets(self, ahead: int) -> int:
+        return self.options.width
+
+    def expandable(self, motif: str) -> bool:
+        return True
+
+    @staticmethod
+    def shape(high, low):
+        """Mean and standard deviation of a Beta of the counts, each raised by one."""
+        a, b = high + 1.0, low + 1.0
+        return a / (a + b), np.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+
+    def expand(self, motif: str, sums: np.ndarray) -> None:
+        o = self.options
+        own = _own(motif, sums)
+        n_background, n_methylated, n_high, n_low = own[o.flank].sum(axis=0)
+        if self.seed_odds is None:
+            self.seed_odds = (n_high + 1) / (n_low + 1)
+        if not (n_background and n_methylated):
+            return
+        p, q = own[:, :4, 1] / n_methylated, own[:, :4, 0] / n_background
+        divergence = ((p + 1e-6) * np.log((p + 1e-6) / (q + 1e-6))).sum(axis=1)
+        mean, sd = self.shape(n_high, n_low)
+        per_mask = _SUBSETS @ sums[:, :4]
+        per_mask[:, 15] = sums.sum(axis=1)  # N takes any character
+        high, low = per_mask[:, :, 2], per_mask[:, :, 3]
+        means, sds = self.shape(high, low)
+        scores = np.round(means * -np.log10((sds + sd) / 2) * (means - mean), 12).tolist()
+        priorities = ((1 - (high + 1) / (low + 1)) / self.seed_odds).tolist()
+        for at in np.flatnonzero(divergence > o.min_kl).tolist():
+            here = _BITS[motif[at]] if motif[at] != "." else 0
+            if here == _ANY:
+                continue  # joining bases to N leaves the motif as it is
+            for bases in subsets(1 << b for b in range(4) if p[at, b] > o.min_base_freq):
+                mask = sum(bases) | here
+                if mask == here:
                     continue
-                score = round(model[0] * model[3], 9)
-                if score > best[0]:
-                    best, since = (score, new, new_span, new_far, model), 0
-                seen.add((new, new_span, new_far))
-                order += 1
-                heapq.heappush(queue, (-score, order, new, new_span, new_far))
-        score, motif, span, far, model = best
-        hit = windows.match(motif, span, far)
-        if score <= o.min_score and not (hit & left).any():
-            break  # nothing changes, so every further search would end alike
-        sums[hit], left[hit] = 0, False
-        if score > o.min_score:
-            text = "".join(_CODE[m] for m in motif[span[0] : span[1] + 1])
-            if far:
-                text += "N" * (span[1] - windows.width) + _CODE[far]
-            results.append((text, o.flank - span[0], score, *model[:3]))
-            low_scores = 0
+                new, score = _grown(motif, at, mask), scores[at][mask]
+                if score > self.best[0]:
+                    self.since = 0
+                if new not in self.known:
+                    self.push(priorities[at][mask], new)
+                    self.known[new] = (score, self.order)
+                elif score > self.known[new][0]:  # a better score from another parent
+                    self.known[new] = (score, self.known[new][1])
+                if self.known[new] > self.best[:2]:
+                    self.best = (*self.known[new], new, per_mask[at, mask].tolist())
+
+    def finish(self) -> None:
+        score, _, motif, sums = self.best
+        if score <= self.options.min_score or not sums[1]:
+            self.close()
+            return
+        self.found.append((motif, score, sums[2], sums[3], None, None, None))
+        self.remove(motif)
+
+
+class MixtureSearch(Search):
+    """Scores by the mixture fitted to the records of a motif; grows by single bases at offsets that open two per round.
+
+    Kinds of weights: methylated windows, records, records with a responsibility r, and the sums of
+    r, r x and r x x. The gate counts every record that no motif has removed.
+    """
+
+    KINDS = ("methylated", "n", "valid", "w", "wx", "wxx")
+    RECORD = ("high", "x", "r")
+    REMOVABLE = slice(1, 6)
+
+    @classmethod
+    def windows(cls, o: MixtureOptions, mod_type: str, chunk: Chunk) -> Windows:
+        """Windows of the records, all of them on the forward reading of the contig."""
+        high, x, r = (chunk.records[k] for k in cls.RECORD)
+        valid = ~(np.isnan(x) | np.isnan(r))
+        mantissa, exponent = np.frexp(np.where(valid, r, 0.0))
+        r, x = np.ldexp(np.round(np.ldexp(mantissa, 36)), exponent - 36), np.where(valid, x, 0.0)  # the last bits differ from run to run
+        weights = np.stack([high * chunk.whole(chunk.at, o.flank), np.ones(len(r)), valid, r, r * x, r * x * x], axis=1)
+        return Windows(chunk.bases, chunk.at, np.zeros(len(r), bool), o.flank, o.width - o.flank - 1, weights)
+
+    def n_offsets(self, ahead: int) -> int:
+        """Offsets open by then, and at least up to the modified base, which counts all that match."""
+        return max(min(2 * (self.since + ahead) + 1, self.options.width), self.options.flank + 1)
+
+    def begin(self) -> None:
+        super().begin()
+        self.best = (0.0, 0, self.seed, None)
+        self.n_seed = 0.0
+        if self.n_left < self.options.min_records or self.low > self.options.max_low_score:
+            self.close()
+
+    def expandable(self, motif: str) -> bool:
+        """As upstream, what is longer than the windows grows no further."""
+        return not motif[2 * self.options.flank + 1 :].strip(".")
+
+    def fit(self, sums: np.ndarray):
+        """(score, pi, alpha, beta) for each row of sums; no score where there is no fit."""
+        _, n, valid, w, wx, wxx = np.moveaxis(sums, -1, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean, pi = wx / w, w / valid
+            variance = wxx / w - mean * mean
+            common = np.where(variance >= 1e-12, mean * (1 - mean) / variance - 1, 0.0)
+            good = (n >= self.options.min_motif_records) & (w > 0) & (common > 0)
+            return np.where(good, np.round(pi * mean, 9), -np.inf), pi, mean * common, (1 - mean) * common
+
+    def expand(self, motif: str, sums: np.ndarray) -> None:
+        o = self.options
+        total = _own(motif, sums[: o.flank + 1])[o.flank].sum(axis=0)
+        if motif == self.seed:
+            self.n_seed = total[1]
+        if not total[0]:  # its windows are background windows too, and neither set is ever reduced
+            return
+        sums = sums[: min(2 * self.since + 1, o.width)]
+        joined = sums[:, :4].copy()
+        masks = np.repeat(np.array([[1, 2, 4, 8]]), len(sums), axis=0)
+        for at, code in enumerate(motif[: len(sums)]):
+            if code != ".":
+                masks[at] |= _BITS[code] & 15
+                joined[at] = _SUBSETS[masks[at]] @ sums[at, :4]
+                joined[at][masks[at] == 15] = sums[at].sum(axis=0)  # N takes any character
+        score, pi, alpha, beta = self.fit(joined)
+        for at, b in np.argwhere(score > -np.inf).tolist():
+            mask, code = int(masks[at, b]), motif[at]
+            if code != "." and mask == _BITS[code] & 15:
+                continue  # the motif as it is
+            new = _grown(motif, at, mask)
+            if new in self.known:
+                continue
+            s = float(score[at, b])
+            self.push(-s, new)
+            self.known[new] = (s, self.order)
+            if s > self.best[0]:
+                self.since = 0
+                self.best = (s, self.order, new, (float(joined[at, b, 1]), *(float(x[at, b]) for x in (pi, alpha, beta))))
+
+    def finish(self) -> None:
+        score, _, motif, model = self.best
+        n_removed = model[0] if model else self.n_seed
+        if score <= self.options.min_score and not n_removed:
+            self.close()  # nothing changes, so every further search would end alike
+            return
+        if score > self.options.min_score:
+            self.found.append((motif, score, None, None, *model[1:]))
+            self.low = 0
         else:
-            low_scores += 1
-    return results
+            self.low += 1
+        self.n_left -= n_removed
+        self.remove(motif)
+
 
+# ---------------------------------------------------------------- rounds over all groups
 
-def _observed_windows(records: DataFrame, sequences: DataFrame, flank: int, sums: dict, both_strands: bool) -> tuple[DataFrame, DataFrame]:
-    """(contig_id, mod_type, kmer, sums) of the windows around records, and the groups that have a methylated one."""
-    own = records if both_strands else records.where("strand = '+'")
-    cut = windows_at(own, sequences, flank).withColumn("kmer", oriented(F.col("kmer"), F.col("strand")))
-    observed = cut.groupBy(*GROUP, "kmer").agg(*(v.alias(n) for n, v in sums.items()))
-    return observed, observed.groupBy(*GROUP).agg(F.sum("methylated").alias("m")).where("m > 0").select(*GROUP)
+_STATE = "contig_id string, mod_type string, n_chunks int, n_records double, open boolean, state binary"
+_FOUND = "array<struct<motif:string,score:double,high:double,low:double,pi:double,alpha:double,beta:double>>"
+_ROUND = pa.schema([("contig_id", pa.string()), ("mod_type", pa.string()), ("n_chunks", pa.int32()), ("n_records", pa.float64()), ("open", pa.bool_()), ("state", pa.binary())])
 
 
-def discover_by_counts(records: DataFrame, sequences: DataFrame, options: CountOptions = CountOptions()) -> DataFrame:
+def chunks_of(records: DataFrame, sequences: DataFrame, groups: DataFrame, kind: type[Search], margin: int, chunk: int) -> DataFrame:
+    """(group, n_chunks, chunk, length, first, last, begin, text, records): each chunk of the contig of each group.
+
+    ``records`` has (group, position, strand, what the kind of search wants of a record).
+    """
+    first = F.col("chunk") * chunk
+    last = F.least(first + chunk, F.col("length"))
+    begin = F.greatest(first - margin, F.lit(0))
+    text = F.substr(F.col("seq"), (begin + 1).cast("int"), (last + margin - begin).cast("int"))
+    pieces = (
+        sequences.where("seq is not null and seq <> ''")
+        .select("contig_id", F.regexp_replace("seq", "[^ACGT]", "N").alias("seq"), F.length("seq").cast("long").alias("length"))
+        .join(groups.select("contig_id").distinct(), "contig_id", "left_semi")
+        .withColumn("n_chunks", F.ceil(F.col("length") / chunk).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - F.lit(1).cast("long"))))
+        .select("contig_id", "n_chunks", "chunk", "length", first.alias("first"), last.alias("last"), begin.alias("begin"), text.alias("text"))
+    )
+    # at most two records a position; in a fixed order, so that sums are the same in every run
+    own = F.sort_array(F.collect_list(F.struct("position", (F.col("strand") == "-").alias("minus"), *kind.RECORD))).alias("records")
+    packed = records.where("position >= 0").groupBy(*GROUP, F.floor(F.col("position") / chunk).alias("chunk")).agg(own)
+    inside = F.filter("records", lambda r: r["position"] < F.col("length"))
+    return pieces.join(groups.select(*GROUP), "contig_id").join(packed, [*GROUP, "chunk"], "left").withColumn("records", inside)
+
+
+def _search_of(rows: pa.RecordBatch, i: int, kind: type[Search], options) -> Search:
+    state = rows["state"][i].as_py()
+    return pickle.loads(state) if state is not None else kind(rows["mod_type"][i].as_py(), options, rows["n_records"][i].as_py())
+
+
+def _alone(kind: type[Search], options, steps: int):
+    """Groups of one chunk: they move on where they are."""
+
+    def run(batches):
+        for rows in batches:
+            states = []
+            for i in range(rows.num_rows):
+                search = _search_of(rows, i, kind, options)
+                windows = kind.windows(options, search.mod_type, Chunk(rows, i, kind.RECORD))
+                gone = 0
+                for _ in range(steps):
+                    for motif in search.removed[gone:]:
+                        windows.without(motif, kind.REMOVABLE)
+                    gone = len(search.removed)
+                    wanted = search.wanted(1) if search.open else []
+                    search.feed({m: windows.tally(m, search.n_offsets(1)) for m in wanted})
+                    if not search.open:
+                        break
+                states.append(search)
+            yield _state_rows(rows, states)
+
+    return run
+
+
+def _state_rows(rows: pa.RecordBatch, states: list[Search]) -> pa.RecordBatch:
+    kept = [rows[n] for n in ("contig_id", "mod_type", "n_chunks", "n_records")]
+    opened, pickled = pa.array([s.open for s in states], pa.bool_()), pa.array([pickle.dumps(s) for s in states], pa.binary())
+    return pa.RecordBatch.from_arrays([*kept, opened, pickled], schema=_ROUND)
+
+
+def _parts(kind: type[Search], options, ahead: int):
+    """Chunks of groups that have several: the tallies of what their group wants, one after the other."""
+
+    def run(batches):
+        for rows in batches:
+            sums = []
+            for i in range(rows.num_rows):
+                search = _search_of(rows, i, kind, options)
+                windows = kind.windows(options, search.mod_type, Chunk(rows, i, kind.RECORD))
+                for motif in search.removed:
+                    windows.without(motif, kind.REMOVABLE)
+                n = search.n_offsets(ahead)
+                sums.append(np.concatenate([windows.tally(m, n).ravel() for m in search.wanted(ahead)]) if search.open else np.empty(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sums)]), pa.int32()), pa.array(np.concatenate(sums)))
+            yield pa.RecordBatch.from_arrays([rows["contig_id"], rows["mod_type"], rows["chunk"], lists], names=[*GROUP, "chunk", "sums"])
+
+    return run
+
+
+def _moved(kind: type[Search], options, ahead: int):
+    """Groups of several chunks: their queues move on by the summed tallies."""
+
+    def run(batches):
+        for rows in batches:
+            states = []
+            for i in range(rows.num_rows):
+                search = _search_of(rows, i, kind, options)
+                wanted = search.wanted(ahead) if search.open else []
+                sums = rows["sums"][i].values.to_numpy().reshape(len(wanted), -1, 5, len(kind.KINDS)) if wanted else []
+                search.feed(dict(zip(wanted, sums, strict=True)))
+                states.append(search)
+            yield _state_rows(rows, states)
+
+    return run
+
+
+def added_up(parts: DataFrame, n_chunks: int) -> DataFrame:
+    """(group, sums): arrays of equal length added up, in rounds of at most ``_FAN_IN`` arrays a row."""
+    levels = max(1, math.ceil(math.log(max(n_chunks, 2), _FAN_IN)))
+    add = "aggregate(slice(a, 2, size(a)), a[0], (x, y) -> zip_with(x, y, (p, q) -> p + q))"
+    for left in reversed(range(levels)):
+        keys = [*GROUP, F.floor(F.col("chunk") / _FAN_IN).alias("chunk")] if left else GROUP
+        gathered = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "sums"))), lambda x: x["sums"]).alias("a")
+        parts = parts.groupBy(*keys).agg(gathered).withColumn("sums", F.expr(add)).drop("a")
+    return parts
+
+
+def _found_of(kind: type[Search]):
+    def run(batches):
+        for rows in batches:
+            names = ("motif", "score", "high", "low", "pi", "alpha", "beta")
+            found = [[dict(zip(names, f, strict=True)) for f in pickle.loads(s.as_py()).found] for s in rows["state"]]
+            kinds = pa.list_(pa.struct([(n, pa.string() if n == "motif" else pa.float64()) for n in names]))
+            yield pa.RecordBatch.from_arrays([rows["contig_id"], rows["mod_type"], pa.array(found, kinds)], names=[*GROUP, "found"])
+
+    return run
+
+
+def search_rounds(records: DataFrame, sequences: DataFrame, groups: DataFrame, kind: type[Search], options, chunk: int = CHUNK, steps: int = STEPS, ahead: int = AHEAD) -> DataFrame:
+    """(group, motif_seq, mod_position, what is known of it) of all groups, one row per motif.
+
+    ``records`` has (group, position, strand, what the kind of search wants); ``groups`` has (group, n_records).
+    """
+    packed = checkpointed(chunks_of(records, sequences, groups, kind, options.width - options.flank, chunk))
+    sizes = packed.select(*GROUP, "n_chunks").distinct()
+    states = groups.join(sizes, GROUP).select(*GROUP, "n_chunks", F.col("n_records").cast("double").alias("n_records"), F.lit(True).alias("open"), F.lit(None).cast("binary").alias("state"))
+    most = packed.agg(F.max("n_chunks")).first()[0] or 0
+    one, many = packed.where("n_chunks = 1"), packed.where("n_chunks > 1").drop("n_chunks")
+    still_open, spread = 1, 4 * parallelism(records.sparkSession)  # a row may be much work, however small it is
+    while still_open:
+        opened = states.where("open")
+        moved = opened.where("n_chunks = 1").join(one.drop("n_chunks"), GROUP).repartition(spread, *GROUP).mapInArrow(_alone(kind, options, steps), _STATE)
+        if most > 1:
+            apart = opened.where("n_chunks > 1")
+            parts = apart.select(*GROUP, "n_records", "state").join(many, GROUP).repartition(spread, *GROUP, "chunk").mapInArrow(_parts(kind, options, ahead), "contig_id string, mod_type string, chunk long, sums array<double>")
+            moved = moved.unionByName(apart.join(added_up(parts, most), GROUP).mapInArrow(_moved(kind, options, ahead), _STATE))
+        # written each round: what is done goes along as it is
+        states = checkpointed(states.where("not open").unionByName(moved))
+        still_open = states.where("open").limit(1).count()
+    found = states.mapInArrow(_found_of(kind), f"contig_id string, mod_type string, found {_FOUND}")
+    rows = found.select(*GROUP, F.explode("found").alias("f")).select(*GROUP, "f.*")
+    at = F.lit(options.flank) - (F.length("motif") - F.length(F.ltrim(F.col("motif"), F.lit("."))))
+    return rows.select(*GROUP, F.trim(F.col("motif"), F.lit(".")).alias("motif_seq"), at.cast("int").alias("mod_position"), "score", "high", "low", "pi", "alpha", "beta")
+
+
+# ---------------------------------------------------------------- the two discoveries
+
+
+def _named(*columns) -> list[Column]:
+    return [
+        F.col("contig_id"),
+        F.concat_ws("-", "motif_seq", "mod_type", F.col("mod_position").cast("string")).alias("motif"),
+        F.col("motif_seq"),
+        F.col("mod_type").alias("motif_mod_type"),
+        F.col("mod_position").alias("motif_mod_position"),
+        *columns,
+    ]
+
+
+def with_whole_window(records: DataFrame, sequences: DataFrame, high: Column, flank: int, *sums: Column) -> DataFrame:
+    """(group, sums) of the groups that have a high record whose window no end of its contig cuts.
+
+    The first such position from the left tells, so records need not meet the length of their contig.
+    """
+    first = F.min(F.when(high & (F.col("position") >= flank), F.col("position"))).alias("first")
+    lengths = sequences.where("seq is not null").select("contig_id", F.length("seq").alias("length"))
+    return records.groupBy(*GROUP).agg(first, *sums).join(lengths, "contig_id").where(F.col("first") + flank < F.col("length")).drop("first", "length")
+
+
+def discover_by_counts(records: DataFrame, sequences: DataFrame, options: CountOptions = CountOptions(), **rounds) -> DataFrame:
     """The motifs of each contig with the counts of their levels and their score."""
     leveled = records.withColumn("level", level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels))
-    high, low = (F.count(F.when(F.col("level") == x, 1)) for x in ("High", "Low"))
-    sums = {"methylated": high, "high": high, "low": low}
-    observed, active = _observed_windows(leveled, sequences, options.flank, sums, options.both_strands)
-    kept = sequences.join(active.select("contig_id").distinct(), "contig_id", "left_semi")
-    background = background_windows(kept, options.flank).groupBy(*GROUP, "kmer").agg(F.count("*").alias("background"))
-    counts = background.join(observed, [*GROUP, "kmer"], "full").join(active, GROUP, "left_semi").fillna(0, ["background", *sums])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = count_search(pdf.sort_values("kmer"), options)
-        first = pdf.iloc[0]
-        rows = [(first["contig_id"], first["mod_type"], s, p, x) for s, p, x in found]
-        return pd.DataFrame(rows, columns=["contig_id", "mod_type", "motif_seq", "mod_position", "score"])
-
-    found = counts.groupBy(*GROUP).applyInPandas(run, "contig_id string, mod_type string, motif_seq string, mod_position int, score double")
-    found = checkpointed(found)  # read twice below: once for the counts, once for the scores
+    found = checkpointed(found_by_counts(leveled, sequences, options, **rounds))  # read twice below
     at = occurrences(sequences, found)
     counted = level_counts(leveled, at if options.both_strands else at.where("strand = '+'"))
-    return found.join(counted, ["contig_id", *MOTIF], "left").select(
-        "contig_id",
-        F.concat_ws("-", "motif_seq", "mod_type", F.col("mod_position").cast("string")).alias("motif"),
-        "motif_seq",
-        F.col("mod_type").alias("motif_mod_type"),
-        F.col("mod_position").alias("motif_mod_position"),
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("low_count", "middle_count", "high_count")),
-        "score",
-    )
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("low_count", "middle_count", "high_count"))
+    return found.join(counted, ["contig_id", *MOTIF], "left").select(*_named(*counts, "score"))
+
 
+def found_by_counts(leveled: DataFrame, sequences: DataFrame, options: CountOptions, **rounds) -> DataFrame:
+    """The motifs of each contig with the high and low records that gave their score."""
+    observed = leveled.where("level in ('High', 'Low')" if options.both_strands else "level in ('High', 'Low') and strand = '+'")
+    is_level = lambda name: (F.col("level") == name).alias(name.lower())
+    records = checkpointed(observed.select(*GROUP, "position", "strand", is_level("High"), is_level("Low")))
+    groups = checkpointed(with_whole_window(records, sequences, F.col("high"), options.flank).withColumn("n_records", F.lit(0.0)))
+    return search_rounds(records, sequences, groups, CountSearch, options, **rounds).drop("pi", "alpha", "beta")
 
-def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: MixtureOptions = MixtureOptions()) -> DataFrame:
-    """The motifs of each contig with the mixture fitted to their records.
+
+def weighed_records(records: DataFrame, seeds: DataFrame, options: MixtureOptions) -> DataFrame:
+    """Records with their level, fraction ``x`` and responsibility ``r``.
 
     The seed fit fixes both components, so the responsibility of a record is the same for every
-    candidate: it is computed once here, and a candidate's step is a sum over its windows.
+    candidate: it is computed once, and a candidate's step is a sum over its windows. As upstream, a
+    motif has the records of both strands at its forward positions.
     """
-    seeds = mixture.seed_models(records, GROUP)
     fitted = mixture.em_step(records, seeds, GROUP, penalty=1.0).where("alpha is not null and pi > 0 and pi < 1")
-    models = fitted.select(*GROUP, "pi", F.col("alpha").alias("ta"), F.col("beta").alias("tb")).join(seeds.select(*GROUP, "fa", "fb"), GROUP)
-    logged = models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
-    x = F.col("x")
+    models = fitted.select(*GROUP, "pi", F.col("alpha").alias("ta"), F.col("beta").alias("tb")).join(seeds.select(*GROUP, "fa", "fb", "n"), GROUP)
+    x, logged = F.col("x"), mixture.with_log_beta(models)
     lt = F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt"))
     lf = F.log(1 - F.col("pi")) + beta_log_pdf(x, F.col("fa"), F.col("fb"), F.col("lbf")) + F.log(F.lit(options.penalty))
-    high = (level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels) == "High") & (F.col("strand") == "+")
-    weighed = (
-        records.withColumn("x", F.when(F.col("n_valid_cov") > 0, F.least(F.greatest(frac64(F.col("n_mod"), F.col("n_valid_cov")), F.lit(mixture.CLAMP)), F.lit(1 - mixture.CLAMP))))
-        .join(logged, GROUP)
-        .withColumn("r", F.exp(lt - log_sum_exp(lt, lf)))
-        .select(*GROUP, "position", "strand", F.coalesce(high, F.lit(False)).alias("high"), "x", "r")
-    )
-    # records without a responsibility (no coverage) count in the gates, as every record of the group does
-    active = weighed.where("high").select(*GROUP).distinct()
-    rows = weighed.join(active, GROUP, "left_semi")
-    texts = sequences.where("seq is not null").select("contig_id", "seq").join(active, "contig_id")
-    texts = texts.select(F.col("contig_id").alias("contig"), F.col("mod_type").alias("kind"), "seq")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by([("position", "ascending"), ("strand", "ascending")])
-            column = {n: left.column(n) for n in ("position", "high", "x", "r")}
-            known = {"valid": pc.and_(pc.is_valid(column["x"]), pc.is_valid(column["r"])).to_numpy()}
-            known |= {n: c.fill_null(0).to_numpy() if n in ("x", "r") else c.to_numpy() for n, c in column.items()}
-            keys = [left.column(n)[0].as_py() for n in GROUP]
-            out = [(*keys, *f) for f in mixture_search(right.column("seq")[0].as_py(), keys[1], known, options)]
-        return pa.table({f.name: pa.array([row[i] for row in out], f.type) for i, f in enumerate(_FOUND)}, schema=_FOUND)
-
-    schema = "contig_id string, mod_type string, motif_seq string, mod_position int, score double, pi double, true_alpha double, true_beta double"
-    found = rows.groupBy(*GROUP).cogroup(texts.groupBy("contig", "kind")).applyInArrow(run, schema)
+    high = F.coalesce((level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels) == "High") & (F.col("strand") == "+"), F.lit(False))
+    clamped = F.least(F.greatest(frac64(F.col("n_mod"), F.col("n_valid_cov")), F.lit(mixture.CLAMP)), F.lit(1 - mixture.CLAMP))
+    with_x = records.select(*GROUP, "position", "strand", high.alias("high"), F.when(F.col("n_valid_cov") > 0, clamped).alias("x"))
+    weighed = mixture.with_models(with_x, logged, GROUP).withColumn("r", F.exp(lt - log_sum_exp(lt, lf)))
+    return weighed.select(*GROUP, "position", "strand", "high", "x", "r")
+
+
+def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: MixtureOptions = MixtureOptions(), **rounds) -> DataFrame:
+    """The motifs of each contig with the mixture fitted to their records."""
+    seeds = checkpointed(mixture.seed_models(records, GROUP))
+    weighed = checkpointed(weighed_records(records, seeds, options))
+    count = F.count("*").cast("double").alias("n_records")
+    groups = checkpointed(with_whole_window(weighed, sequences, F.col("high"), options.flank, count).where(F.col("n_records") >= options.min_records))
+    found = search_rounds(weighed, sequences, groups, MixtureSearch, options, **rounds)
     false = seeds.select(*GROUP, F.col("fa").alias("false_alpha"), F.col("fb").alias("false_beta"))
-    return found.join(false, GROUP).select(
-        "contig_id",
-        F.concat_ws("-", "motif_seq", "mod_type", F.col("mod_position").cast("string")).alias("motif"),
-        "motif_seq",
-        F.col("mod_type").alias("motif_mod_type"),
-        F.col("mod_position").alias("motif_mod_position"),
-        "pi", "true_alpha", "true_beta", "false_alpha", "false_beta", "score",
-    )
+    models = (F.col("alpha").alias("true_alpha"), F.col("beta").alias("true_beta"), "false_alpha", "false_beta")
+    return found.join(false, GROUP).select(*_named("pi", *models, "score"))

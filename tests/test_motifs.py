@@ -158,23 +158,94 @@ def test_gate_of_the_mixture_search_counts_all_records(spark):
     assert search.discover_by_mixture(few, few_seq).count() == 0  # 49 records
 
 
-def test_mixture_search_keeps_records_at_the_ends(spark):
+def _codes(text):
+    return search._BASES[np.frombuffer(text.encode(), np.uint8)]
+
+
+def test_tallies_against_brute_force():
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(list("ACGTN"), 400, p=[0.3, 0.2, 0.2, 0.25, 0.05]))
+    left, right, n = 3, 5, 300
+    at, minus = rng.integers(0, 400, n), rng.random(n) < 0.4
+    weights = rng.integers(0, 5, (n, 2)).astype(float)
+    windows = search.Windows(_codes(text), at, minus, left, right, weights.copy())
+
+    def character(i, offset):
+        at_i = at[i] - (offset - left) if minus[i] else at[i] + (offset - left)
+        if not 0 <= at_i < 400:
+            return None
+        return text[at_i].translate(str.maketrans("ACGT", "TGCA")) if minus[i] else text[at_i]
+
+    fits = lambda c, code: c is not None and (code == "N" or c in search.MASK and bool(search.MASK[c] & search.MASK[code] and c in "ACGT"))
+    for motif in ("...A.....", "..NA.....", "..GA.C...", "..RANNY..", "NNNNNNNNN", "...M....."):
+        want = np.zeros((9, 5, 2))
+        for i in range(n):
+            chars = [character(i, o) for o in range(9)]
+            wrong = [o for o in range(9) if motif[o] != "." and not fits(chars[o], motif[o])]
+            for o in range(9):
+                if chars[o] is not None and (wrong == [] or (wrong == [o] and motif[o] != "N")):
+                    want[o, "ACGT".find(chars[o]) if chars[o] in "ACGT" else 4] += weights[i]
+        assert np.array_equal(windows.tally(motif, 9), want)
+        assert np.array_equal(windows.tally(motif, 4), want[:4])
+    windows.without("...A.....", slice(0, 1))
+    assert windows.tally("...A.....", 9)[3, 0, 0] == 0 < windows.tally("...A.....", 9)[3, 0, 1]
+
+
+def test_motifs_grow_as_text():
+    from methyloom.functions.motif import grow
+
+    for at, mask, bases in ((0, 1, "A"), (2, 6, "CG"), (3, 8, "T"), (4, 1, "A"), (8, 4, "G")):
+        seq, position = grow("GA", 1, at - 2, bases)  # GA stands at the offsets 2 and 3
+        joined = search.MASK[seq[at - 3 + position]]
+        grown = search._grown("..GA.....", at, joined if at in (2, 3) else mask)
+        assert grown.strip(".") == seq and len(grown) - len(grown.lstrip(".")) == 3 - position
+
+
+def test_records_at_the_ends_count(spark):
     text = "GATC" + "CTTC" * 60 + "GATC"
-    position = np.array([1, *(i for i in range(5, 5 + 60)), len(text) - 3])
-    r = search._Records(text, position, 4)
-    g, a = 0b0100, 0b0001
-    gat = (15, 15, 15, g, a, 8, 15, 15, 15)
-    assert np.flatnonzero(r.match(gat, (3, 5))).tolist() == [0, len(position) - 1]
-    assert np.flatnonzero(r.match(gat, (2, 5))).tolist() == [len(position) - 1]  # NGAT does not fit at the start
-    assert r.inner()[[0, -1]].tolist() == [False, False]
-
-
-def test_mixture_search_reaches_beyond_the_window():
+    at = np.array([1, *range(5, 65), len(text) - 3])
+    windows = search.Windows(_codes(text), at, np.zeros(len(at), bool), 4, 4, np.ones((len(at), 1)))
+    assert windows.tally("...GAT...", 9)[4, 0, 0] == 2 and windows.tally("..NGAT...", 9)[4, 0, 0] == 1  # NGAT does not fit at the start
+    seq, recs, n = _planted(spark)
+    begun = recs.where("position < 10 or position % 3 = 0")  # windows cut by the start are records too
+    leveled = begun.withColumn("level", search.level_of(F.col("n_mod"), F.col("n_valid_cov"), search.COUNT_LEVELS))
+    found = search.found_by_counts(leveled, seq, search.CountOptions()).collect()
+    for r in found:
+        motif = spark.createDataFrame([("c", r.motif_seq, "6mA", r.mod_position)], "contig_id string, motif_seq string, mod_type string, mod_position int")
+        own = level_counts(leveled, occurrences(seq, motif, overlapping=True).where("strand = '+'")).first()
+        assert (own.high_count, own.low_count) == (r.high, r.low)
+
+
+def test_one_contig_spread_over_many_chunks(spark):
+    seq, recs, n = _planted(spark, n=3000)
+    few = search.MixtureOptions(max_rounds=2, max_low_score=0)
+    for discover, options, rounds in (
+        (search.discover_by_counts, search.CountOptions(max_rounds=4), {"chunk": 1100, "ahead": 16}),
+        (search.discover_by_mixture, few, {"chunk": 1100, "ahead": 16}),
+        (search.discover_by_mixture, few, {"steps": 12}),
+    ):
+        whole = sorted(map(tuple, discover(recs, seq, options).collect()))
+        apart = sorted(map(tuple, discover(recs, seq, options, **rounds).collect()))
+        assert [x[:5] for x in apart] == [x[:5] for x in whole] and len(whole) >= 1
+        assert np.allclose([x[-1] for x in apart], [x[-1] for x in whole])
+
+
+def test_mixture_search_names_the_planted_bases(spark):
+    seq, recs, n = _planted(spark, "ACTT", 0)
+    found = search.discover_by_mixture(recs, seq).collect()
+    best = max(found, key=lambda r: r.score)
+    at = best.motif_mod_position
+    assert best.motif_seq[at + 1 : at + 4] == "CTT" and best.score > 0.8
+
+
+def test_mixture_search_reaches_beyond_the_window(spark):
     rng = np.random.default_rng(8)
     text = "".join(rng.choice(list("ACGT"), 6000))
-    position = np.array([i for i, b in enumerate(text) if b == "A" and i + 7 < len(text)])
-    high = np.array([text[i + 7] == "G" for i in position])
-    x = np.where(high, 0.8 + 0.05 * (position % 4), 0.02 + 0.01 * (position % 3))
-    records = {"position": position, "high": high, "valid": np.ones(len(x), bool), "x": x, "r": np.where(high, 0.99, 0.001)}
-    found = search.mixture_search(text, "6mA", records, search.MixtureOptions(max_rounds=20))
-    assert any(len(s) > p + 7 and s[p + 7] == "G" for s, p, *_ in found)
+    position = [i for i, b in enumerate(text) if b == "A" and i + 7 < len(text)]
+    high = [text[i + 7] == "G" for i in position]
+    rows = [("c", "6mA", i, "+", h, 0.8 + 0.05 * (i % 4) if h else 0.02 + 0.01 * (i % 3), 0.99 if h else 0.001) for i, h in zip(position, high, strict=True)]
+    records = spark.createDataFrame(rows, "contig_id string, mod_type string, position long, strand string, high boolean, x double, r double")
+    groups = records.limit(1).select("contig_id", "mod_type", F.lit(float(len(rows))).alias("n_records"))
+    seq = spark.createDataFrame([("c", text)], "contig_id string, seq string")
+    found = search.search_rounds(records, seq, groups, search.MixtureSearch, search.MixtureOptions(max_rounds=20)).collect()
+    assert any(len(r.motif_seq) > r.mod_position + 7 and r.motif_seq[r.mod_position + 7] == "G" for r in found)
