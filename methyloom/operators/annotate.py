@@ -48,7 +48,25 @@ def latest_sequences(contigs: DataFrame) -> DataFrame:
 
 def contigs_without_sequence(records: DataFrame, sequences: DataFrame) -> DataFrame:
     """Contigs of records that have no sequence, with their number of records."""
-    return records.join(sequences.select("contig_id"), "contig_id", "left_anti").groupBy("contig_id").agg(F.count("*").alias("n_records"))
+    per_contig = records.groupBy("contig_id").agg(F.count("*").alias("n_records"))
+    return per_contig.join(sequences.select("contig_id"), "contig_id", "left_anti")
+
+
+HOT_SHARE = 1_000
+
+
+def on_contigs(records: DataFrame, contigs: DataFrame, keep: bool = True) -> DataFrame:
+    """Records on the given contigs, or those on no such contig.
+
+    Contigs of at least 1/``HOT_SHARE`` of all records are at most so many, their answer is broadcast;
+    records of the others, none of which is that large, meet the list by contig.
+    """
+    loads = records.groupBy("contig_id").agg(F.count("*").alias("n"))
+    hot = loads.where(F.col("n") * HOT_SHARE >= loads.agg(F.sum("n")).scalar()).select("contig_id")
+    how = "left_semi" if keep else "left_anti"
+    few = F.broadcast(hot)
+    heavy = records.join(F.broadcast(hot.join(contigs.select("contig_id"), "contig_id", how)), "contig_id", "left_semi")
+    return heavy.unionByName(records.join(few, "contig_id", "left_anti").join(contigs.select("contig_id"), "contig_id", how))
 
 
 def annotate(records: DataFrame, found: DataFrame) -> DataFrame:
@@ -78,13 +96,14 @@ def summarise(annotated: DataFrame, min_cov: int = 5, threshold: float = 0.7) ->
     # motif strings per group are a small set: distinct ones meet, not one per record
     listed = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(covered & F.col("in_motif"), F.split("motifs", ","))))))
     keys = ["contig_id", "mod_type", "strand"]
-    summed = annotated.groupBy(*keys).agg(
-        listed.alias("list"), count(covered, "n_records"), count(~covered, "n_records_below_cov"), *sides
-    )
-    strands = F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand")
-    spine = summed.select("contig_id", "mod_type").distinct().select("contig_id", "mod_type", strands)
-    counts = [c for c in summed.columns if c not in (*keys, "list")]
-    return spine.join(summed, keys, "left").select(
+    per_strand = annotated.groupBy(*keys).agg(listed.alias("list"), count(covered, "n_records"), count(~covered, "n_records_below_cov"), *sides)
+    # a second, tiny grouping brings the two strands together; a strand without records has nulls
+    values = [c for c in per_strand.columns if c not in keys]
+    both = per_strand.groupBy("contig_id", "mod_type").agg(*(F.max(F.when(F.col("strand") == s, F.struct(*values))).alias(n) for n, s in (("plus", "+"), ("minus", "-"))))
+    strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("plus").alias("v")), F.struct(F.lit("-").alias("strand"), F.col("minus").alias("v")))).alias("s")
+    summed = both.select("contig_id", "mod_type", strands).select("contig_id", "mod_type", "s.strand", "s.v.*")
+    counts = [c for c in values if c != "list"]
+    return summed.select(
         *keys,
         F.coalesce(F.array_join("list", ","), F.lit("")).alias("motifs"),
         F.coalesce(F.size("list"), F.lit(0)).cast("long").alias("n_motifs"),

@@ -102,14 +102,12 @@ def matching(windows: DataFrame, motif_regex: str, motif_length: int, motif_posi
 def pssm(windows: DataFrame, by: list[str], flank: int, pseudocount: float = 0.0) -> DataFrame:
     """(by, offset, base, freq): base frequencies per offset; other characters count in the total only.
 
-    Equal windows are counted before they are taken apart.
+    One pass: windows are taken apart where they are, and each task sends its counts per offset only.
     """
-    kmers = windows.groupBy(*by, "kmer").agg(F.count("*").alias("__n"))
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(2 * flank))).alias("offset")
-    at = kmers.select(*by, "kmer", "__n", offsets)
+    at = windows.select(*by, "kmer", F.explode(F.sequence(F.lit(0), F.lit(2 * flank))).alias("offset"))
     base = F.substr(F.col("kmer"), F.col("offset") + 1, F.lit(1))
-    sums = [F.coalesce(F.sum(F.when(base == b, F.col("__n"))), F.lit(0)).alias(f"__{b}") for b in "ACGT"]
-    counts = at.groupBy(*by, "offset").agg(F.sum("__n").alias("__total"), *sums)
+    each = [F.count(F.when(base == b, 1)).alias(f"__{b}") for b in "ACGT"]
+    counts = at.groupBy(*by, "offset").agg(F.count("*").alias("__total"), *each)
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"__{b}").alias("n")) for b in "ACGT"])).alias("__b")
     freq = (F.col("__b.n") + pseudocount) / (F.col("__total") + 4 * pseudocount)
     return counts.select(*by, "offset", "__total", rows).select(*by, "offset", F.col("__b.base").alias("base"), freq.alias("freq"))

@@ -13,7 +13,7 @@ from methyloom.operators import occurrences as occ
 from methyloom.operators.occurrences import MOTIF
 from methyloom.plans import inputs
 from methyloom.plans.record_queries import F32, LEVELED, leveled
-from methyloom.session import table
+from methyloom.session import checkpointed, table
 
 FLANK = 10
 _R = 9
@@ -96,9 +96,9 @@ def q_motif_positions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = inputs.sequences(spark, sf_dir)
-    records = inputs.pileup(spark, sf_dir).join(s.select("contig_id"), "contig_id", "left_semi")
-    return ann.annotate(records, found(spark, sf_dir))
+    # which contigs have a sequence is read off the table alone: one short row per contig
+    known = table(spark, sf_dir, "contigs").where("contig_id is not null and seq is not null").select("contig_id").distinct()
+    return ann.annotate(ann.on_contigs(inputs.pileup(spark, sf_dir), known), found(spark, sf_dir))
 
 
 def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def q_pssm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = windows.pssm(methylated(spark, sf_dir), ["mod_type"], FLANK)
+    p = checkpointed(windows.pssm(methylated(spark, sf_dir), ["mod_type"], FLANK))  # a few rows, read twice
     q = windows.pssm(background(spark, sf_dir), ["mod_type"], FLANK)
     kl = windows.kl_divergence(p, q, ["mod_type"])
     bases = windows.bases_above(p, ["mod_type"], 0.25)
@@ -186,7 +186,8 @@ def _motif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.seed_models(inputs.pileup(spark, sf_dir), ["contig_id", "mod_type"])
+    """Written once: one row per contig and modification, which the records meet in more than one way."""
+    return checkpointed(mixture.seed_models(inputs.pileup(spark, sf_dir), ["contig_id", "mod_type"]))
 
 
 def q_beta_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +207,11 @@ def q_seed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_em_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step per motif of a contig at penalty 3, and its score."""
     by = ["contig_id", *MOTIF]
-    records = _motif_records(spark, sf_dir)
-    models = records.select(*by).distinct().join(_seeds(spark, sf_dir), ["contig_id", "mod_type"])
-    enough = records.groupBy(*by).agg(F.count("*").alias("k")).where("k >= 10").select(*by)
-    fit = mixture.em_step(records.join(enough, by, "left_semi"), models, by, penalty=3.0)
+    # written once: the number of records of each motif decides which are fitted, and how they meet their model
+    records = checkpointed(_motif_records(spark, sf_dir).select(*by, "position", "strand", "n_mod", "n_valid_cov"))
+    enough = checkpointed(records.groupBy(*by).agg(F.count("*").alias("n")).where("n >= 10"))
+    models = enough.join(_seeds(spark, sf_dir).drop("n"), ["contig_id", "mod_type"])
+    fit = mixture.em_step(records, models, by, penalty=3.0)
     score = measures.mixture_score(F.col("pi"), F.col("alpha"), F.col("beta"))
     return fit.select(*by, "n", F.round("pi", 6).alias("pi"), F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"), F.round(score, 6).alias("score"))
 

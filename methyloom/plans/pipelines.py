@@ -9,6 +9,7 @@ from methyloom.operators import annotate as ann
 from methyloom.operators import search
 from methyloom.operators.clean import COUNTS, CleanOptions, clean, last_wins
 from methyloom.operators.occurrences import occurrences
+from methyloom.session import checkpointed
 from methyloom.sinks import files as sinks
 from methyloom.sources import files as sources
 
@@ -39,17 +40,20 @@ def _records(spark: SparkSession, pileup: str, min_cov: int) -> DataFrame:
     return last_wins(file_order(sources.read_pileup(spark, pileup, min_cov)), _order())
 
 
-def motif_summary(spark: SparkSession, fasta: str, pileup: str, bin_motifs: str, contig_bin: str, out: str | None = None, min_cov: int = 5, min_methylation: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(annotated records, summary), written below ``out`` if given."""
+def motif_summary(spark: SparkSession, fasta: str, pileup: str, bin_motifs: str, contig_bin: str, out: str | None = None, min_cov: int = 5, min_methylation: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(annotated records, summary, contigs without sequence and their records), written below ``out`` if given."""
     sequences = sources.read_fasta(spark, fasta)
     motifs = ann.contig_motifs(sources.read_contig_bin(spark, contig_bin), sources.read_bin_motifs(spark, bin_motifs))
-    records = _records(spark, pileup, 0).join(sequences.select("contig_id"), "contig_id", "left_semi")
-    annotated = ann.annotate(records, occurrences(sequences, motifs))
+    # written once: annotation, summary and report read the same records
+    records = checkpointed(_records(spark, pileup, 0))
+    missing = ann.contigs_without_sequence(records, sequences)
+    annotated = checkpointed(ann.annotate(ann.on_contigs(records, sequences), occurrences(sequences, motifs)))
     summary = ann.summarise(annotated, min_cov, min_methylation)
     if out:
         sinks.write_annotated(annotated, f"{out}/annotated_records")
         sinks.write_summary(summary, f"{out}/summary")
-    return annotated, summary
+        sinks.write_missing(missing, f"{out}/contigs_without_sequence")
+    return annotated, summary, missing
 
 
 def discover(spark: SparkSession, fasta: str, pileup: str, out: str | None = None, min_cov: int = 5, options=search.CountOptions()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from methyloom.operators.clean import bed_fields
 
+# The columns of the summary and of annotated records, as their readers expect them.
 SUMMARY_COLUMNS = [
     "contig_id", "mod_type", "strand", "motifs", "n_motifs", "n_records", "n_records_below_cov", "n_records_in_motif",
     "n_records_not_in_motif", "n_mod_in_motif", "n_canonical_in_motif", "n_valid_cov_in_motif", "n_diff_in_motif",
@@ -45,6 +46,11 @@ def write_summary(summary: DataFrame, path: str) -> None:
     _write_table(summary.select(*SUMMARY_COLUMNS), path)
 
 
+def write_missing(contigs: DataFrame, path: str) -> None:
+    """Contigs of records that have no sequence, and how many records each has."""
+    _write_table(contigs.select("contig_id", "n_records"), path)
+
+
 def write_motifs(motifs: DataFrame, path: str) -> None:
     """Motif tables of either discovery, with a header."""
     _write_table(motifs, path)

@@ -71,9 +71,10 @@ def test_preprocess_round_trip(spark, folder):
 
 def test_summary_and_discovery(spark, folder):
     f = lambda name: str(folder / name)
-    annotated, summary = pipelines.motif_summary(spark, f("x.fa"), f("p.bed"), f("motifs.tsv"), f("bins.tsv"), f("out"))
+    annotated, summary, missing = pipelines.motif_summary(spark, f("x.fa"), f("p.bed"), f("motifs.tsv"), f("bins.tsv"), f("out"))
     s = {(r.contig_id, r.mod_type, r.strand): r for r in summary.collect()}
     assert (s["c1", "6mA", "+"].n_records_in_motif, s["c1", "6mA", "+"].n_gt_threshold_in_motif, s["c1", "6mA", "+"].n_mod_not_in_motif) == (40, 40, 0)
+    assert missing.count() == 0 and spark.read.csv(f("out/contigs_without_sequence"), sep="\t", header=True).count() == 0
     text = spark.read.csv(f("out/annotated_records"), sep="\t", header=True)
     assert text.columns == sinks.ANNOTATED_COLUMNS and text.where("in_motif = 'true'").count() == 40
     assert spark.read.csv(f("out/summary"), sep="\t", header=True).columns == sinks.SUMMARY_COLUMNS
