@@ -1,7 +1,7 @@
 """References to records that do not exist at the time of the referring row.
 
-Keys are partitioned by ranges of their 64-bit hash, so the bounds are known without sampling and
-every range holds about as many parents. The parents of a range lie in one row of sorted arrays;
+Keys are partitioned by ranges of their 64-bit hash, not of the key itself: the bounds are known
+without sampling, and every range holds about as many parents. The parents of a range lie in one row of sorted arrays;
 references come in batches of bounded size, salted within their range, and each batch is probed
 against the arrays by vectorised binary search. Only misses leave the operator.
 
@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from methyloom.session import checkpointed, parallelism
+
 FOREVER = "9999-12-31 23:59:59.999999"
 PARENTS_PER_RANGE = 4_096
 REFERENCES_PER_BATCH = 100_000
@@ -78,9 +80,15 @@ def existence(parents: Sequence[Parents]) -> DataFrame:
         )
         union = one if union is None else union.unionByName(one)
     merged = union.where(F.col("end") > F.col("start")).groupBy("kind", "key", "start").agg(F.max("end").alias("end"))
-    before = Window.partitionBy("kind", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    # the furthest end so far in two steps, within days and over days, so that no task sorts all rows of a key
+    dated = merged.withColumn("day", F.to_date("start"))
+    in_day = Window.partitionBy("kind", "key", "day").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    over_days = Window.partitionBy("kind", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = dated.groupBy("kind", "key", "day").agg(F.max("end").alias("day_end")).withColumn("carried", F.max("day_end").over(over_days)).drop("day_end")
     return (
-        merged.withColumn("reach", F.max("end").over(before))
+        dated.withColumn("own", F.max("end").over(in_day))
+        .join(days, ["kind", "key", "day"])
+        .withColumn("reach", F.greatest("own", "carried"))
         .where(F.col("reach").isNull() | (F.col("end") > F.col("reach")))
         .select("kind", "key", _hash(F.col("kind"), F.col("key")).alias("hash"), "start", "end")
     )
@@ -153,7 +161,8 @@ def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
 
 def orphans(parents: Sequence[Parents], references: Sequence[References], parents_per_range: int = PARENTS_PER_RANGE, references_per_batch: int = REFERENCES_PER_BATCH) -> DataFrame:
     """(src_table, row_id, ref_month) of each reference whose key does not exist at its time."""
-    held, refs = existence(parents), _references(references)
+    spark = references[0].df.sparkSession
+    held, refs = checkpointed(existence(parents)), _references(references)  # parents written once: they are counted, then placed
     # bounds of the work: the ranges from the number of parents, the salts from the references per range
     bits = max(0, math.ceil(math.log2(max(1, held.count()) / parents_per_range)))
     arrays = (
@@ -162,7 +171,10 @@ def orphans(parents: Sequence[Parents], references: Sequence[References], parent
         .agg(F.sort_array(F.collect_list(F.struct("hash", "kind", "key", "start", "end"))).alias("parents"))
     )
     loads = refs.groupBy(_range(bits).alias("range")).agg(F.count("*").alias("n"))
-    salts = loads.select("range", F.ceil(F.col("n") / references_per_batch).cast("int").alias("salts"))
+    # one row per range, written once: how the references are dealt, and how many tasks probe them
+    salts = checkpointed(loads.select("range", F.ceil(F.col("n") / references_per_batch).cast("int").alias("salts")))
+    batches = salts.agg(F.sum("salts")).first()[0] or 1
+    tasks = max(parallelism(spark), batches)
     placed = (
         refs.withColumn("range", _range(bits))
         .join(salts.hint("shuffle_hash") if bits > 16 else F.broadcast(salts), "range")  # one row per range
@@ -176,8 +188,8 @@ def orphans(parents: Sequence[Parents], references: Sequence[References], parent
     )
     names = F.create_map(*[x for i, r in enumerate(references) for x in (F.lit(i), F.lit(r.src_table))])
     return (
-        placed.groupBy("range", "salt")
-        .cogroup(copies.groupBy("range", "salt"))
+        placed.repartition(tasks, "range", "salt").groupBy("range", "salt")
+        .cogroup(copies.repartition(tasks, "range", "salt").groupBy("range", "salt"))
         .applyInArrow(probe, "src int, row_id long, ref_month string")
         .select(names[F.col("src")].alias("src_table"), "row_id", "ref_month")
     )
