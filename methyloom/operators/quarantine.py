@@ -8,7 +8,8 @@ Defined results
   * a null line is a case (``missing_line``); an empty line has one field, hence a wrong count;
   * fields are counted only where the quoting is sound, and cell rules apply only to lines with the
     right number of fields, because columns shift otherwise;
-  * the key identifies the row: rows that share a key (a null key included) share one verdict;
+  * a line is judged by its text: rows that share a key (a null key included) are judged one by one,
+    so a failing row never takes a sound one with it; copies of a failing row are reported once per key;
   * other columns of the input are kept whatever they are called (internal names are reserved by
     the prefix ``__q_``); an empty table gives empty results.
 """
@@ -127,8 +128,8 @@ def cells(lines: DataFrame, key: str, line: str, rules: Sequence[Rule], n_fields
     )
     return (
         parsed(lines.select(key, line), line, n_fields)
-        .select(key, F.explode(shown).alias("__q_cell"))
-        .select(key, F.col("__q_cell.c").alias("__q_column"), F.col("__q_cell.v").alias("__q_value"))
+        .select(key, F.col(f"`{line}`").alias("__q_line"), F.explode(shown).alias("__q_cell"))
+        .select(key, "__q_line", F.col("__q_cell.c").alias("__q_column"), F.col("__q_cell.v").alias("__q_value"))
     )
 
 
@@ -144,23 +145,24 @@ def cell_errors(lines: DataFrame, key: str, line: str, rules: Sequence[Rule] = P
         cells(lines, key, line, rules, n_fields)
         .join(small, "__q_column")
         .where(~F.coalesce(sound, F.lit(False)))
-        .select(key, F.col("__q_column").alias("column"), F.col("__q_value").alias("value"), "reason")
+        .select(key, "__q_line", F.col("__q_column").alias("column"), F.col("__q_value").alias("value"), "reason")
     )
 
 
 def row_errors(lines: DataFrame, key: str, line: str, rules: Sequence[Rule] = PILEUP_RULES, n_fields: int = PILEUP_FIELDS) -> DataFrame:
     """One row per failing line: its key and its sorted, distinct reasons."""
-    return (
-        cell_errors(lines, key, line, rules, n_fields)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-    )
+    return _errors_with_line(lines, key, line, rules, n_fields).drop("__q_line")
+
+
+def _errors_with_line(lines: DataFrame, key: str, line: str, rules: Sequence[Rule] = PILEUP_RULES, n_fields: int = PILEUP_FIELDS) -> DataFrame:
+    reasons = F.sort_array(F.collect_set("reason")).alias("reasons")
+    return cell_errors(lines, key, line, rules, n_fields).groupBy(key, "__q_line").agg(reasons)
 
 
-def clean_rows(lines: DataFrame, errors: DataFrame, key: str) -> DataFrame:
-    """The lines that no error names (an anti-join; null keys match null keys)."""
-    bad = errors.select(F.col(key).alias("__q_key"))
-    return lines.join(bad, lines[key].eqNullSafe(bad["__q_key"]), "left_anti")
+def clean_rows(lines: DataFrame, errors: DataFrame, key: str, line: str) -> DataFrame:
+    """The rows that no error names (an anti-join on key and text; nulls match nulls)."""
+    bad = errors.select(F.col(key).alias("__q_key"), "__q_line")
+    return lines.join(bad, lines[key].eqNullSafe(bad["__q_key"]) & lines[line].eqNullSafe(bad["__q_line"]), "left_anti")
 
 
 def pileup_records(lines: DataFrame, line: str = "raw_line") -> DataFrame:
@@ -186,5 +188,5 @@ _RECORD = {"contig_id", "position", "strand", "mod_type", "n_mod", "n_valid_cov"
 
 def load_pileup(lines: DataFrame, key: str = "line_id", line: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """(typed records of the sound lines, key and reasons of the others)."""
-    errors = row_errors(lines, key, line)
-    return pileup_records(clean_rows(lines, errors, key), line), errors
+    errors = _errors_with_line(lines, key, line)
+    return pileup_records(clean_rows(lines, errors, key, line), line), errors.drop("__q_line")
