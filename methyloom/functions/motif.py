@@ -114,6 +114,19 @@ def overlaps_itself(sequence: str) -> bool:
 # ---- the same on columns ----
 
 
+def overlaps_itself_col(sequence: Column) -> Column:
+    """What ``overlaps_itself`` tells: whether some shift of the sequence is compatible with it at every base."""
+    mask = F.create_map(*[F.lit(x) for pair in iupac.MASK.items() for x in pair])
+    masks = F.transform(F.split(sequence, "(?!$)"), lambda c: mask[c])
+    shifts = F.sequence(F.lit(1), F.greatest(F.length(sequence) - 1, F.lit(1)))
+
+    def fits(by: Column) -> Column:
+        moved = F.slice(masks, by + 1, F.greatest(F.length(sequence) - by, F.lit(0)))
+        return F.forall(F.arrays_zip(moved.alias("a"), F.slice(masks, F.lit(1), F.length(sequence) - by).alias("b")), lambda z: z["a"].bitwiseAND(z["b"]) != 0)
+
+    return (F.length(sequence) > 1) & F.exists(shifts, fits)
+
+
 def is_valid_col(sequence: Column, mod_type: Column, position: Column) -> Column:
     """What ``Motif`` checks; false for nulls."""
     inside = (position >= 0) & (position < F.length(sequence))

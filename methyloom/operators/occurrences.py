@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from methyloom.functions.iupac import MASK, reverse_complement_col
-from methyloom.functions.motif import complement_position_col, overlaps_itself
+from methyloom.functions.motif import complement_position_col, overlaps_itself, overlaps_itself_col
 
 MOTIF = ["motif_seq", "mod_type", "mod_position"]
 _CONCRETE = np.zeros(256, np.uint8)
@@ -49,41 +49,70 @@ def both_strands(motifs: DataFrame) -> DataFrame:
     return motifs.select("*", F.explode(F.array(plus, minus)).alias("s")).select(*motifs.columns, "s.*")
 
 
-def occurrences(sequences: DataFrame, motifs: DataFrame, overlapping: bool = False) -> DataFrame:
-    """(contig_id, motif, strand, start, position) of each match of a contig's motifs.
+PIECE = 1 << 20
 
-    ``motifs`` has a contig_id; a contig meets its motifs in one row, so a sequence is sent once
-    whatever their number. A contig without sequence, or shorter than a motif, has no match.
-    """
-    wanted = ["strand", "pattern", "anchor", *MOTIF]
-    per_contig = both_strands(motifs.select("contig_id", *MOTIF)).groupBy("contig_id").agg(F.collect_set(F.struct(*wanted)).alias("patterns"))
 
+def _starts(bases: np.ndarray, pattern: str, overlapping: bool, n: int) -> np.ndarray:
+    """Starts below ``n``: all, or leftmost without overlap."""
+    return match_starts(bases[: n + len(pattern) - 1], pattern, overlapping)
+
+
+def _match(overlapping: bool):
     def run(batches):
         for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             parts = []
-            for contig, seq, patterns in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for i, (seq, patterns) in enumerate(zip(get("text"), get("patterns"), strict=True)):
                 bases = _CONCRETE[np.frombuffer(seq.as_buffer(), np.uint8)]
-                for p in patterns.as_py():
-                    starts = match_starts(bases, p["pattern"], overlapping)
-                    if len(starts):
-                        parts.append((contig.as_py(), p, starts))
+                first, n = get("first")[i].as_py(), get("n")[i].as_py()
+                parts += [(i, p, s + first) for p in patterns.as_py() if len(s := _starts(bases, p["pattern"], overlapping, n))]
             lengths = [len(s) for _, _, s in parts]
-            at = pa.array(np.repeat(np.arange(len(parts)), lengths))
+            rows = pa.array(np.repeat([i for i, _, _ in parts], lengths).astype(np.int64))
             starts = np.concatenate([s for _, _, s in parts]) if parts else np.empty(0, np.int64)
-            anchors = np.repeat([p["anchor"] for _, p, _ in parts], lengths).astype(np.int64)
-            column = lambda values, kind: pa.array(list(values), kind).take(at)  # noqa: B023, E731
+            of = pa.array(np.repeat(np.arange(len(parts)), lengths))
+            column = lambda name, kind: pa.array([p[name] for _, p, _ in parts], kind).take(of)  # noqa: B023, E731
+            anchors = column("anchor", pa.int64()).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
-                    column((c for c, _, _ in parts), pa.string()),
-                    *(column((p[n] for _, p, _ in parts), pa.int32() if n == "mod_position" else pa.string()) for n in [*MOTIF, "strand"]),
+                    get("contig_id").take(rows),
+                    *(column(n, pa.int32() if n == "mod_position" else pa.string()) for n in [*MOTIF, "strand"]),
                     pa.array(starts),
                     pa.array(starts + anchors),
                 ],
                 names=["contig_id", *MOTIF, "strand", "start", "position"],
             )
 
+    return run
+
+
+def occurrences(sequences: DataFrame, motifs: DataFrame, overlapping: bool = False, piece: int = PIECE) -> DataFrame:
+    """(contig_id, motif, strand, start, position) of each match of a contig's motifs.
+
+    ``motifs`` has a contig_id. Sequences are matched in pieces of ``piece`` bases and as many more as
+    the longest motif needs, so one long contig is many rows. Patterns that can overlap themselves must
+    be told apart from the left end of the contig when overlaps are not wanted: these alone are matched
+    on whole contigs. A contig without sequence, or shorter than a motif, has no match.
+    """
+    wanted = ["strand", "pattern", "anchor", *MOTIF]
+    stranded = both_strands(motifs.select("contig_id", *MOTIF))
+    known = sequences.where("seq is not null").select("contig_id", "seq", F.length("seq").cast("long").alias("length"))
     schema = "contig_id string, motif_seq string, mod_type string, mod_position int, strand string, start long, position long"
-    return sequences.where("seq is not null").select("contig_id", "seq").join(per_contig, "contig_id").mapInArrow(run, schema)
+
+    def matched(own: DataFrame, whole: bool) -> DataFrame:
+        patterns = own.groupBy("contig_id").agg(F.collect_set(F.struct(*wanted)).alias("patterns"), F.max(F.length("pattern")).alias("longest"))
+        rows = known.join(patterns, "contig_id")
+        if whole:
+            cut = rows.select("contig_id", "patterns", F.lit(0).cast("long").alias("first"), F.col("length").alias("n"), F.col("seq").alias("text"))
+        else:
+            first = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(piece).cast("long"))).alias("first")
+            text = F.substr(F.col("seq"), (F.col("first") + 1).cast("int"), F.lit(piece) + F.col("longest") - 1)
+            cut = rows.select("*", first).select("contig_id", "patterns", "first", F.lit(piece).cast("long").alias("n"), text.alias("text"))
+        return cut.mapInArrow(_match(overlapping), schema)
+
+    if overlapping:
+        return matched(stranded, False)
+    again = overlaps_itself_col(F.col("pattern"))
+    return matched(stranded.where(~again), False).unionByName(matched(stranded.where(again), True))
 
 
 def records_of_motifs(records: DataFrame, found: DataFrame) -> DataFrame:

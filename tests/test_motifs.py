@@ -34,6 +34,23 @@ def test_matches_like_a_regex(spark):
     assert over == {(c, q, m.start()) for c, s in seqs.items() for q, _, _ in motifs for m in re.finditer(f"(?={regex(q)})", s)}
 
 
+def test_pieces_match_like_whole_contigs(spark):
+    from methyloom.functions.motif import overlaps_itself, overlaps_itself_col
+
+    random.seed(9)
+    seqs = {f"c{i}": "".join(random.choices("ACGTN", [5, 5, 5, 5, 1], k=k)) for i, k in enumerate((0, 1, 3, 50, 100, 101, 333))}
+    s = spark.createDataFrame(list(seqs.items()), "contig_id string, seq string")
+    motifs = [("AA", "6mA", 1), ("CCNGG", "5mC", 1), ("ANA", "6mA", 0), ("RAY", "6mA", 1), ("GATC", "6mA", 1), ("C", "4mC", 0), ("GANNNNNNT", "6mA", 1)]
+    m = spark.createDataFrame([(c, q, t, p) for c in seqs for q, t, p in motifs], "contig_id string, motif_seq string, mod_type string, mod_position int")
+    for overlapping in (False, True):
+        want = sorted(map(tuple, occurrences(s, m, overlapping).collect()))
+        assert len(want) > 50
+        for piece in (7, 10, 50):
+            assert sorted(map(tuple, occurrences(s, m, overlapping, piece).collect())) == want
+    names = spark.createDataFrame([(q,) for q, _, _ in motifs] + [("GATCGA",), ("NN",), ("AT",)], "q string")
+    assert all(r.o == overlaps_itself(r.q) for r in names.select("q", overlaps_itself_col(F.col("q")).alias("o")).collect())
+
+
 def test_annotation_and_summary(spark):
     seq = spark.createDataFrame([("c", "GGATCCGATC"), ("d", None)], "contig_id string, seq string")
     motifs = spark.createDataFrame([("c", "GATC", "6mA", 1), ("c", "CCG", "5mC", 0)], "contig_id string, motif_seq string, mod_type string, mod_position int")
