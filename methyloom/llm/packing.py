@@ -110,12 +110,13 @@ def _plan_shard(capacity: int, slack: float, bulk: int):
     return run
 
 
-def plan_shards(histograms: DataFrame, capacity: int) -> DataFrame:
+def plan_shards(histograms: DataFrame, capacity: int, shards: int) -> DataFrame:
     """(shard, size, rank, container, each, times): from ``rank`` on, ``each`` items of the size go to each of ``times`` containers.
 
     ``histograms`` has (shard, size, n). Containers are numbered through all shards.
     """
-    drafts = checkpointed(histograms.groupBy("shard").applyInArrow(_plan_shard(capacity, SLACK, BULK), _PLAN_SCHEMA))
+    # as many tasks as shards: a plan is more work than its few rows let expect
+    drafts = checkpointed(histograms.repartition(shards, "shard").groupBy("shard").applyInArrow(_plan_shard(capacity, SLACK, BULK), _PLAN_SCHEMA))
     kept, over = drafts.where("times > 0"), drafts.where("times = 0")
     # containers of a shard follow those of the shards before it, those of what is left over come last
     used = kept.groupBy("shard").agg(F.max(F.col("container") + F.col("times")).alias("used"))
@@ -173,7 +174,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, items_per_shard:
     shards = max(parallelism(sizes.sparkSession), math.ceil(n_parts / items_per_shard))
     # the place of a row takes part, so that rows of one key, of which there may be many, spread too
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("key", "part", "row"), F.lit(shards)).cast("int")).drop("row")
-    plans = plan_shards(dealt.groupBy("shard", "size").agg(F.count("*").alias("n")), capacity)
+    plans = plan_shards(dealt.groupBy("shard", "size").agg(F.count("*").alias("n")), capacity, shards)
     kind = dict(sizes.dtypes)[key]
-    placed = dealt.groupBy("shard").cogroup(plans.groupBy("shard")).applyInArrow(place, f"key {kind}, part long, first long, size long, container long")
+    by_shard = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    placed = by_shard(dealt).cogroup(by_shard(plans)).applyInArrow(place, f"key {kind}, part long, first long, size long, container long")
     return placed.withColumnsRenamed({"key": key})
