@@ -89,12 +89,32 @@ def clean(df: DataFrame, order: list[Column], options: CleanOptions = CleanOptio
     return without_dense_neighbourhoods(strong, options.window, options.n_high, options.fraction).select(*COLUMNS)
 
 
-def contig_runs(df: DataFrame, file: str, line: str, contig: str = "contig_id") -> DataFrame:
-    """Contiguous runs of one contig in the order of a file: (file, run, contig, first and last line, records)."""
-    w = Window.partitionBy(file).orderBy(line)
-    starts = (~F.col(contig).eqNullSafe(F.lag(contig).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = df.withColumn("__start", starts).withColumn("run", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(file, "run", contig).agg(F.min(line).alias("first_line"), F.max(line).alias("last_line"), F.count("*").alias("n_records"))
+def contig_runs(df: DataFrame, file: str, line: str, contig: str = "contig_id", block: int = 1 << 20) -> DataFrame:
+    """Contiguous runs of one contig in the order of a file: (file, run, contig, first and last line, records).
+
+    Runs are numbered within blocks of lines; what a block begins with is compared with the last row of
+    the block before it, and the runs of earlier blocks are carried on, so one file is many tasks.
+    """
+    rows = df.withColumn("__block", F.floor(F.col(line) / block))
+    w = Window.partitionBy(file, "__block").orderBy(line)
+    inner = F.when(F.row_number().over(w) > 1, (~F.col(contig).eqNullSafe(F.lag(contig).over(w))).cast("int")).otherwise(0)
+    marked = rows.withColumn("__start", inner)
+    blocks = marked.groupBy(file, "__block").agg(F.sum("__start").alias("__inner"), F.min_by(contig, line).alias("__first"), F.max_by(contig, line).alias("__last"))
+    order = Window.partitionBy(file).orderBy("__block")  # one row per block
+    begins = F.when(F.row_number().over(order) == 1, 1).otherwise((~F.col("__first").eqNullSafe(F.lag("__last").over(order))).cast("int"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        blocks.withColumn("__begins", begins)
+        .withColumn("__before", F.coalesce(F.sum(F.col("__inner") + F.col("__begins")).over(earlier), F.lit(0)))
+        .select(F.col(file).alias("__file"), F.col("__block").alias("__of"), (F.col("__before") + F.col("__begins")).alias("__carried"))
+    )
+    own = marked.withColumn("__own", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = own.join(carried, F.col(file).eqNullSafe(F.col("__file")) & F.col("__block").eqNullSafe(F.col("__of")))
+    return (
+        runs.withColumn("run", F.col("__carried") + F.col("__own"))
+        .groupBy(file, "run", contig)
+        .agg(F.min(line).alias("first_line"), F.max(line).alias("last_line"), F.count("*").alias("n_records"))
+    )
 
 
 # The 18 columns of a pileup in BED form.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from methyloom.functions.measures import beta_log_pdf, beta_mean, beta_variance, frac64, log_beta, log_sum_exp
 from methyloom.operators.spread import with_lookup
+from methyloom.session import checkpointed
 
 CLAMP = 1e-12
 _PLACE = lambda df: [c for c in ("position", "strand") if c in df.columns]  # noqa: E731  tells records of a group apart
@@ -74,15 +75,33 @@ def em_step(df: DataFrame, models: DataFrame, by: list[str], penalty: float, pri
     )
 
 
-def fit(df: DataFrame, models: DataFrame, by: list[str], penalty: float, iterations: int = 1, **kwargs) -> DataFrame:
-    """``em_step`` repeated; the false component stays, groups without a fit drop out."""
-    current = models
-    for i in range(iterations):
-        out = em_step(df, current, by, penalty, **kwargs)
-        if i + 1 < iterations:
-            fixed = models.select(*by, "fa", "fb")
-            current = out.where("alpha is not null").select(*by, "pi", F.col("alpha").alias("ta"), F.col("beta").alias("tb")).join(fixed, by)
-    return out
+def fit(df: DataFrame, models: DataFrame, by: list[str], penalty: float, iterations: int = 1, tolerance: float = 1e-6, **kwargs) -> DataFrame:
+    """``em_step`` repeated until the log likelihood of a group changes by less than ``tolerance``, at most ``iterations`` times.
+
+    The false component stays. Groups that have converged take no further part. Where a step gives no
+    true component, the one before it is kept. The records and, after every step, the models are
+    written, so that no plan grows with the steps. With one step the result is that of ``em_step``;
+    with more, ``steps`` and ``converged`` are added.
+    """
+    if iterations == 1:
+        return em_step(df, models, by, penalty, **kwargs)
+    records = checkpointed(df.where("n_valid_cov > 0").select(*by, *_PLACE(df), "n_mod", "n_valid_cov"))
+    counts = records.groupBy(*by).agg(F.count("*").alias("n"))
+    start = models.drop("n").join(counts, by).select(*by, "pi", "ta", "tb", "fa", "fb", "n")
+    state = checkpointed(start.select("*", F.lit(None).cast("double").alias("loglik"), F.lit(0).alias("steps"), F.lit(False).alias("converged")))
+    for _ in range(iterations):
+        still = state.where("not converged")
+        if not still.limit(1).count():
+            break
+        step = em_step(records, still.select(*by, "pi", "ta", "tb", "fa", "fb", "n"), by, penalty, **kwargs)
+        new = step.select(*by, F.col("pi").alias("new_pi"), "alpha", "beta", F.col("loglik").alias("new_loglik"))
+        near = F.coalesce(F.abs(F.col("new_loglik") - F.col("loglik")) < tolerance, F.lit(False))
+        moved = still.join(new, by).select(
+            *by, F.col("new_pi").alias("pi"), F.coalesce("alpha", "ta").alias("ta"), F.coalesce("beta", "tb").alias("tb"), "fa", "fb", "n",
+            F.col("new_loglik").alias("loglik"), (F.col("steps") + 1).alias("steps"), near.alias("converged"),
+        )
+        state = checkpointed(state.where("converged").unionByName(moved))
+    return state.select(*by, "n", "pi", F.col("ta").alias("alpha"), F.col("tb").alias("beta"), "loglik", "steps", "converged")
 
 
 def seed_models(df: DataFrame, by: list[str]) -> DataFrame:
@@ -112,8 +131,8 @@ def log_likelihoods(df: DataFrame, models: DataFrame, by: list[str], clamp: floa
     )
 
 
-def standalone_fit(df: DataFrame, models: DataFrame, by: list[str], max_iterations: int = 20) -> DataFrame:
-    """The fit that subtracts ln 2 from the false term and adds the prior Beta(5, 1); steps until ``max_iterations``."""
+def standalone_fit(df: DataFrame, models: DataFrame, by: list[str], max_iterations: int = 100) -> DataFrame:
+    """The fit that subtracts ln 2 from the false term and adds the prior Beta(5, 1), until it converges or ``max_iterations``."""
     return fit(df, models, by, penalty=0.5, iterations=max_iterations, prior=(5.0, 1.0), clamp=1e-6)
 
 
@@ -126,6 +145,6 @@ def score_single_motifs(motif_records: DataFrame, by: list[str], min_records: in
     strong = F.count(F.when(frac64(F.col("n_mod"), F.col("n_valid_cov")) > min_fraction, 1))
     enough = plus.groupBy(*by).agg(strong.alias("strong")).where(F.col("strong") >= min_records).select(*by)
     kept = plus.join(enough, by, "left_semi")
-    false = seed_models(kept, by).select(*by, "fa", "fb")
-    models = false.select(*by, F.lit(0.05).alias("pi"), F.lit(5.0).alias("ta"), F.lit(2.0).alias("tb"), "fa", "fb")
+    false = checkpointed(seed_models(kept, by).select(*by, "fa", "fb", "n"))
+    models = false.select(*by, F.lit(0.05).alias("pi"), F.lit(5.0).alias("ta"), F.lit(2.0).alias("tb"), "fa", "fb", "n")
     return em_step(kept, models, by, penalty=2.0)

@@ -252,6 +252,43 @@ def q_search_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.discover_by_mixture(inputs.pileup(spark, sf_dir), inputs.sequences(spark, sf_dir))
 
 
+def q_search_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per contig and modification with a methylated window: motifs whose counts in the search are not those of a join with their occurrences."""
+    o, by = search.CountOptions(), ["contig_id", *MOTIF]
+    levels = checkpointed(leveled(spark, sf_dir, o.levels))
+    sequences = inputs.sequences(spark, sf_dir)
+    found = checkpointed(search.found_by_counts(levels, sequences, o))
+    counted = occ.level_counts(levels, occ.occurrences(sequences, found, overlapping=True).where("strand = '+'"))
+    same = (F.col("high") == F.coalesce("high_count", F.lit(0))) & (F.col("low") == F.coalesce("low_count", F.lit(0))) & (F.col("score") > o.min_score)
+    wrong = found.join(counted, by, "left").groupBy(*search.GROUP).agg(F.count(F.when(~same, 1)).alias("n"))
+    groups = search.with_whole_window(levels.where("strand = '+'"), sequences, F.col("level") == "High", o.flank)
+    return groups.join(wrong, search.GROUP, "left").select(*search.GROUP, F.coalesce("n", F.lit(0)).alias("n_wrong"))
+
+
+def q_search_mixture_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per contig and modification: motifs that lie on fewer records than asked for, or whose score is not that of their fit."""
+    o, by = search.MixtureOptions(), ["contig_id", *MOTIF]
+    records, sequences = checkpointed(inputs.pileup(spark, sf_dir)), inputs.sequences(spark, sf_dir)
+    found = checkpointed(search.discover_by_mixture(records, sequences, o).withColumnsRenamed({"motif_mod_type": "mod_type", "motif_mod_position": "mod_position"}))
+    hits = records.join(occ.occurrences(sequences, found, overlapping=True).where("strand = '+'").select(*by, "position"), ["contig_id", "mod_type", "position"])
+    enough = hits.groupBy(*by).agg(F.count("*").alias("n"))
+    mean = measures.beta_mean(F.col("true_alpha"), F.col("true_beta"))
+    same = (F.abs(F.col("score") - F.col("pi") * mean) < 1e-6) & (F.col("score") > o.min_score) & (F.coalesce("n", F.lit(0)) >= o.min_motif_records)
+    wrong = found.join(enough, by, "left").groupBy("contig_id", "mod_type").agg(F.count("*").alias("n_found"), F.count(F.when(~same, 1)).alias("n_wrong"))
+    groups = records.groupBy("contig_id", "mod_type").agg(F.count("*").alias("n")).where(F.col("n") >= o.min_records)
+    joined = wrong.withColumn("found", F.lit(True)).join(groups, ["contig_id", "mod_type"], "full")
+    # a motif in a group without enough records would be wrong too
+    return joined.select("contig_id", "mod_type", (F.coalesce("n_wrong", F.lit(0)) + F.when(F.col("n").isNull(), 1).otherwise(0)).alias("n_wrong"))
+
+
+def q_single_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plus-strand records of each motif of a contig, scored from the seed of single motifs."""
+    by = ["contig_id", *MOTIF]
+    records = checkpointed(_motif_records(spark, sf_dir).select(*by, "position", "strand", "n_mod", "n_valid_cov"))
+    fit = mixture.score_single_motifs(records, by)
+    return fit.select(*by, "n", F.round("pi", 5).alias("pi"), F.round(F.col("alpha") / (F.col("alpha") + F.col("beta")), 5).alias("true_mean"), F.round("loglik", 4).alias("loglik"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -259,7 +296,7 @@ QUERIES = {
         q_motif_positions_fwd, q_motif_positions_rev, q_motif_positions_overlap, q_annotate, q_summary, q_missing_sequences,
         q_records_of_motifs, q_records_removed, q_level_counts, q_windows, q_background, q_window_match, q_window_exclude,
         q_pssm, q_kl, q_beta_moments, q_seed_models, q_em_step, q_mixture_stats, q_scores,
-        q_search_count, q_search_mixture,
+        q_search_count, q_search_mixture, q_search_count_check, q_search_mixture_check, q_single_motifs,
     )
 }
 
@@ -371,6 +408,20 @@ SQL = {
       enough as (select {_BY_MOTIF} from hits group by 1, 2, 3, 4 having count(*) >= 10),
       observed as (select h.*, s.pi, s.ta, s.tb, s.fa, s.fb, {_CLAMPED('1e-12')} as x from hits h join enough using (contig_id, motif_seq, mod_type, mod_position) join seeds s using (contig_id, mod_type) where n_valid_cov > 0),
       {_EM(_BY_MOTIF, 3.0)} select {_BY_MOTIF}, n, round(pi, 6) as pi, round(alpha, 4) as alpha, round(beta, 4) as beta, round(pi * alpha / (alpha + beta), 6) as score from fit""",
+    "q_single_motifs": f"""with {inputs.PILEUP}, {_OVERLAP},
+      keys as (select distinct {_BY_MOTIF}, position from over where strand = '+'),
+      hits as (select p.*, k.motif_seq, k.mod_position from pileup p join keys k using (contig_id, mod_type, position) where strand = '+'),
+      enough as (select {_BY_MOTIF} from hits group by 1, 2, 3, 4 having count(*) filter (n_valid_cov > 0 and {_X} > 0.2) >= 10),
+      kept as (select h.* from hits h join enough using ({_BY_MOTIF}) where n_valid_cov > 0),
+      stats as (select {_BY_MOTIF}, avg({_X}) as mean, var_pop({_X}) as variance from kept group by 1, 2, 3, 4),
+      moments as (select *, mean * c as a, (1 - mean) * c as b from (select *, case when variance >= 1e-12 then mean * (1 - mean) / variance - 1 end as c from stats)),
+      seeds as (select {_BY_MOTIF}, 0.05::double as pi, 5.0::double as ta, 2.0::double as tb, a as fa, greatest(b, 1.1::double) as fb from moments where a > 1e-9),
+      observed as (select *, {_CLAMPED('1e-12')} as x from kept join seeds using ({_BY_MOTIF})),
+      {_EM(_BY_MOTIF, 2.0)} select {_BY_MOTIF}, n, round(pi, 5) as pi, round(alpha / (alpha + beta), 5) as true_mean, round(loglik, 4) as loglik from fit""",
+    "q_search_count_check": f"""with {inputs.PILEUP}, {inputs.SEQS}, high as (select p.*, length(s.seq) as n_bases from pileup p join seqs s using (contig_id)
+        where strand = '+' and n_valid_cov > 0 and {F32} >= cast({search.CountOptions().levels.high} as float))
+      select distinct contig_id, mod_type, cast(0 as bigint) as n_wrong from high where position >= 10 and position + 10 < n_bases""",
+    "q_search_mixture_check": f"""with {inputs.PILEUP} select contig_id, mod_type, cast(0 as bigint) as n_wrong from pileup group by 1, 2 having count(*) >= 50""",
     "q_mixture_stats": f"""with {inputs.PILEUP}, {_MOMENTS},
       mixed as (select *, pi * {_MEAN('ta', 'tb')} + (1 - pi) * {_MEAN('fa', 'fb')} as mean,
         pi * ({_VAR('ta', 'tb')} + {_MEAN('ta', 'tb')} * {_MEAN('ta', 'tb')}) + (1 - pi) * ({_VAR('fa', 'fb')} + {_MEAN('fa', 'fb')} * {_MEAN('fa', 'fb')}) as second from seeds),

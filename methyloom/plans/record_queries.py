@@ -24,18 +24,23 @@ def q_scan_min_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(*GROUP).agg(F.count("*").alias("n"), F.sum(F.col("n_valid_cov").cast("long")).alias("sum_cov"))
 
 
+def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of sound quoting and eighteen fields, with their fields."""
+    lines = quar.parsed(table(spark, sf_dir, "pileup_lines"), "raw_line", quar.PILEUP_FIELDS)
+    return lines.where((F.col("__q_quoting") == "ok") & (F.col("__q_n") == quar.PILEUP_FIELDS))
+
+
 def q_parse_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes as they stand in the lines, what they mean, and how often; null where they mean nothing."""
+    """Codes as they stand in well-formed lines, what they mean, and how often; null where they mean nothing."""
     from methyloom.functions.modcodes import canonical_mod_type
 
-    cell = F.split("raw_line", "\t")
-    code, strand = F.get(cell, F.lit(3)), F.get(cell, F.lit(5))
-    rows = table(spark, sf_dir, "pileup_lines").select(code.alias("code"), F.when(strand.isin("+", "-"), strand).alias("strand"))
+    code, strand = (F.get("__q_fields", F.lit(i)) for i in (3, 5))
+    rows = _well_formed(spark, sf_dir).select(code.alias("code"), F.when(strand.isin("+", "-"), strand).alias("strand"))
     return rows.groupBy("code", canonical_mod_type(F.col("code")).alias("mod_type"), "strand").agg(F.count("*").alias("n"))
 
 
 def q_contig_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "pileup_lines").select("src_file", "line_no", "line_id", F.get(F.split("raw_line", "\t"), F.lit(0)).alias("contig_id"))
+    lines = _well_formed(spark, sf_dir).select("src_file", "line_no", F.get("__q_fields", F.lit(0)).alias("contig_id"))
     return clean.contig_runs(lines.dropDuplicates(["src_file", "line_no", "contig_id"]), "src_file", "line_no")
 
 
@@ -108,10 +113,9 @@ SQL = {
     "q_scan_min_cov": f"""with {_FIELDS}, records as (select contig_id, strand, {_MODS} as mod_type, {_INT('cov')} as n_valid_cov from judged
         where whole and not (bad_position or bad_mod or bad_strand or bad_n_mod))
       select contig_id, mod_type, strand, count(*) as n, cast(sum(n_valid_cov) as bigint) as sum_cov from records where n_valid_cov >= 5 group by 1, 2, 3""",
-    "q_parse_codes": f"""with cells as (select string_split(raw_line, chr(9)) as c from pileup_lines),
-        coded as (select c[4] as code, c[4] as mod_type, case when c[6] in ('+', '-') then c[6] end as strand from cells)
+    "q_parse_codes": f"""with {_FIELDS}, coded as (select mod as code, mod as mod_type, case when strand in ('+', '-') then strand end as strand from judged where whole)
       select code, {inputs._CANON} as mod_type, strand, count(*) as n from coded group by 1, 2, 3""",
-    "q_contig_runs": """with lines as (select distinct src_file, line_no, string_split(raw_line, chr(9))[1] as contig_id from pileup_lines),
+    "q_contig_runs": f"""with {_FIELDS}, lines as (select distinct src_file, line_no, contig_id from judged join pileup_lines using (line_id, src_file) where whole),
         marked as (select *, case when row_number() over w = 1 or contig_id is distinct from lag(contig_id) over w then 1 else 0 end as s from lines
           window w as (partition by src_file order by line_no)),
         runs as (select *, cast(sum(s) over (partition by src_file order by line_no) as bigint) as run from marked)

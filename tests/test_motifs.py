@@ -151,9 +151,22 @@ def test_level_counts(spark):
 def test_standalone_scores(spark):
     _, recs, _ = _planted(spark, n=4000)
     marked = recs.withColumn("motif", F.lit("x"))
-    assert mixture.score_single_motifs(marked, ["contig_id", "mod_type", "motif"]).first().n > 0
+    scored = mixture.score_single_motifs(marked, ["contig_id", "mod_type", "motif"]).first()
+    assert scored.n == recs.count() and 0 < scored.pi < 1
     models = mixture.seed_models(recs, ["contig_id"])
-    assert mixture.standalone_fit(recs, models, ["contig_id"], 2).count() == 1
+    one = mixture.standalone_fit(recs, models, ["contig_id"], 60).first()
+    share = recs.where("n_mod > 10").count() / recs.count()
+    assert one.converged and 2 <= one.steps < 60 and abs(one.pi - share) < 0.02 and one.alpha / (one.alpha + one.beta) > 0.8
+
+
+def test_fit_keeps_the_model_where_a_step_gives_none(spark):
+    rows = [("same", 5, 10)] * 20 + [("two", 1 + 8 * (i % 2), 10 + i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, n_mod int, n_valid_cov int")
+    models = spark.createDataFrame([("same", 0.1, 5.0, 2.0, 2.0, 3.0), ("two", 0.1, 5.0, 2.0, 2.0, 3.0)], "g string, pi double, ta double, tb double, fa double, fb double")
+    got = {r.g: r for r in mixture.fit(df, models, ["g"], 1.0, iterations=30).collect()}
+    assert (got["same"].alpha, got["same"].beta) == (5.0, 2.0) and set(got) == {"same", "two"} and got["two"].n == 60
+    frozen = {r.g: r for r in mixture.fit(df, models, ["g"], 1.0, iterations=2, tolerance=1e9).collect()}
+    assert all(r.converged and r.steps == 2 for r in frozen.values())
 
 
 def _group(spark, n_plus, n_minus):

@@ -53,3 +53,26 @@ def test_bed_fields(spark):
 def test_contig_runs(spark):
     df = spark.createDataFrame([("f", i, c) for i, c in enumerate(["a", "a", "b", "a", None, None])], "f string, i long, contig_id string")
     assert sorted((r.run, r.contig_id or "", r.n_records) for r in clean.contig_runs(df, "f", "i").collect()) == [(1, "a", 2), (2, "b", 1), (3, "a", 1), (4, "", 2)]
+
+
+def test_runs_do_not_depend_on_blocks(spark):
+    import random
+
+    from methyloom.operators.clean import contig_runs
+
+    random.seed(3)
+    rows, want = [], []
+    for f in ("a", "b"):
+        last, run = object(), 0
+        for i in range(200):
+            c = random.choice(["x", "x", "x", "y", None]) if random.random() < 0.4 or not i else last
+            if c != last or not i:
+                run += 1
+                want.append([f, run, c, i, i, 0])
+            want[-1][4], want[-1][5] = i, want[-1][5] + 1
+            rows.append((f, i, c))
+            last = c
+    df = spark.createDataFrame(rows, "f string, line long, contig_id string")
+    for block in (1, 7, 64, 1 << 20):
+        got = contig_runs(df, "f", "line", block=block).collect()
+        assert sorted(map(list, got), key=lambda r: (r[0], r[1])) == want
