@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from methyloom.functions.iupac import MASK, reverse_complement_col
 from methyloom.functions.motif import complement_position_col, overlaps_itself, overlaps_itself_col
+from methyloom.session import parallelism
 
 MOTIF = ["motif_seq", "mod_type", "mod_position"]
 _CONCRETE = np.zeros(256, np.uint8)
@@ -107,7 +108,8 @@ def occurrences(sequences: DataFrame, motifs: DataFrame, overlapping: bool = Fal
             first = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(piece).cast("long"))).alias("first")
             text = F.substr(F.col("seq"), (F.col("first") + 1).cast("int"), F.lit(piece) + F.col("longest") - 1)
             cut = rows.select("*", first).select("contig_id", "patterns", "first", F.lit(piece).cast("long").alias("n"), text.alias("text"))
-        return cut.mapInArrow(_match(overlapping), schema)
+        # a piece is small, but to match it is not: pieces are dealt to all tasks
+        return cut.repartition(4 * parallelism(sequences.sparkSession), "contig_id", "first").mapInArrow(_match(overlapping), schema)
 
     if overlapping:
         return matched(stranded, False)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from methyloom.functions.iupac import reverse_complement_col
 from methyloom.functions.modcodes import MOD_BASE
+from methyloom.session import parallelism
 
 TILE = 512
 COARSE = 128 * TILE
@@ -19,7 +20,8 @@ COARSE = 128 * TILE
 def tiles(sequences: DataFrame, flank: int) -> DataFrame:
     """(contig_id, tile, length, start, piece): pieces of TILE bases with ``flank`` more on both sides.
 
-    A substring walks its text from the start, so sequences are cut coarsely first, then finely.
+    A substring walks its text from the start, so sequences are cut coarsely first, then finely. The
+    coarse pieces are dealt to all tasks: they are small, and what is made of them is not.
     """
     last = lambda size: F.floor((F.col("length") - 1) / size)
     begin = lambda at: F.greatest(at - flank, F.lit(0))
@@ -31,6 +33,7 @@ def tiles(sequences: DataFrame, flank: int) -> DataFrame:
         .withColumn("coarse", F.explode(F.sequence(F.lit(0).cast("long"), last(COARSE))))
         .select("contig_id", "length", "coarse", begin(off).alias("from"), cut(F.col("seq"), begin(off), off + COARSE + flank - begin(off)).alias("text"))
     )
+    coarse = coarse.repartition(4 * parallelism(sequences.sparkSession), "contig_id", "coarse")
     per = COARSE // TILE
     within = F.sequence(F.col("coarse") * per, F.least((F.col("coarse") + 1) * per - 1, last(TILE)))
     return coarse.withColumn("tile", F.explode(within)).select(

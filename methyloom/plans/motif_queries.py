@@ -10,6 +10,7 @@ from methyloom.functions import motif as mot
 from methyloom.operators import annotate as ann
 from methyloom.operators import mixture, search, windows
 from methyloom.operators import occurrences as occ
+from methyloom.operators.clean import last_wins
 from methyloom.operators.occurrences import MOTIF
 from methyloom.plans import inputs
 from methyloom.plans.record_queries import F32, LEVELED, leveled
@@ -98,7 +99,9 @@ def q_motif_positions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     # which contigs have a sequence is read off the table alone: one short row per contig
     known = table(spark, sf_dir, "contigs").where("contig_id is not null and seq is not null").select("contig_id").distinct()
-    return ann.annotate(ann.on_contigs(inputs.pileup(spark, sf_dir), known), found(spark, sf_dir))
+    # before the dedupe, whose placement by key then serves the annotation too
+    records = last_wins(ann.on_contigs(inputs.raw_pileup(spark, sf_dir), known), inputs.order())
+    return ann.annotate(records, found(spark, sf_dir))
 
 
 def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
