@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one named by ``spark.checkpoint.dir`` (or set on the context by the caller).
     Only where neither is set and the master is ``local`` is a temporary folder used.
     """
-    spark = df.sparkSession
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def parallelism(spark: SparkSession) -> int:

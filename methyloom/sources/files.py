@@ -44,13 +44,29 @@ def read_pileup(spark: SparkSession, path: str, min_cov: int = 0, mapping: dict[
 
 
 def read_contig(spark: SparkSession, path: str, contig: str, min_cov: int = 5) -> DataFrame:
-    """The records of one contig; on a partitioned copy only its own files are opened."""
+    """The records of one contig of a pileup file, which is read whole; ``of_contig`` reads less."""
     return read_pileup(spark, path, min_cov).where(F.col("contig_id") == contig)
 
 
-def to_partitioned(records: DataFrame, path: str) -> None:
-    """Parquet partitioned by contig: a filter on the contig then reads that contig alone."""
-    records.repartition("contig_id", F.floor(F.col("position") / 1_000_000)).write.partitionBy("contig_id").parquet(path, mode="errorifexists")
+BUCKETS = 1_000
+
+
+def _bucket(contig: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(contig), F.lit(buckets)).cast("int")
+
+
+def to_partitioned(records: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Parquet in ``buckets`` directories by hash of the contig, sorted inside, whatever the number of contigs.
+
+    A reader of one contig opens one directory, and of its files the row groups that may hold the contig.
+    """
+    placed = records.withColumn("bucket", _bucket(F.col("contig_id"), buckets)).repartition("bucket", F.floor(F.col("position") / 1_000_000))
+    placed.sortWithinPartitions("bucket", "contig_id", "position").write.partitionBy("bucket").parquet(path, mode="errorifexists")
+
+
+def of_contig(written: DataFrame, contig: str, buckets: int = BUCKETS) -> DataFrame:
+    """The records of one contig of what ``to_partitioned`` wrote with as many buckets."""
+    return written.where((F.col("bucket") == _bucket(F.lit(contig), buckets)) & (F.col("contig_id") == contig)).drop("bucket")
 
 
 def list_contigs(records: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ def test_pileup_plain_and_gzip(spark, folder):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sources.read_pileup(spark, str(folder / "p2.bed.gz"), 5).collect()))
     assert sources.read_contig(spark, str(folder / "p.bed"), "c2").first().mod_type == "4mC"
     sources.to_partitioned(plain, str(folder / "by_contig"))
-    back = spark.read.parquet(str(folder / "by_contig")).where("contig_id = 'c2'")
-    assert back.count() == 1 and "PartitionFilters: [isnotnull(contig_id" in back._jdf.queryExecution().executedPlan().toString()
+    back = sources.of_contig(spark.read.parquet(str(folder / "by_contig")), "c2")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == 1 and "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(contig_id,c2)" in plan
     assert sorted(r.contig_id for r in sources.list_contigs(plain).collect()) == ["c1", "c2"]
 
 
