@@ -439,16 +439,18 @@ def chunks_of(records: DataFrame, sequences: DataFrame, groups: DataFrame, kind:
     pieces = (
         sequences.where("seq is not null and seq <> ''")
         .select("contig_id", F.regexp_replace("seq", "[^ACGT]", "N").alias("seq"), F.length("seq").cast("long").alias("length"))
-        .join(groups.select("contig_id").distinct(), "contig_id", "left_semi")
+        .join(groups.groupBy("contig_id").agg(F.collect_set("mod_type").alias("mods")), "contig_id")  # one row per contig
         .withColumn("n_chunks", F.ceil(F.col("length") / chunk).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - F.lit(1).cast("long"))))
-        .select("contig_id", "n_chunks", "chunk", "length", first.alias("first"), last.alias("last"), begin.alias("begin"), text.alias("text"))
+        .select("contig_id", "mods", "n_chunks", "chunk", "length", first.alias("first"), last.alias("last"), begin.alias("begin"), text.alias("text"))
+        .select("*", F.explode("mods").alias("mod_type"))
+        .drop("mods")
     )
     # at most two records a position; in a fixed order, so that sums are the same in every run
     own = F.sort_array(F.collect_list(F.struct("position", (F.col("strand") == "-").alias("minus"), *kind.RECORD))).alias("records")
     packed = records.where("position >= 0").groupBy(*GROUP, F.floor(F.col("position") / chunk).alias("chunk")).agg(own)
     inside = F.filter("records", lambda r: r["position"] < F.col("length"))
-    return pieces.join(groups.select(*GROUP), "contig_id").join(packed, [*GROUP, "chunk"], "left").withColumn("records", inside)
+    return pieces.join(packed, [*GROUP, "chunk"], "left").withColumn("records", inside)
 
 
 def _search_of(rows: pa.RecordBatch, i: int, kind: type[Search], options) -> Search:
