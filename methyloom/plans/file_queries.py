@@ -54,7 +54,7 @@ def q_file_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_file_contig_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contig-bin file: lines with fewer than two fields are skipped."""
     path = shared_folder(spark, "contig_bin")
-    table(spark, sf_dir, "contig_bin").select("contig", "bin").write.csv(path, sep="\t", header=False, nullValue="", emptyValue="")
+    table(spark, sf_dir, "contig_bin").select("contig", "bin").write.csv(path, header=False, nullValue="", **sinks.AS_IT_IS)
     return sources.read_contig_bin(spark, path).groupBy("contig", "bin").agg(F.count("*").alias("n"))
 
 
@@ -62,7 +62,7 @@ def q_file_bin_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin-motifs file, read, validated and deduped."""
     path = shared_folder(spark, "bin_motifs")
     columns = [c.split(" ")[0] for c in sources.BIN_MOTIF_SCHEMA.split(", ")]
-    table(spark, sf_dir, "bin_motifs").select(*columns).write.csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+    table(spark, sf_dir, "bin_motifs").select(*columns).write.csv(path, header=True, nullValue="", **sinks.AS_IT_IS)
     return ann.bin_motif_set(sources.read_bin_motifs(spark, path))
 
 

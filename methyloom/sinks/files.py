@@ -19,7 +19,7 @@ ANNOTATED_COLUMNS = ["contig_id", "mod_type", "position", "strand", "n_mod", "n_
 
 
 # values are written as they are, blanks at their ends included
-_AS_IT_IS = {"sep": "\t", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "errorifexists"}
+AS_IT_IS = {"sep": "\t", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "errorifexists"}
 
 
 def gzip_path(path: str) -> str:
@@ -35,11 +35,11 @@ def write_bed(records: DataFrame, path: str, gzip: bool = False) -> None:
     ``gzip`` the files are plain gzip: readable as a stream, without the index of blocked gzip.
     """
     rows = bed_fields(records.orderBy("contig_id", "position", "strand", "mod_type"))
-    rows.write.csv(gzip_path(path) if gzip else path, header=False, compression="gzip" if gzip else "none", **_AS_IT_IS)
+    rows.write.csv(gzip_path(path) if gzip else path, header=False, compression="gzip" if gzip else "none", **AS_IT_IS)
 
 
 def _write_table(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, **_AS_IT_IS)
+    df.write.csv(path, header=True, **AS_IT_IS)
 
 
 def write_annotated(annotated: DataFrame, path: str) -> None:
