@@ -1,7 +1,7 @@
 """Motif discovery: best-first search over motifs that grow around the modified base, in Spark rounds.
 
 Spark prepares what a search needs: levels, seed fits and responsibilities are joins and aggregations.
-A contig is cut into chunks of ``CHUNK`` positions; a chunk is one row with its bases (and those that
+A contig longer than ``CHUNK`` positions is cut into chunks; a chunk is one row with its bases (and those that
 windows reach beyond its ends) and its records, packed once and written, so that no window is ever
 shuffled. What is open in a group is one small row: its queue of motifs and what was found so far.
 
@@ -26,6 +26,7 @@ import heapq
 import math
 import pickle
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,12 @@ from methyloom.operators.occurrences import MOTIF, level_counts, occurrences
 from methyloom.session import checkpointed, parallelism
 
 GROUP = ["contig_id", "mod_type"]
-CHUNK = 1 << 18  # positions of a chunk
+CHUNK = 1 << 21  # positions of a chunk: below that, the steps of a search take less time than its rounds
 STEPS = 5_000
 AHEAD = 32
 _FAN_IN = 32
 _BLOCK = 1 << 21  # cells taken apart at a time
+_ROWS = 256  # rows of packed chunks a task, once every core has some
 
 _ANY = 31  # A, C, G, T and every other character
 _BITS = {**{c: _ANY if m == 15 else m for c, m in MASK.items()}}
@@ -54,6 +56,15 @@ _SUBSETS = np.array([[float(mask >> i & 1) for i in range(4)] for mask in range(
 _BASES = np.full(256, 4, np.uint8)
 for _i, _base in enumerate("ACGT"):
     _BASES[ord(_base)] = _i
+_ONE = np.array([1, 2, 4, 8, 16], np.uint8)
+_BYTE_BITS = np.zeros(256, np.uint8)
+for _code, _mask in _BITS.items():
+    _BYTE_BITS[ord(_code)] = _mask
+_INDEX = np.zeros(32, np.intp)
+_INDEX[_ONE] = range(5)
+_OWN = np.where(_BYTE_BITS[:, None] > 0, (_BYTE_BITS[:, None] & _ONE) > 0, True).astype(float)  # the bases of a code; dots leave all
+_WITHIN = [[sum(some) for some in subsets(1 << b for b in range(4) if mask >> b & 1)] for mask in range(16)]
+_DOT, _N = ord("."), ord("N")
 
 
 @dataclass(frozen=True)
@@ -102,32 +113,38 @@ class Windows:
         margin = max(left, right)
         padded = np.concatenate([np.full(margin, 5, np.uint8), bases, np.full(margin, 5, np.uint8)])
         turned = np.array([3, 2, 1, 0, 4, 5], np.uint8)[padded] if minus.any() else padded
-        self.base = np.empty((left + right + 1, len(at)), np.uint8)
-        for i in range(len(self.base)):
-            self.base[i] = np.where(minus, turned[at + margin - (i - left)], padded[at + margin + (i - left)])
-        self._bits = np.array([1, 2, 4, 8, 16, 0], np.uint8)[self.base]
+        bits = np.array([1, 2, 4, 8, 16, 0], np.uint8)
+        padded, turned = bits[padded], bits[turned]
+        self.bits = np.empty((left + right + 1, len(at)), np.uint8)
+        for i in range(len(self.bits)):
+            forward = padded[at + (margin + i - left)]
+            self.bits[i] = np.where(minus, turned[at + (margin - i + left)], forward) if turned is not padded else forward
         self.weights = weights
 
-    def missed(self, motif: str) -> tuple[list[int], np.ndarray]:
+    def missed(self, motif: str) -> tuple[np.ndarray, np.ndarray]:
         """The offsets of a motif, and for each which windows have another base there."""
-        at = [i for i, c in enumerate(motif) if c != "."]
-        return at, np.stack([(self._bits[i] & _BITS[motif[i]]) == 0 for i in at])
+        codes = _read(motif)
+        at = (codes != _DOT).nonzero()[0]
+        return at, (self.bits[at] & _BYTE_BITS[codes[at]][:, None]) == 0
 
     def without(self, motif: str, kinds: slice) -> None:
-        """The windows that match a motif weigh nothing any more."""
+        """The windows that match a motif weigh nothing any more; those of no weight at all are let go."""
         hit = ~self.missed(motif)[1].any(axis=0)
         self.weights[hit, kinds] = 0
-
-    def _sums(self, rows: np.ndarray, offsets: slice) -> np.ndarray:
-        n = offsets.stop - offsets.start
-        sums = np.zeros((n, 5, self.weights.shape[1]))
-        step = max(1, _BLOCK // max(n, 1))
+        left = self.weights.any(axis=1)
+        if np.count_nonzero(left) < 0.8 * len(left):
+            self.bits, self.weights = self.bits[:, left], self.weights[left]
+
+    def _sums(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the weights of some windows per (offset, base, kind)."""
+        kinds = self.weights.shape[1]
+        sums = np.zeros((5 * n, kinds))
+        step = max(1, _BLOCK // (5 * n))
         for first in range(0, len(rows), step):
             some = rows[first : first + step]
-            base, own = self.base[offsets, some], self.weights[some]
-            for b in range(5):
-                sums[:, b] += (base == b).astype(float) @ own
-        return sums
+            is_base = self.bits[:n].take(some, axis=1) == _ONE[:, None, None]
+            sums += is_base.reshape(5 * n, -1).astype(float) @ self.weights.take(some, axis=0)
+        return sums.reshape(5, n, kinds).swapaxes(0, 1).copy()
 
     def tally(self, motif: str, n_offsets: int) -> np.ndarray:
         """Sums of the weights per (offset, A C G T other, kind) of the windows that match.
@@ -136,12 +153,17 @@ class Windows:
         """
         at, missed = self.missed(motif)
         misses = missed.sum(axis=0, dtype=np.uint8 if len(at) < 256 else np.int32)
-        sums = self._sums(np.flatnonzero(misses == 0), slice(0, n_offsets))
-        for i, own in zip(at, missed, strict=True):
-            if i < n_offsets and motif[i] != "N":
-                near = np.flatnonzero((misses == 1) & own)
-                if len(near):
-                    sums[i] += self._sums(near, slice(i, i + 1))[0]
+        sums = self._sums((misses == 0).nonzero()[0], n_offsets)
+        near = (misses == 1).nonzero()[0]
+        place = at[missed.take(near, axis=1).argmax(axis=0)]
+        base = self.bits[place, near]
+        counted = (base > 0) & (place < n_offsets) & (_read(motif)[place] != _N)
+        near, cell = near[counted], place[counted] * 5 + _INDEX[base[counted]]
+        if len(near):
+            flat, own = sums.reshape(-1, sums.shape[2]), self.weights.take(near, axis=0)
+            most = int(cell.max()) + 1
+            for kind in range(sums.shape[2]):
+                flat[:most, kind] += np.bincount(cell, own[:, kind], most)
         return sums
 
 
@@ -166,25 +188,32 @@ class Chunk:
         return (position >= flank) & (position + flank < self.length)
 
 
-def _grown(motif: str, at: int, mask: int) -> str:
-    """A motif with a set of bases at an offset; outside the motif the gap fills with N."""
-    if motif[at] != ".":
-        return motif[:at] + _CODE[mask] + motif[at + 1 :]
-    codes = motif.strip(".")
-    left = len(motif) - len(motif.lstrip("."))
-    right = left + len(codes)
+def _read(motif: str) -> np.ndarray:
+    return np.frombuffer(motif.encode(), np.uint8)
+
+
+def _around(motif: str, at: int, left: int, right: int) -> tuple[str, str]:
+    """What stands before and behind an offset when a motif from ``left`` to ``right`` grows there; the gap fills with N."""
     if at < left:
-        return "." * at + _CODE[mask] + "N" * (left - at - 1) + motif[left:]
-    return motif[:right] + "N" * (at - right) + _CODE[mask] + motif[at + 1 :]
+        return "." * at, "N" * (left - at - 1) + motif[left:]
+    if at < right:
+        return motif[:at], motif[at + 1 :]
+    return motif[:right] + "N" * (at - right), motif[at + 1 :]
+
+
+def _ends(motif: str) -> tuple[int, int]:
+    return len(motif) - len(motif.lstrip(".")), len(motif.rstrip("."))
+
+
+def _grown(motif: str, at: int, mask: int) -> str:
+    """A motif with a set of bases at an offset."""
+    before, behind = _around(motif, at, *_ends(motif))
+    return before + _CODE[mask] + behind
 
 
 def _own(motif: str, sums: np.ndarray) -> np.ndarray:
     """The sums of the windows that match: at offsets of the motif its own bases only."""
-    own = sums.copy()
-    for i, c in enumerate(motif[: len(sums)]):
-        if c not in ".N":
-            own[i, [b for b in range(5) if not _BITS[c] >> b & 1]] = 0
-    return own
+    return sums * _OWN[_read(motif)[: len(sums)], :, None]
 
 
 # ---------------------------------------------------------------- the queue of a group
@@ -294,31 +323,35 @@ class CountSearch(Search):
             return
         p, q = own[:, :4, 1] / n_methylated, own[:, :4, 0] / n_background
         divergence = ((p + 1e-6) * np.log((p + 1e-6) / (q + 1e-6))).sum(axis=1)
+        wide = (divergence > o.min_kl).nonzero()[0]
         mean, sd = self.shape(n_high, n_low)
-        per_mask = _SUBSETS @ sums[:, :4]
-        per_mask[:, 15] = sums.sum(axis=1)  # N takes any character
+        per_mask = _SUBSETS @ sums[wide, :4]
+        per_mask[:, 15] = sums[wide].sum(axis=1)  # N takes any character
         high, low = per_mask[:, :, 2], per_mask[:, :, 3]
         means, sds = self.shape(high, low)
-        scores = np.round(means * -np.log10((sds + sd) / 2) * (means - mean), 12).tolist()
+        scores = (means * -np.log10((sds + sd) / 2) * (means - mean)).round(12).tolist()
         priorities = ((1 - (high + 1) / (low + 1)) / self.seed_odds).tolist()
-        for at in np.flatnonzero(divergence > o.min_kl).tolist():
+        frequent = ((p[wide] > o.min_base_freq) @ _ONE[:4]).tolist()
+        ends, known = _ends(motif), self.known
+        for i, at in enumerate(wide.tolist()):
             here = _BITS[motif[at]] if motif[at] != "." else 0
             if here == _ANY:
                 continue  # joining bases to N leaves the motif as it is
-            for bases in subsets(1 << b for b in range(4) if p[at, b] > o.min_base_freq):
-                mask = sum(bases) | here
+            before, behind = _around(motif, at, *ends)
+            for bases in _WITHIN[frequent[i]]:
+                mask = bases | here
                 if mask == here:
                     continue
-                new, score = _grown(motif, at, mask), scores[at][mask]
+                new, score = before + _CODE[mask] + behind, scores[i][mask]
                 if score > self.best[0]:
                     self.since = 0
-                if new not in self.known:
-                    self.push(priorities[at][mask], new)
-                    self.known[new] = (score, self.order)
-                elif score > self.known[new][0]:  # a better score from another parent
-                    self.known[new] = (score, self.known[new][1])
-                if self.known[new] > self.best[:2]:
-                    self.best = (*self.known[new], new, per_mask[at, mask].tolist())
+                if new not in known:
+                    self.push(priorities[i][mask], new)
+                    known[new] = (score, self.order)
+                elif score > known[new][0]:  # a better score from another parent
+                    known[new] = (score, known[new][1])
+                if known[new] > self.best[:2]:
+                    self.best = (*known[new], new, per_mask[i, mask].tolist())
 
     def finish(self) -> None:
         score, _, motif, sums = self.best
@@ -384,26 +417,35 @@ class MixtureSearch(Search):
             return
         sums = sums[: min(2 * self.since + 1, o.width)]
         joined = sums[:, :4].copy()
-        masks = np.repeat(np.array([[1, 2, 4, 8]]), len(sums), axis=0)
-        for at, code in enumerate(motif[: len(sums)]):
-            if code != ".":
-                masks[at] |= _BITS[code] & 15
-                joined[at] = _SUBSETS[masks[at]] @ sums[at, :4]
-                joined[at][masks[at] == 15] = sums[at].sum(axis=0)  # N takes any character
+        codes = _read(motif)[: len(sums)]
+        inside = (codes != _DOT).nonzero()[0]
+        here = _BYTE_BITS[codes[inside]] & 15
+        masks = here[:, None] | _ONE[:4]
+        joined[inside] = _SUBSETS[masks] @ sums[inside, :4]
+        i, b = np.nonzero(masks == 15)
+        joined[inside[i], b] = sums[inside[i]].sum(axis=1)  # N takes any character
+        enough = joined[:, :, 1] >= o.min_motif_records
+        enough[inside] &= masks != here[:, None]  # else the motif as it is
+        at, b = np.nonzero(enough)
+        joined = joined[at, b]
         score, pi, alpha, beta = self.fit(joined)
-        for at, b in np.argwhere(score > -np.inf).tolist():
-            mask, code = int(masks[at, b]), motif[at]
-            if code != "." and mask == _BITS[code] & 15:
-                continue  # the motif as it is
-            new = _grown(motif, at, mask)
-            if new in self.known:
+        (left, right), known, queue, code = _ends(motif), self.known, self.queue, "ACGT"
+        masks = dict(zip(inside.tolist(), masks.tolist(), strict=True))
+        last = before = behind = None
+        for i, (at_i, b_i, s) in enumerate(zip(at.tolist(), b.tolist(), score.tolist(), strict=True)):
+            if s == -math.inf:
                 continue
-            s = float(score[at, b])
-            self.push(-s, new)
-            self.known[new] = (s, self.order)
+            if at_i != last:
+                last, (before, behind) = at_i, _around(motif, at_i, left, right)
+            new = before + (_CODE[masks[at_i][b_i]] if at_i in masks else code[b_i]) + behind
+            if new in known:
+                continue
+            self.order += 1
+            heapq.heappush(queue, (-s, self.order, new))
+            known[new] = (s, self.order)
             if s > self.best[0]:
                 self.since = 0
-                self.best = (s, self.order, new, (float(joined[at, b, 1]), *(float(x[at, b]) for x in (pi, alpha, beta))))
+                self.best = (s, self.order, new, (float(joined[i, 1]), *(float(x[i]) for x in (pi, alpha, beta))))
 
     def finish(self) -> None:
         score, _, motif, model = self.best
@@ -546,27 +588,46 @@ def _found_of(kind: type[Search]):
     return run
 
 
+def _tasks(rows: DataFrame, n: int) -> int:
+    """Tasks for ``n`` rows of packed chunks: some for each core, more where there are many rows."""
+    spark = rows.sparkSession
+    return max(1, min(n, 4 * parallelism(spark), max(8 * spark.sparkContext.defaultParallelism, n // _ROWS)))
+
+
 def search_rounds(records: DataFrame, sequences: DataFrame, groups: DataFrame, kind: type[Search], options, chunk: int = CHUNK, steps: int = STEPS, ahead: int = AHEAD) -> DataFrame:
     """(group, motif_seq, mod_position, what is known of it) of all groups, one row per motif.
 
     ``records`` has (group, position, strand, what the kind of search wants); ``groups`` has (group, n_records).
     """
     packed = checkpointed(chunks_of(records, sequences, groups, kind, options.width - options.flank, chunk))
-    sizes = packed.select(*GROUP, "n_chunks").distinct()
+    sizes = packed.groupBy(*GROUP).agg(F.first("n_chunks").alias("n_chunks"))
     states = groups.join(sizes, GROUP).select(*GROUP, "n_chunks", F.col("n_records").cast("double").alias("n_records"), F.lit(True).alias("open"), F.lit(None).cast("binary").alias("state"))
-    most = packed.agg(F.max("n_chunks")).first()[0] or 0
+    n_one, n_parts, most = packed.agg(F.count_if(F.col("n_chunks") == 1), F.count_if(F.col("n_chunks") > 1), F.max("n_chunks")).first()
     one, many = packed.where("n_chunks = 1"), packed.where("n_chunks > 1").drop("n_chunks")
-    still_open, spread = 1, 4 * parallelism(records.sparkSession)  # a row may be much work, however small it is
-    while still_open:
-        opened = states.where("open")
-        moved = opened.where("n_chunks = 1").join(one.drop("n_chunks"), GROUP).repartition(spread, *GROUP).mapInArrow(_alone(kind, options, steps), _STATE)
-        if most > 1:
-            apart = opened.where("n_chunks > 1")
-            parts = apart.select(*GROUP, "n_records", "state").join(many, GROUP).repartition(spread, *GROUP, "chunk").mapInArrow(_parts(kind, options, ahead), "contig_id string, mod_type string, chunk long, sums array<double>")
-            moved = moved.unionByName(apart.join(added_up(parts, most), GROUP).mapInArrow(_moved(kind, options, ahead), _STATE))
-        # written each round: what is done goes along as it is
-        states = checkpointed(states.where("not open").unionByName(moved))
-        still_open = states.where("open").limit(1).count()
+    if n_one and n_parts:
+        many = checkpointed(many)  # read in every round
+    settled = []
+    while n_one or n_parts:
+        moved = None
+        if n_one:
+            moved = states.where("n_chunks = 1").join(one.drop("n_chunks"), GROUP).repartition(_tasks(records, n_one), *GROUP).mapInArrow(_alone(kind, options, steps), _STATE)
+        if n_parts:
+            apart = states.where("n_chunks > 1")
+            tasks = min(n_parts, 4 * parallelism(records.sparkSession))  # each is much work
+            parts = apart.select(*GROUP, "n_records", "state").join(many, GROUP).repartition(tasks, *GROUP, "chunk").mapInArrow(_parts(kind, options, ahead), "contig_id string, mod_type string, chunk long, sums array<double>")
+            summed = apart.join(added_up(parts, most), GROUP).mapInArrow(_moved(kind, options, ahead), _STATE)
+            moved = summed if moved is None else moved.unionByName(summed)
+        states = checkpointed(moved)
+        is_open = F.col("open")
+        n_closed, n_one, n_parts = states.agg(
+            F.count_if(~is_open), F.count_if(is_open & (F.col("n_chunks") == 1)), F.coalesce(F.sum(F.when(is_open & (F.col("n_chunks") > 1), F.col("n_chunks"))), F.lit(0))
+        ).first()
+        if n_closed:
+            settled.append(states.where("not open"))  # what is done stays where it was written
+            if len(settled) > _FAN_IN:
+                settled = [checkpointed(reduce(DataFrame.unionByName, settled))]
+            states = states.where("open")
+    states = reduce(DataFrame.unionByName, settled) if settled else states
     found = states.mapInArrow(_found_of(kind), f"contig_id string, mod_type string, found {_FOUND}")
     rows = found.select(*GROUP, F.explode("found").alias("f")).select(*GROUP, "f.*")
     at = F.lit(options.flank) - (F.length("motif") - F.length(F.ltrim(F.col("motif"), F.lit("."))))

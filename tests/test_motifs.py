@@ -296,3 +296,26 @@ def test_mixture_search_reaches_beyond_the_window(spark):
     seq = spark.createDataFrame([("c", text)], "contig_id string, seq string")
     found = search.search_rounds(records, seq, groups, search.MixtureSearch, search.MixtureOptions(max_rounds=20)).collect()
     assert any(len(r.motif_seq) > r.mod_position + 7 and r.motif_seq[r.mod_position + 7] == "G" for r in found)
+
+
+def test_rounds_start_no_more_tasks_than_there_are_chunks(spark, monkeypatch):
+    seq, recs, n = _planted(spark, n=3000)
+    kept, tasks = search.checkpointed, []
+
+    def noted(df):
+        written = kept(df)
+        if "state" in written.columns:
+            tasks.append(written.rdd.getNumPartitions())
+        return written
+
+    monkeypatch.setattr(search, "checkpointed", noted)
+    options = search.CountOptions(max_rounds=1, min_score=0.4)
+    for chunk in (1600, search.CHUNK):
+        search.discover_by_counts(recs, seq, options, chunk=chunk, ahead=16).collect()
+    assert max(tasks) <= 4  # 4 shuffle partitions; one contig of a few chunks
+
+
+def test_windows_without_weight_are_let_go():
+    windows = search.Windows(_codes("GATC" * 50), np.arange(1, 200, 4), np.zeros(50, bool), 1, 1, np.ones((50, 1)))
+    windows.without("GA.", slice(0, 1))
+    assert len(windows.weights) == 0 and not windows.tally(".A.", 3).any()
