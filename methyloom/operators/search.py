@@ -40,7 +40,7 @@ from methyloom.functions.modcodes import MOD_BASE
 from methyloom.functions.motif import subsets
 from methyloom.operators import mixture
 from methyloom.operators.occurrences import MOTIF, level_counts, occurrences
-from methyloom.session import checkpointed, parallelism
+from methyloom.session import checkpointed, parallelism, written
 
 GROUP = ["contig_id", "mod_type"]
 CHUNK = 1 << 21  # positions of a chunk: below that, the steps of a search take less time than its rounds
@@ -660,7 +660,8 @@ def with_whole_window(records: DataFrame, sequences: DataFrame, high: Column, fl
 
 def discover_by_counts(records: DataFrame, sequences: DataFrame, options: CountOptions = CountOptions(), **rounds) -> DataFrame:
     """The motifs of each contig with the counts of their levels and their score."""
-    leveled = records.withColumn("level", level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels))
+    level = level_of(F.col("n_mod"), F.col("n_valid_cov"), options.levels).alias("level")
+    leveled = written(records.select(*GROUP, "position", "strand", level), "leveled")  # what gives the records may be costly
     found = checkpointed(found_by_counts(leveled, sequences, options, **rounds))  # read twice below
     at = occurrences(sequences, found)
     counted = level_counts(leveled, at if options.both_strands else at.where("strand = '+'"))
@@ -698,8 +699,10 @@ def weighed_records(records: DataFrame, seeds: DataFrame, options: MixtureOption
 
 def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: MixtureOptions = MixtureOptions(), **rounds) -> DataFrame:
     """The motifs of each contig with the mixture fitted to their records."""
+    # what gives the records may be costly, and they are read for the seeds, their fit and the weights
+    records = written(records.select(*GROUP, "position", "strand", "n_mod", "n_valid_cov"), "records")
     seeds = checkpointed(mixture.seed_models(records, GROUP))
-    weighed = checkpointed(weighed_records(records, seeds, options))
+    weighed = written(weighed_records(records, seeds, options), "weighed")
     count = F.count("*").cast("double").alias("n_records")
     groups = checkpointed(with_whole_window(weighed, sequences, F.col("high"), options.flank, count).where(F.col("n_records") >= options.min_records))
     found = search_rounds(weighed, sequences, groups, MixtureSearch, options, **rounds)

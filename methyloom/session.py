@@ -23,6 +23,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet to a new path in the shared folder and read back: by column, so far smaller than a checkpoint."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

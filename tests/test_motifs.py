@@ -319,3 +319,18 @@ def test_windows_without_weight_are_let_go():
     windows = search.Windows(_codes("GATC" * 50), np.arange(1, 200, 4), np.zeros(50, bool), 1, 1, np.ones((50, 1)))
     windows.without("GA.", slice(0, 1))
     assert len(windows.weights) == 0 and not windows.tally(".A.", 3).any()
+
+
+def test_searches_read_their_records_once(spark):
+    seq, recs, n = _planted(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for search_of in (search.discover_by_counts, search.discover_by_mixture):
+        before = read.value
+        assert search_of(recs.mapInArrow(counted, recs.schema), seq).count() > 0
+        assert read.value - before == recs.count()
