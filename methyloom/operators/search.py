@@ -10,7 +10,8 @@ look at next: sums of the weights per offset and base over the windows that matc
 group of many chunks are added up by a grouped sum with a bounded fan-in, and then move its queue, so
 a contig of any length is spread over the cluster, and the best ``AHEAD`` motifs of the queue are
 tallied at a time, so that few rounds are needed. A group of one chunk needs nobody else's tallies and
-takes up to ``STEPS`` steps a round where it is. Rounds go on while a group is open.
+takes up to ``STEPS`` steps a round where it is; most groups are small, so the groups of a task step
+side by side and share the calls that tally and score. Rounds go on while a group is open.
 
 Choices where upstream behaviour is undefined or aborts: equal priorities are expanded in order of
 insertion, among equal scores the motif inserted last is the best; a motif that explains every
@@ -48,6 +49,8 @@ STEPS = 5_000
 AHEAD = 32
 _FAN_IN = 32
 _BLOCK = 1 << 21  # cells taken apart at a time
+_ABREAST = 1 << 17  # windows of the groups that step side by side
+_LARGE = 1 << 10  # from so many windows on a group is tallied by itself
 _ROWS = 256  # rows of packed chunks a task, once every core has some
 
 _ANY = 31  # A, C, G, T and every other character
@@ -120,6 +123,7 @@ class Windows:
             forward = padded[at + (margin + i - left)]
             self.bits[i] = np.where(minus, turned[at + (margin - i + left)], forward) if turned is not padded else forward
         self.weights = weights
+        self.n_bases = 5 if (self.bits == _ONE[4]).any() else 4
 
     def missed(self, motif: str) -> tuple[np.ndarray, np.ndarray]:
         """The offsets of a motif, and for each which windows have another base there."""
@@ -137,14 +141,15 @@ class Windows:
 
     def _sums(self, rows: np.ndarray, n: int) -> np.ndarray:
         """Sums of the weights of some windows per (offset, base, kind)."""
-        kinds = self.weights.shape[1]
-        sums = np.zeros((5 * n, kinds))
-        step = max(1, _BLOCK // (5 * n))
+        kinds, bases = self.weights.shape[1], self.n_bases
+        sums = np.zeros((n, 5, kinds))
+        step = max(1, _BLOCK // (bases * n))
         for first in range(0, len(rows), step):
             some = rows[first : first + step]
-            is_base = self.bits[:n].take(some, axis=1) == _ONE[:, None, None]
-            sums += is_base.reshape(5 * n, -1).astype(float) @ self.weights.take(some, axis=0)
-        return sums.reshape(5, n, kinds).swapaxes(0, 1).copy()
+            is_base = self.bits[:n].take(some, axis=1) == _ONE[:bases, None, None]
+            own = is_base.reshape(bases * n, -1).astype(float) @ self.weights.take(some, axis=0)
+            sums[:, :bases] += own.reshape(bases, n, kinds).swapaxes(0, 1)
+        return sums
 
     def tally(self, motif: str, n_offsets: int) -> np.ndarray:
         """Sums of the weights per (offset, A C G T other, kind) of the windows that match.
@@ -167,6 +172,68 @@ class Windows:
         return sums
 
 
+class Flock(Windows):
+    """Windows of several groups side by side, so that the same calls tally a motif of each."""
+
+    def __init__(self, windows: list[Windows]):
+        self.bits = np.concatenate([w.bits for w in windows], axis=1)
+        self.weights = np.concatenate([w.weights for w in windows])
+        self.n_bases = max(w.n_bases for w in windows)
+        self.size = np.array([len(w.weights) for w in windows])
+        self.first = np.cumsum(self.size) - self.size
+
+    def without_of(self, group: int, motif: str, kinds: slice) -> None:
+        """As ``without``, for the windows of one group."""
+        a, n = self.first[group], self.size[group]
+        codes = _read(motif)
+        at = (codes != _DOT).nonzero()[0]
+        hit = ((self.bits[at, a : a + n] & _BYTE_BITS[codes[at]][:, None]) != 0).all(axis=0)
+        weights = self.weights[a : a + n]
+        weights[hit, kinds] = 0
+        left = weights.any(axis=1).nonzero()[0]
+        if len(left) < 0.8 * n:
+            self.bits[:, a : a + len(left)] = self.bits[:, a + left]
+            self.weights[a : a + len(left)] = weights[left]
+            self.size[group] = len(left)
+
+    def tallies(self, groups: list[int], motifs: list[str], n_offsets: list[int]) -> list[np.ndarray]:
+        """The tally of a motif of each group."""
+        codes = _read("".join(motifs)).reshape(len(motifs), -1)
+        of, at = (codes != _DOT).nonzero()
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        places = np.zeros((int(rank.max()) + 1, len(motifs)), np.intp)
+        masks = np.zeros(places.shape, np.uint8)  # 0: this motif has no further offset
+        places[rank, of], masks[rank, of] = at, _BYTE_BITS[codes[of, at]]
+        size = self.size[groups]
+        ends = np.cumsum(size)
+        of = np.repeat(np.arange(len(groups)), size)
+        rows = np.arange(len(of)) + (self.first[groups] - ends + size)[of]
+        missed = np.zeros(len(of), np.intp)  # how many offsets, times 2^16, and the sum of these offsets
+        flat, total = self.bits.reshape(-1), self.bits.shape[1]
+        for offset, mask in zip(places, masks, strict=True):
+            wanted, offset = mask[of], offset[of]
+            fails = ((flat.take(offset * total + rows) & wanted) == 0) & (wanted > 0)
+            missed += fails * (offset + (1 << 16))
+        hit = (missed == 0).nonzero()[0]
+        bounds = [0, *np.searchsorted(hit, ends).tolist()]
+        hit = rows[hit]
+        sums = [self._sums(hit[a:b], n) for a, b, n in zip(bounds, bounds[1:], n_offsets, strict=False)]
+        near = ((missed > 0) & (missed < 2 << 16)).nonzero()[0]
+        place, of, near = missed[near] - (1 << 16), of[near], rows[near]
+        base = flat.take(place * total + near)
+        counted = (base > 0) & (place < np.array(n_offsets)[of]) & (codes[of, place] != _N)
+        if counted.any():
+            place, of, near, base = place[counted], of[counted], near[counted], base[counted]
+            most = int(place.max()) + 1
+            cell, own = of * (5 * most) + place * 5 + _INDEX[base], self.weights.take(near, axis=0)
+            kinds = [np.bincount(cell, own[:, kind], len(groups) * 5 * most) for kind in range(own.shape[1])]
+            more = np.stack(kinds, axis=1).reshape(len(groups), most, 5, -1)
+            for i in np.unique(of).tolist():
+                n = min(most, n_offsets[i])
+                sums[i][:n] += more[i, :n]
+        return sums
+
+
 class Chunk:
     """A row of packed chunks: the bases around a stretch of a contig, and the records on it."""
 
@@ -211,11 +278,6 @@ def _grown(motif: str, at: int, mask: int) -> str:
     return before + _CODE[mask] + behind
 
 
-def _own(motif: str, sums: np.ndarray) -> np.ndarray:
-    """The sums of the windows that match: at offsets of the motif its own bases only."""
-    return sums * _OWN[_read(motif)[: len(sums)], :, None]
-
-
 # ---------------------------------------------------------------- the queue of a group
 
 
@@ -251,21 +313,27 @@ class Search:
     def feed(self, tallies: dict[str, np.ndarray]) -> None:
         """Go on with the queue as far as its tallies are there."""
         self.ready |= tallies
+        while (motif := self.due()) is not None:
+            sums = self.ready.pop(motif, None)
+            if sums is None or len(sums) < self.n_offsets(1):
+                return
+            self.pop()
+            self.expand_all([self], [motif], [sums])
+
+    def due(self) -> str | None:
+        """The motif whose tally comes next; what needs none is done before. None at the end."""
         while self.open:
             if not self.queue or self.since > self.options.max_rounds:
                 self.finish()
-                continue
-            motif = self.queue[0][2]
-            if self.expandable(motif):
-                sums = self.ready.get(motif)
-                if sums is None or len(sums) < self.n_offsets(1):
-                    self.ready.pop(motif, None)
-                    return
-                del self.ready[motif]
-            heapq.heappop(self.queue)
-            self.since += 1
-            if self.expandable(motif):
-                self.expand(motif, sums)
+            elif self.expandable(motif := self.queue[0][2]):
+                return motif
+            else:
+                self.pop()
+        return None
+
+    def pop(self) -> None:
+        heapq.heappop(self.queue)
+        self.since += 1
 
     def close(self) -> None:
         self.open, self.queue, self.known, self.ready = False, [], {}, {}
@@ -313,45 +381,57 @@ class CountSearch(Search):
         a, b = high + 1.0, low + 1.0
         return a / (a + b), np.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
 
-    def expand(self, motif: str, sums: np.ndarray) -> None:
-        o = self.options
-        own = _own(motif, sums)
-        n_background, n_methylated, n_high, n_low = own[o.flank].sum(axis=0)
-        if self.seed_odds is None:
-            self.seed_odds = (n_high + 1) / (n_low + 1)
-        if not (n_background and n_methylated):
+    @classmethod
+    def expand_all(cls, searches: list[CountSearch], motifs: list[str], tallies: list[np.ndarray]) -> None:
+        """Each search grows the motif that it has come to."""
+        o, sums = searches[0].options, np.stack(tallies)
+        codes = _read("".join(motifs)).reshape(len(motifs), -1)
+        totals = (sums[:, o.flank] * _OWN[codes[:, o.flank], :, None]).sum(axis=1)
+        n_background, n_methylated, n_high, n_low = totals.T
+        for search, odds in zip(searches, ((n_high + 1) / (n_low + 1)).tolist(), strict=True):
+            if search.seed_odds is None:
+                search.seed_odds = odds
+        grows = ((n_background > 0) & (n_methylated > 0)).nonzero()[0]
+        if not len(grows):
             return
-        p, q = own[:, :4, 1] / n_methylated, own[:, :4, 0] / n_background
-        divergence = ((p + 1e-6) * np.log((p + 1e-6) / (q + 1e-6))).sum(axis=1)
-        wide = (divergence > o.min_kl).nonzero()[0]
-        mean, sd = self.shape(n_high, n_low)
-        per_mask = _SUBSETS @ sums[wide, :4]
-        per_mask[:, 15] = sums[wide].sum(axis=1)  # N takes any character
+        own = sums[grows, :, :4, :2] * _OWN[codes[grows], :4, None]
+        p, q = own[..., 1] / n_methylated[grows, None, None], own[..., 0] / n_background[grows, None, None]
+        divergence = ((p + 1e-6) * np.log((p + 1e-6) / (q + 1e-6))).sum(axis=2)
+        of, wide = (divergence > o.min_kl).nonzero()
+        frequent = ((p[of, wide] > o.min_base_freq) @ _ONE[:4]).tolist()
+        of = grows[of]
+        mean, sd = (x[of, None] for x in cls.shape(n_high, n_low))
+        cells = sums[of, wide]
+        per_mask = _SUBSETS @ cells[:, :4]
+        per_mask[:, 15] = cells.sum(axis=1)  # N takes any character
         high, low = per_mask[:, :, 2], per_mask[:, :, 3]
-        means, sds = self.shape(high, low)
+        means, sds = cls.shape(high, low)
         scores = (means * -np.log10((sds + sd) / 2) * (means - mean)).round(12).tolist()
-        priorities = ((1 - (high + 1) / (low + 1)) / self.seed_odds).tolist()
-        frequent = ((p[wide] > o.min_base_freq) @ _ONE[:4]).tolist()
-        ends, known = _ends(motif), self.known
-        for i, at in enumerate(wide.tolist()):
-            here = _BITS[motif[at]] if motif[at] != "." else 0
-            if here == _ANY:
-                continue  # joining bases to N leaves the motif as it is
-            before, behind = _around(motif, at, *ends)
-            for bases in _WITHIN[frequent[i]]:
-                mask = bases | here
-                if mask == here:
-                    continue
-                new, score = before + _CODE[mask] + behind, scores[i][mask]
-                if score > self.best[0]:
-                    self.since = 0
-                if new not in known:
-                    self.push(priorities[i][mask], new)
-                    known[new] = (score, self.order)
-                elif score > known[new][0]:  # a better score from another parent
-                    known[new] = (score, known[new][1])
-                if known[new] > self.best[:2]:
-                    self.best = (*known[new], new, per_mask[i, mask].tolist())
+        odds = np.array([search.seed_odds for search in searches])
+        priorities = ((1 - (high + 1) / (low + 1)) / odds[of, None]).tolist()
+        wide, bounds = wide.tolist(), np.searchsorted(of, np.arange(len(searches) + 1)).tolist()
+        for i, (search, motif) in enumerate(zip(searches, motifs, strict=True)):
+            ends, known = _ends(motif), search.known
+            for j in range(bounds[i], bounds[i + 1]):
+                at = wide[j]
+                here = _BITS[motif[at]] if motif[at] != "." else 0
+                if here == _ANY:
+                    continue  # joining bases to N leaves the motif as it is
+                before, behind = _around(motif, at, *ends)
+                for bases in _WITHIN[frequent[j]]:
+                    mask = bases | here
+                    if mask == here:
+                        continue
+                    new, score = before + _CODE[mask] + behind, scores[j][mask]
+                    if score > search.best[0]:
+                        search.since = 0
+                    if new not in known:
+                        search.push(priorities[j][mask], new)
+                        known[new] = (score, search.order)
+                    elif score > known[new][0]:  # a better score from another parent
+                        known[new] = (score, known[new][1])
+                    if known[new] > search.best[:2]:
+                        search.best = (*known[new], new, per_mask[j, mask].tolist())
 
     def finish(self) -> None:
         score, _, motif, sums = self.best
@@ -398,54 +478,71 @@ class MixtureSearch(Search):
         """As upstream, what is longer than the windows grows no further."""
         return not motif[2 * self.options.flank + 1 :].strip(".")
 
-    def fit(self, sums: np.ndarray):
+    @staticmethod
+    def fit(sums: np.ndarray, o: MixtureOptions):
         """(score, pi, alpha, beta) for each row of sums; no score where there is no fit."""
-        _, n, valid, w, wx, wxx = np.moveaxis(sums, -1, 0)
+        _, n, valid, w, wx, wxx = sums.T
         with np.errstate(divide="ignore", invalid="ignore"):
             mean, pi = wx / w, w / valid
             variance = wxx / w - mean * mean
             common = np.where(variance >= 1e-12, mean * (1 - mean) / variance - 1, 0.0)
-            good = (n >= self.options.min_motif_records) & (w > 0) & (common > 0)
+            good = (n >= o.min_motif_records) & (w > 0) & (common > 0)
             return np.where(good, np.round(pi * mean, 9), -np.inf), pi, mean * common, (1 - mean) * common
 
-    def expand(self, motif: str, sums: np.ndarray) -> None:
-        o = self.options
-        total = _own(motif, sums[: o.flank + 1])[o.flank].sum(axis=0)
-        if motif == self.seed:
-            self.n_seed = total[1]
-        if not total[0]:  # its windows are background windows too, and neither set is ever reduced
+    @classmethod
+    def expand_all(cls, searches: list[MixtureSearch], motifs: list[str], tallies: list[np.ndarray]) -> None:
+        """Each search grows the motif that it has come to."""
+        o = searches[0].options
+        codes = _read("".join(motifs)).reshape(len(motifs), -1)
+        totals = (np.stack([sums[o.flank, :, :2] for sums in tallies]) * _OWN[codes[:, o.flank], :, None]).sum(axis=1).tolist()
+        grows = []
+        for i, (search, (methylated, n)) in enumerate(zip(searches, totals, strict=True)):
+            if motifs[i] == search.seed:
+                search.n_seed = n
+            if methylated:  # else its windows are background windows too, and neither set is ever reduced
+                grows.append(i)
+        if not grows:
             return
-        sums = sums[: min(2 * self.since + 1, o.width)]
+        opened = [min(2 * searches[i].since + 1, o.width) for i in grows]
+        sums = np.concatenate([tallies[i][:n] for i, n in zip(grows, opened, strict=True)])
+        codes = np.concatenate([codes[i, :n] for i, n in zip(grows, opened, strict=True)])
         joined = sums[:, :4].copy()
-        codes = _read(motif)[: len(sums)]
+        masks = np.tile(_ONE[:4], (len(sums), 1))
         inside = (codes != _DOT).nonzero()[0]
-        here = _BYTE_BITS[codes[inside]] & 15
-        masks = here[:, None] | _ONE[:4]
-        joined[inside] = _SUBSETS[masks] @ sums[inside, :4]
-        i, b = np.nonzero(masks == 15)
+        here = (_BYTE_BITS[codes[inside]] & 15)[:, None]
+        masks[inside] |= here
+        joined[inside] = _SUBSETS[masks[inside]] @ sums[inside, :4]
+        i, b = np.nonzero(masks[inside] == 15)
         joined[inside[i], b] = sums[inside[i]].sum(axis=1)  # N takes any character
         enough = joined[:, :, 1] >= o.min_motif_records
-        enough[inside] &= masks != here[:, None]  # else the motif as it is
+        enough[inside] &= masks[inside] != here  # else the motif as it is
         at, b = np.nonzero(enough)
         joined = joined[at, b]
-        score, pi, alpha, beta = self.fit(joined)
-        (left, right), known, queue, code = _ends(motif), self.known, self.queue, "ACGT"
-        masks = dict(zip(inside.tolist(), masks.tolist(), strict=True))
-        last = before = behind = None
-        for i, (at_i, b_i, s) in enumerate(zip(at.tolist(), b.tolist(), score.tolist(), strict=True)):
-            if s == -math.inf:
-                continue
-            if at_i != last:
-                last, (before, behind) = at_i, _around(motif, at_i, left, right)
-            new = before + (_CODE[masks[at_i][b_i]] if at_i in masks else code[b_i]) + behind
-            if new in known:
-                continue
-            self.order += 1
-            heapq.heappush(queue, (-s, self.order, new))
-            known[new] = (s, self.order)
-            if s > self.best[0]:
-                self.since = 0
-                self.best = (s, self.order, new, (float(joined[i, 1]), *(float(x[i]) for x in (pi, alpha, beta))))
+        score, *model = cls.fit(joined, o)
+        fits = (score > -np.inf).nonzero()[0]
+        at, b, joined, score, model = at[fits], b[fits], joined[fits], score[fits].tolist(), [x[fits] for x in model]
+        masks = masks[at, b].tolist()
+        ends = np.cumsum(opened)
+        bounds = [0, *np.searchsorted(at, ends).tolist()]
+        at = (at - np.repeat(ends - opened, np.diff(bounds))).tolist()
+        for k, i in enumerate(grows):
+            search, motif = searches[i], motifs[i]
+            (left, right), known, queue = _ends(motif), search.known, search.queue
+            last = before = behind = None
+            for j in range(bounds[k], bounds[k + 1]):
+                if at[j] != last:
+                    last = at[j]
+                    before, behind = _around(motif, last, left, right)
+                new = before + _CODE[masks[j]] + behind
+                if new in known:
+                    continue
+                search.order += 1
+                s = score[j]
+                heapq.heappush(queue, (-s, search.order, new))
+                known[new] = (s, search.order)
+                if s > search.best[0]:
+                    search.since = 0
+                    search.best = (s, search.order, new, (float(joined[j, 1]), *(float(x[j]) for x in model)))
 
     def finish(self) -> None:
         score, _, motif, model = self.best
@@ -500,25 +597,54 @@ def _search_of(rows: pa.RecordBatch, i: int, kind: type[Search], options) -> Sea
     return pickle.loads(state) if state is not None else kind(rows["mod_type"][i].as_py(), options, rows["n_records"][i].as_py())
 
 
+def stepped(searches: list[Search], windows: list[Windows], steps: int) -> None:
+    """Searches of one kind, each on windows of its own, take their steps side by side."""
+    small = [i for i, w in enumerate(windows) if len(w.weights) < _LARGE]
+    flock, place = Flock([windows[i] for i in small]) if len(small) > 1 else None, {}
+    if flock:
+        place = {i: k for k, i in enumerate(small)}
+        for i in small:
+            windows[i] = None
+    gone, going = [0] * len(searches), range(len(searches))
+    for _ in range(steps):
+        due = [(i, searches[i].due()) for i in going]
+        going = [i for i, motif in due if motif is not None]
+        if not going:
+            return
+        motifs = {i: motif for i, motif in due if motif is not None}
+        for i in going:
+            search = searches[i]
+            for motif in search.removed[gone[i] :]:
+                if i in place:
+                    flock.without_of(place[i], motif, search.REMOVABLE)
+                else:
+                    windows[i].without(motif, search.REMOVABLE)
+            gone[i] = len(search.removed)
+        offsets = {i: searches[i].n_offsets(1) for i in going}
+        tallies = {i: windows[i].tally(motifs[i], offsets[i]) for i in going if i not in place}
+        if abreast := [i for i in going if i in place]:
+            tallies |= zip(abreast, flock.tallies([place[i] for i in abreast], [motifs[i] for i in abreast], [offsets[i] for i in abreast]), strict=True)
+        for i in going:
+            searches[i].pop()
+        searches[0].expand_all([searches[i] for i in going], [motifs[i] for i in going], [tallies[i] for i in going])
+    for i in going:
+        searches[i].due()  # the last of them may be at its end
+
+
 def _alone(kind: type[Search], options, steps: int):
     """Groups of one chunk: they move on where they are."""
 
     def run(batches):
         for rows in batches:
-            states = []
-            for i in range(rows.num_rows):
-                search = _search_of(rows, i, kind, options)
-                windows = kind.windows(options, search.mod_type, Chunk(rows, i, kind.RECORD))
-                gone = 0
-                for _ in range(steps):
-                    for motif in search.removed[gone:]:
-                        windows.without(motif, kind.REMOVABLE)
-                    gone = len(search.removed)
-                    wanted = search.wanted(1) if search.open else []
-                    search.feed({m: windows.tally(m, search.n_offsets(1)) for m in wanted})
-                    if not search.open:
-                        break
-                states.append(search)
+            states = [_search_of(rows, i, kind, options) for i in range(rows.num_rows)]
+            some, windows, n = [], [], 0
+            for i, search in enumerate(states):
+                some.append(search)
+                windows.append(kind.windows(options, search.mod_type, Chunk(rows, i, kind.RECORD)))
+                n += len(windows[-1].weights)
+                if n >= _ABREAST or i == len(states) - 1:
+                    stepped(some, windows, steps)
+                    some, windows, n = [], [], 0
             yield _state_rows(rows, states)
 
     return run

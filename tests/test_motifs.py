@@ -334,3 +334,45 @@ def test_searches_read_their_records_once(spark):
         before = read.value
         assert search_of(recs.mapInArrow(counted, recs.schema), seq).count() > 0
         assert read.value - before == recs.count()
+
+
+def _small_groups(kind, options, n_groups=12):
+    rng = np.random.default_rng(11)
+    for g in range(n_groups):
+        text = "".join(rng.choice(list("ACGT") + ["N"] * (g == 3), 150 + 40 * g))
+        at = np.array([i for i, b in enumerate(text) if b == "A"])
+        high = np.array([text[i + 1 : i + 3] in ("CT", "GA"[: g % 3]) for i in at])
+        x, r = np.where(high, 0.8, 0.05) + rng.integers(0, 8, len(at)) / 64, np.where(high, 0.96875, 0.0078125)
+        one = np.ones(len(at))
+        weights = np.stack([one, high, high, ~high] if kind is search.CountSearch else [high, one, one, r, r * x, r * x * x], axis=1).astype(float)
+        flank = options.flank
+        yield kind("6mA", options, len(at)), search.Windows(_codes(text), at, rng.random(len(at)) < 0.2, flank, options.width - flank - 1, weights)
+
+
+def test_groups_step_side_by_side_as_each_alone(monkeypatch):
+    for kind, options in (
+        (search.CountSearch, search.CountOptions(flank=4, max_rounds=4, min_score=0.05)),
+        (search.MixtureSearch, search.MixtureOptions(max_rounds=12, max_low_score=1, min_records=20)),
+    ):
+        alone, steps = [], []
+        for one, windows in _small_groups(kind, options):
+            gone = 0
+            steps.append(0)
+            while one.open:
+                for motif in one.removed[gone:]:
+                    windows.without(motif, kind.REMOVABLE)
+                gone = len(one.removed)
+                wanted = one.wanted(1)
+                one.feed({m: windows.tally(m, one.n_offsets(1)) for m in wanted})
+                steps[-1] += 1
+            alone.append((one.found, one.removed))
+        calls, scored = [], kind.expand_all
+        monkeypatch.setattr(kind, "expand_all", staticmethod(lambda *a, calls=calls, scored=scored: calls.append(1) or scored(*a)))
+        for large in (search._LARGE, 100):  # all groups small, some of them large
+            monkeypatch.setattr(search, "_LARGE", large)
+            searches, windows = map(list, zip(*_small_groups(kind, options), strict=True))
+            calls.clear()
+            search.stepped(searches, windows, 5_000)
+            assert [(s.found, s.removed) for s in searches] == alone and any(f for f, _ in alone)
+            assert not any(s.open for s in searches)
+            assert len(calls) <= max(steps) < sum(steps) / 3  # calls as many as the longest search has steps
