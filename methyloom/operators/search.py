@@ -51,6 +51,7 @@ _FAN_IN = 32
 _BLOCK = 1 << 21  # cells taken apart at a time
 _ABREAST = 1 << 17  # windows of the groups that step side by side
 _LARGE = 1 << 10  # from so many windows on a group is tallied by itself
+_SORTED = 1 << 13  # from so many windows on their order matters to the time of a tally
 _ROWS = 256  # rows of packed chunks a task, once every core has some
 
 _ANY = 31  # A, C, G, T and every other character
@@ -65,9 +66,15 @@ for _code, _mask in _BITS.items():
     _BYTE_BITS[ord(_code)] = _mask
 _INDEX = np.zeros(32, np.intp)
 _INDEX[_ONE] = range(5)
+_PLACE = np.full(32, 5, np.intp)  # the same, with a place for what is beyond the contig
+_PLACE[_ONE] = range(5)
 _OWN = np.where(_BYTE_BITS[:, None] > 0, (_BYTE_BITS[:, None] & _ONE) > 0, True).astype(float)  # the bases of a code; dots leave all
-_WITHIN = [[sum(some) for some in subsets(1 << b for b in range(4) if mask >> b & 1)] for mask in range(16)]
+_SUBSETS_ANY = np.column_stack([_SUBSETS, np.arange(16) == 15])  # N takes any character
+_WITHIN_OF = [[sum(some) for some in subsets(1 << b for b in range(4) if mask >> b & 1)] for mask in range(16)]
+_N_WITHIN = np.array([len(sets) for sets in _WITHIN_OF])
+_WITHIN = np.array([sets + [0] * (15 - len(sets)) for sets in _WITHIN_OF])
 _DOT, _N = ord("."), ord("N")
+_SETS = np.array([*range(15), _ANY], np.uint8)  # sets of bases by their last four bits: N takes any character
 
 
 @dataclass(frozen=True)
@@ -84,6 +91,11 @@ class CountOptions:
     def width(self) -> int:
         return 2 * self.flank + 1
 
+    @property
+    def reach(self) -> int:
+        """Offsets within which a motif grows further."""
+        return self.width
+
 
 @dataclass(frozen=True)
 class MixtureOptions:
@@ -101,6 +113,11 @@ class MixtureOptions:
         """All offsets that the rounds can open, from the left edge of the window on."""
         return 2 * (self.max_rounds + 1) + 1
 
+    @property
+    def reach(self) -> int:
+        """Offsets within which a motif grows further."""
+        return min(2 * self.flank + 1, self.width)
+
 
 # ---------------------------------------------------------------- within a chunk
 
@@ -173,18 +190,38 @@ class Windows:
 
 
 class Flock(Windows):
-    """Windows of several groups side by side, so that the same calls tally a motif of each."""
+    """Windows of several groups side by side, so that the same calls tally a motif of each.
+
+    Which windows miss a set of bases at an offset is kept as bits, 64 windows a word, for the first ``reach`` offsets:
+    no motif that is tallied stands behind them. A group begins with a word; what fills its last word is beyond
+    every contig and weighs nothing.
+    """
 
-    def __init__(self, windows: list[Windows]):
-        self.bits = np.concatenate([w.bits for w in windows], axis=1)
-        self.weights = np.concatenate([w.weights for w in windows])
-        self.n_bases = max(w.n_bases for w in windows)
+    def __init__(self, windows: list[Windows], reach: int):
         self.size = np.array([len(w.weights) for w in windows])
-        self.first = np.cumsum(self.size) - self.size
+        self.n_words = -(-self.size // 64)
+        self.word = np.cumsum(self.n_words) - self.n_words
+        total = 64 * int(self.n_words.sum())
+        self.bits = np.zeros((len(windows[0].bits), total), np.uint8)
+        self.weights = np.zeros((total, windows[0].weights.shape[1]))
+        for w, first, n in zip(windows, (64 * self.word).tolist(), self.size.tolist(), strict=True):
+            alike = np.lexsort(w.bits[:reach][::-1]) if n >= _SORTED else slice(None)  # what a motif matches stands together
+            self.bits[:, first : first + n], self.weights[first : first + n] = w.bits[:, alike], w.weights[alike]
+        self.n_bases, self.reach = max(w.n_bases for w in windows), reach
+        self.misses = np.empty((reach, 16, total // 64), "<u8")
+        self._keep(0, total // 64)
+
+    def _keep(self, a: int, b: int) -> None:
+        """The bits of some words."""
+        step = max(1, _BLOCK // (16 * 64 * max(1, b - a)))
+        for first in range(0, self.reach, step):
+            some = self.bits[first : min(first + step, self.reach), None, 64 * a : 64 * b]
+            self.misses[first : first + step, :, a:b] = np.packbits((some & _SETS[:, None]) == 0, axis=2, bitorder="little").view("<u8")
+        self.misses[:, 0, a:b] = 0  # the empty set: nothing is asked
 
     def without_of(self, group: int, motif: str, kinds: slice) -> None:
         """As ``without``, for the windows of one group."""
-        a, n = self.first[group], self.size[group]
+        a, n = 64 * self.word[group], self.size[group]
         codes = _read(motif)
         at = (codes != _DOT).nonzero()[0]
         hit = ((self.bits[at, a : a + n] & _BYTE_BITS[codes[at]][:, None]) != 0).all(axis=0)
@@ -193,44 +230,66 @@ class Flock(Windows):
         left = weights.any(axis=1).nonzero()[0]
         if len(left) < 0.8 * n:
             self.bits[:, a : a + len(left)] = self.bits[:, a + left]
+            self.bits[: self.reach, a + len(left) : a + n] = 0
             self.weights[a : a + len(left)] = weights[left]
-            self.size[group] = len(left)
+            self.weights[a + len(left) : a + n] = 0
+            self.size[group], self.n_words[group] = len(left), -(-len(left) // 64)
+            self._keep(self.word[group], self.word[group] + self.n_words[group])
+
+    @staticmethod
+    def _set(words: np.ndarray) -> np.ndarray:
+        """The places of the bits that are set."""
+        some = words.nonzero()[0]
+        places = np.unpackbits(words[some].view(np.uint8), bitorder="little").view(bool).nonzero()[0]
+        return 64 * some[places >> 6] + (places & 63)
 
     def tallies(self, groups: list[int], motifs: list[str], n_offsets: list[int]) -> list[np.ndarray]:
         """The tally of a motif of each group."""
-        codes = _read("".join(motifs)).reshape(len(motifs), -1)
-        of, at = (codes != _DOT).nonzero()
+        codes = _read("".join(motifs)).reshape(len(motifs), -1)[:, : self.reach]
+        some = codes != _DOT
+        # an N between needs no look: only what is beyond the contig misses it, and so it misses an end of the motif
+        ends = some & ~((np.cumsum(some, axis=1) > 1) & (np.cumsum(some[:, ::-1], axis=1)[:, ::-1] > 1))
+        of, at = (some & (ends | (codes != _N))).nonzero()
         rank = np.arange(len(of)) - np.searchsorted(of, of)
         places = np.zeros((int(rank.max()) + 1, len(motifs)), np.intp)
-        masks = np.zeros(places.shape, np.uint8)  # 0: this motif has no further offset
-        places[rank, of], masks[rank, of] = at, _BYTE_BITS[codes[of, at]]
-        size = self.size[groups]
-        ends = np.cumsum(size)
-        of = np.repeat(np.arange(len(groups)), size)
-        rows = np.arange(len(of)) + (self.first[groups] - ends + size)[of]
-        missed = np.zeros(len(of), np.intp)  # how many offsets, times 2^16, and the sum of these offsets
-        flat, total = self.bits.reshape(-1), self.bits.shape[1]
-        for offset, mask in zip(places, masks, strict=True):
-            wanted, offset = mask[of], offset[of]
-            fails = ((flat.take(offset * total + rows) & wanted) == 0) & (wanted > 0)
-            missed += fails * (offset + (1 << 16))
-        hit = (missed == 0).nonzero()[0]
-        bounds = [0, *np.searchsorted(hit, ends).tolist()]
-        hit = rows[hit]
+        sets = np.zeros(places.shape, np.intp)  # 0: this motif has no further offset
+        places[rank, of], sets[rank, of] = at, _BYTE_BITS[codes[of, at]] & 15
+        n_words = self.n_words[groups]
+        ends = np.cumsum(n_words)
+        of = np.repeat(np.arange(len(groups)), n_words)
+        words = np.arange(len(of)) + (self.word[groups] - ends + n_words)[of]
+        flat, total = self.misses.reshape(-1), self.misses.shape[2]
+        starts = (places * 16 + sets) * total
+        missed = [flat.take(start[of] + words) for start in starts]
+        once, again = np.zeros((2, len(of)), "<u8")
+        for miss in missed:
+            again |= once & miss
+            once |= miss
+        hit = self._set(~once)
+        bounds = [0, *np.searchsorted(hit, 64 * ends).tolist()]
+        hit = 64 * words[hit >> 6] + (hit & 63)
         sums = [self._sums(hit[a:b], n) for a, b, n in zip(bounds, bounds[1:], n_offsets, strict=False)]
-        near = ((missed > 0) & (missed < 2 << 16)).nonzero()[0]
-        place, of, near = missed[near] - (1 << 16), of[near], rows[near]
-        base = flat.take(place * total + near)
-        counted = (base > 0) & (place < np.array(n_offsets)[of]) & (codes[of, place] != _N)
-        if counted.any():
-            place, of, near, base = place[counted], of[counted], near[counted], base[counted]
-            most = int(place.max()) + 1
-            cell, own = of * (5 * most) + place * 5 + _INDEX[base], self.weights.take(near, axis=0)
-            kinds = [np.bincount(cell, own[:, kind], len(groups) * 5 * most) for kind in range(own.shape[1])]
-            more = np.stack(kinds, axis=1).reshape(len(groups), most, 5, -1)
-            for i in np.unique(of).tolist():
-                n = min(most, n_offsets[i])
-                sums[i][:n] += more[i, :n]
+        once &= ~again
+        looked = (codes[np.arange(len(motifs)), places] != _N) & (places < np.array(n_offsets))
+        more = np.zeros((len(motifs), self.reach, 5, self.weights.shape[1]))
+        for miss, offset, wanted in zip(missed, places, looked, strict=True):  # the windows that miss this offset alone
+            near = self._set(np.where(wanted[of], miss & once, 0))
+            if len(near):
+                if len(motifs) == 1:
+                    near += 64 * words[0]
+                    base = self.bits[offset[0]].take(near)
+                else:
+                    group, near = of[near >> 6], 64 * words[near >> 6] + (near & 63)
+                    base = self.bits.reshape(-1).take(offset[group] * self.bits.shape[1] + near)
+                own = self.weights.take(near, axis=0)
+                if len(motifs) == 1:
+                    more[0, offset[0]] += (base == _ONE[:, None]).astype(float) @ own
+                    continue
+                cell = group * 6 + _PLACE[base]
+                kinds = [np.bincount(cell, own[:, kind], 6 * len(motifs)) for kind in range(own.shape[1])]
+                more[np.arange(len(motifs)), offset] += np.stack(kinds, axis=1).reshape(len(motifs), 6, -1)[:, :5]
+        for own, near in zip(sums, more, strict=True):
+            own[: self.reach] += near[: len(own)]
         return sums
 
 
@@ -306,10 +365,6 @@ class Search:
         """The motifs to be tallied next; the first of the queue is among them."""
         return [m for _, _, m in heapq.nsmallest(limit, self.queue) if m not in self.ready]
 
-    def push(self, priority: float, motif: str) -> None:
-        self.order += 1
-        heapq.heappush(self.queue, (priority, self.order, motif))
-
     def feed(self, tallies: dict[str, np.ndarray]) -> None:
         """Go on with the queue as far as its tallies are there."""
         self.ready |= tallies
@@ -398,40 +453,43 @@ class CountSearch(Search):
         p, q = own[..., 1] / n_methylated[grows, None, None], own[..., 0] / n_background[grows, None, None]
         divergence = ((p + 1e-6) * np.log((p + 1e-6) / (q + 1e-6))).sum(axis=2)
         of, wide = (divergence > o.min_kl).nonzero()
-        frequent = ((p[of, wide] > o.min_base_freq) @ _ONE[:4]).tolist()
+        frequent = (p[of, wide] > o.min_base_freq) @ _ONE[:4]
         of = grows[of]
-        mean, sd = (x[of, None] for x in cls.shape(n_high, n_low))
-        cells = sums[of, wide]
-        per_mask = _SUBSETS @ cells[:, :4]
-        per_mask[:, 15] = cells.sum(axis=1)  # N takes any character
-        high, low = per_mask[:, :, 2], per_mask[:, :, 3]
+        here = np.where(codes == _DOT, 0, _BYTE_BITS[codes])[of, wide]
+        n_sets = np.where(here == _ANY, 0, _N_WITHIN[frequent])  # joining bases to N leaves the motif as it is
+        cell = np.repeat(np.arange(len(of)), n_sets)
+        masks = _WITHIN[frequent[cell], np.arange(len(cell)) - (np.cumsum(n_sets) - n_sets)[cell]] | here[cell]
+        cell, masks = cell[changes := masks != here[cell]], masks[changes]
+        of, wide = of[cell], wide[cell]
+        mean, sd = (x[of] for x in cls.shape(n_high, n_low))
+        joined = (_SUBSETS_ANY[masks][:, None] @ sums[of, wide])[:, 0]
+        high, low = joined[:, 2], joined[:, 3]
         means, sds = cls.shape(high, low)
         scores = (means * -np.log10((sds + sd) / 2) * (means - mean)).round(12).tolist()
         odds = np.array([search.seed_odds for search in searches])
-        priorities = ((1 - (high + 1) / (low + 1)) / odds[of, None]).tolist()
-        wide, bounds = wide.tolist(), np.searchsorted(of, np.arange(len(searches) + 1)).tolist()
+        priorities = ((1 - (high + 1) / (low + 1)) / odds[of]).tolist()
+        bounds = np.searchsorted(of, np.arange(len(searches) + 1)).tolist()
+        wide, masks = wide.tolist(), masks.tolist()
         for i, (search, motif) in enumerate(zip(searches, motifs, strict=True)):
-            ends, known = _ends(motif), search.known
+            (left, right), known, queue = _ends(motif), search.known, search.queue
+            last = before = behind = None
             for j in range(bounds[i], bounds[i + 1]):
-                at = wide[j]
-                here = _BITS[motif[at]] if motif[at] != "." else 0
-                if here == _ANY:
-                    continue  # joining bases to N leaves the motif as it is
-                before, behind = _around(motif, at, *ends)
-                for bases in _WITHIN[frequent[j]]:
-                    mask = bases | here
-                    if mask == here:
-                        continue
-                    new, score = before + _CODE[mask] + behind, scores[j][mask]
-                    if score > search.best[0]:
-                        search.since = 0
-                    if new not in known:
-                        search.push(priorities[j][mask], new)
-                        known[new] = (score, search.order)
-                    elif score > known[new][0]:  # a better score from another parent
-                        known[new] = (score, known[new][1])
-                    if known[new] > search.best[:2]:
-                        search.best = (*known[new], new, per_mask[j, mask].tolist())
+                if wide[j] != last:
+                    last = wide[j]
+                    before, behind = _around(motif, last, left, right)
+                new, score = before + _CODE[masks[j]] + behind, scores[j]
+                if score > search.best[0]:
+                    search.since = 0
+                if (old := known.get(new)) is None:
+                    search.order += 1
+                    heapq.heappush(queue, (priorities[j], search.order, new))
+                    now = known[new] = (score, search.order)
+                elif score > old[0]:  # a better score from another parent
+                    now = known[new] = (score, old[1])
+                else:
+                    now = old
+                if now > search.best[:2]:
+                    search.best = (*now, new, joined[j].tolist())
 
     def finish(self) -> None:
         score, _, motif, sums = self.best
@@ -476,7 +534,7 @@ class MixtureSearch(Search):
 
     def expandable(self, motif: str) -> bool:
         """As upstream, what is longer than the windows grows no further."""
-        return not motif[2 * self.options.flank + 1 :].strip(".")
+        return not motif[self.options.reach :].strip(".")
 
     @staticmethod
     def fit(sums: np.ndarray, o: MixtureOptions):
@@ -599,31 +657,30 @@ def _search_of(rows: pa.RecordBatch, i: int, kind: type[Search], options) -> Sea
 
 def stepped(searches: list[Search], windows: list[Windows], steps: int) -> None:
     """Searches of one kind, each on windows of its own, take their steps side by side."""
+    reach = searches[0].options.reach
     small = [i for i, w in enumerate(windows) if len(w.weights) < _LARGE]
-    flock, place = Flock([windows[i] for i in small]) if len(small) > 1 else None, {}
-    if flock:
-        place = {i: k for k, i in enumerate(small)}
-        for i in small:
-            windows[i] = None
+    flocks = [small] * bool(small) + [[i] for i, w in enumerate(windows) if len(w.weights) >= _LARGE]
+    place, flocks_of = {i: k for flock in flocks for k, i in enumerate(flock)}, {}
+    for some in flocks:
+        flock = Flock([windows[i] for i in some], reach)
+        for i in some:
+            flocks_of[i], windows[i] = flock, None
     gone, going = [0] * len(searches), range(len(searches))
     for _ in range(steps):
         due = [(i, searches[i].due()) for i in going]
-        going = [i for i, motif in due if motif is not None]
-        if not going:
-            return
         motifs = {i: motif for i, motif in due if motif is not None}
+        if not motifs:
+            return
+        going, tallies = list(motifs), {}
         for i in going:
             search = searches[i]
             for motif in search.removed[gone[i] :]:
-                if i in place:
-                    flock.without_of(place[i], motif, search.REMOVABLE)
-                else:
-                    windows[i].without(motif, search.REMOVABLE)
+                flocks_of[i].without_of(place[i], motif, search.REMOVABLE)
             gone[i] = len(search.removed)
-        offsets = {i: searches[i].n_offsets(1) for i in going}
-        tallies = {i: windows[i].tally(motifs[i], offsets[i]) for i in going if i not in place}
-        if abreast := [i for i in going if i in place]:
-            tallies |= zip(abreast, flock.tallies([place[i] for i in abreast], [motifs[i] for i in abreast], [offsets[i] for i in abreast]), strict=True)
+        for some in flocks:
+            if some := [i for i in some if i in motifs]:
+                own = flocks_of[some[0]].tallies([place[i] for i in some], [motifs[i] for i in some], [searches[i].n_offsets(1) for i in some])
+                tallies |= zip(some, own, strict=True)
         for i in going:
             searches[i].pop()
         searches[0].expand_all([searches[i] for i in going], [motifs[i] for i in going], [tallies[i] for i in going])
@@ -725,7 +782,7 @@ def search_rounds(records: DataFrame, sequences: DataFrame, groups: DataFrame, k
 
     ``records`` has (group, position, strand, what the kind of search wants); ``groups`` has (group, n_records).
     """
-    packed = checkpointed(chunks_of(records, sequences, groups, kind, options.width - options.flank, chunk))
+    packed = written(chunks_of(records, sequences, groups, kind, options.width - options.flank, chunk), "packed")
     sizes = packed.groupBy(*GROUP).agg(F.first("n_chunks").alias("n_chunks"))
     states = groups.join(sizes, GROUP).select(*GROUP, "n_chunks", F.col("n_records").cast("double").alias("n_records"), F.lit(True).alias("open"), F.lit(None).cast("binary").alias("state"))
     n_one, n_parts, most = packed.agg(F.count_if(F.col("n_chunks") == 1), F.count_if(F.col("n_chunks") > 1), F.max("n_chunks")).first()
@@ -799,7 +856,7 @@ def found_by_counts(leveled: DataFrame, sequences: DataFrame, options: CountOpti
     """The motifs of each contig with the high and low records that gave their score."""
     observed = leveled.where("level in ('High', 'Low')" if options.both_strands else "level in ('High', 'Low') and strand = '+'")
     is_level = lambda name: (F.col("level") == name).alias(name.lower())
-    records = checkpointed(observed.select(*GROUP, "position", "strand", is_level("High"), is_level("Low")))
+    records = written(observed.select(*GROUP, "position", "strand", is_level("High"), is_level("Low")), "observed")
     groups = checkpointed(with_whole_window(records, sequences, F.col("high"), options.flank).withColumn("n_records", F.lit(0.0)))
     return search_rounds(records, sequences, groups, CountSearch, options, **rounds).drop("pi", "alpha", "beta")
 

@@ -14,7 +14,7 @@ from methyloom.operators.clean import last_wins
 from methyloom.operators.occurrences import MOTIF
 from methyloom.plans import inputs
 from methyloom.plans.record_queries import F32, LEVELED, leveled
-from methyloom.session import checkpointed, table
+from methyloom.session import checkpointed, table, written
 
 FLANK = 10
 _R = 9
@@ -258,7 +258,7 @@ def q_search_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_search_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per contig and modification with a methylated window: motifs whose counts in the search are not those of a join with their occurrences."""
     o, by = search.CountOptions(), ["contig_id", *MOTIF]
-    levels = checkpointed(leveled(spark, sf_dir, o.levels))
+    levels = written(leveled(spark, sf_dir, o.levels), "levels")
     sequences = inputs.sequences(spark, sf_dir)
     found = checkpointed(search.found_by_counts(levels, sequences, o))
     counted = occ.level_counts(levels, occ.occurrences(sequences, found, overlapping=True).where("strand = '+'"))
@@ -271,7 +271,7 @@ def q_search_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_search_mixture_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per contig and modification: motifs that lie on fewer records than asked for, or whose score is not that of their fit."""
     o, by = search.MixtureOptions(), ["contig_id", *MOTIF]
-    records, sequences = checkpointed(inputs.pileup(spark, sf_dir)), inputs.sequences(spark, sf_dir)
+    records, sequences = written(inputs.pileup(spark, sf_dir), "pileup"), inputs.sequences(spark, sf_dir)
     found = checkpointed(search.discover_by_mixture(records, sequences, o).withColumnsRenamed({"motif_mod_type": "mod_type", "motif_mod_position": "mod_position"}))
     hits = records.join(occ.occurrences(sequences, found, overlapping=True).where("strand = '+'").select(*by, "position"), ["contig_id", "mod_type", "position"])
     enough = hits.groupBy(*by).agg(F.count("*").alias("n"))

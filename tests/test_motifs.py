@@ -376,3 +376,32 @@ def test_groups_step_side_by_side_as_each_alone(monkeypatch):
             assert [(s.found, s.removed) for s in searches] == alone and any(f for f, _ in alone)
             assert not any(s.open for s in searches)
             assert len(calls) <= max(steps) < sum(steps) / 3  # calls as many as the longest search has steps
+
+
+def test_tallies_side_by_side_look_only_where_a_motif_asks(monkeypatch):
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(search, "_SORTED", 500)  # the last group is put in order
+    groups = []
+    for n in (1, 64, 65, 700):  # windows cut by both ends among them
+        text = "".join(rng.choice(list("ACGTN"), n))
+        at = np.arange(n)
+        groups.append(search.Windows(_codes(text), at, rng.random(n) < 0.3, 4, 4, rng.integers(0, 3, (n, 2)).astype(float)))
+    motifs = ["....A....", "..GN.....", "A..NN...T", "...CNNNNG", "GNNNNNNNN", ".NNNAY...", "RNTNAN..."]
+    motifs = [m if "." not in m.strip(".") else m[: len(m) - len(m.lstrip("."))] + m.strip(".").replace(".", "N") + "." * (len(m) - len(m.rstrip("."))) for m in motifs]
+    want = {(g, m): w.tally(m, 9) for g, w in enumerate(groups) for m in motifs}
+    flock = search.Flock(groups, 9)
+    asked = []
+    monkeypatch.setattr(search.Flock, "_set", staticmethod(lambda words, kept=search.Flock._set: asked.append(len(words)) or kept(words)))
+    for m in motifs:
+        for some in ([0, 1, 2, 3], [3], [2], [0, 2]):
+            asked.clear()
+            for g, got in zip(some, flock.tallies(some, [m] * len(some), [9] * len(some)), strict=True):
+                assert np.array_equal(got, want[g, m])
+            assert sum(asked) <= (1 + len(m.replace(".", ""))) * sum(flock.n_words[some])  # words of 64 windows
+    for w in groups:
+        w.without("....A....", slice(0, 2))
+    for g in range(4):
+        flock.without_of(g, "....A....", slice(0, 2))
+    for m in motifs:
+        for got, w in zip(flock.tallies([0, 1, 2, 3], [m] * 4, [9] * 4), groups, strict=True):
+            assert np.array_equal(got, w.tally(m, 9))
