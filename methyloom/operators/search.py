@@ -50,8 +50,8 @@ AHEAD = 32
 _FAN_IN = 32
 _BLOCK = 1 << 21  # cells taken apart at a time
 _ABREAST = 1 << 17  # windows of the groups that step side by side
-_LARGE = 1 << 10  # from so many windows on a group is tallied by itself
-_SORTED = 1 << 13  # from so many windows on their order matters to the time of a tally
+_LARGE = 1 << 13  # from so many windows on a group is tallied by itself
+_SORTED = 1 << 13  # and their order matters to the time of a tally
 _ROWS = 256  # rows of packed chunks a task, once every core has some
 
 _ANY = 31  # A, C, G, T and every other character
@@ -208,6 +208,8 @@ class Flock(Windows):
             alike = np.lexsort(w.bits[:reach][::-1]) if n >= _SORTED else slice(None)  # what a motif matches stands together
             self.bits[:, first : first + n], self.weights[first : first + n] = w.bits[:, alike], w.weights[alike]
         self.n_bases, self.reach = max(w.n_bases for w in windows), reach
+        self.flags = bool(((self.weights == 0) | (self.weights == 1)).all())  # then sums are numbers of bits
+        self.kinds = np.zeros((self.weights.shape[1], total // 64), "<u8")
         self.misses = np.empty((reach, 16, total // 64), "<u8")
         self._keep(0, total // 64)
 
@@ -218,6 +220,11 @@ class Flock(Windows):
             some = self.bits[first : min(first + step, self.reach), None, 64 * a : 64 * b]
             self.misses[first : first + step, :, a:b] = np.packbits((some & _SETS[:, None]) == 0, axis=2, bitorder="little").view("<u8")
         self.misses[:, 0, a:b] = 0  # the empty set: nothing is asked
+        self._keep_kinds(a, b)
+
+    def _keep_kinds(self, a: int, b: int) -> None:
+        if self.flags:
+            self.kinds[:, a:b] = np.packbits(np.ascontiguousarray(self.weights[64 * a : 64 * b].T != 0), axis=1, bitorder="little").view("<u8")
 
     def without_of(self, group: int, motif: str, kinds: slice) -> None:
         """As ``without``, for the windows of one group."""
@@ -235,6 +242,8 @@ class Flock(Windows):
             self.weights[a + len(left) : a + n] = 0
             self.size[group], self.n_words[group] = len(left), -(-len(left) // 64)
             self._keep(self.word[group], self.word[group] + self.n_words[group])
+        else:
+            self._keep_kinds(self.word[group], self.word[group] + self.n_words[group])
 
     @staticmethod
     def _set(words: np.ndarray) -> np.ndarray:
@@ -265,12 +274,15 @@ class Flock(Windows):
         for miss in missed:
             again |= once & miss
             once |= miss
+        looked = (codes[np.arange(len(motifs)), places] != _N) & (places < np.array(n_offsets))
+        if self.flags and max(n_offsets) <= self.reach:
+            alone = [np.where(wanted[of], miss & once & ~again, 0) for miss, wanted in zip(missed, looked, strict=True)]
+            return [own[:n] for own, n in zip(self._numbers(~once, alone, places, of, words, ends - n_words), n_offsets, strict=True)]
         hit = self._set(~once)
         bounds = [0, *np.searchsorted(hit, 64 * ends).tolist()]
         hit = 64 * words[hit >> 6] + (hit & 63)
         sums = [self._sums(hit[a:b], n) for a, b, n in zip(bounds, bounds[1:], n_offsets, strict=False)]
         once &= ~again
-        looked = (codes[np.arange(len(motifs)), places] != _N) & (places < np.array(n_offsets))
         more = np.zeros((len(motifs), self.reach, 5, self.weights.shape[1]))
         for miss, offset, wanted in zip(missed, places, looked, strict=True):  # the windows that miss this offset alone
             near = self._set(np.where(wanted[of], miss & once, 0))
@@ -292,6 +304,29 @@ class Flock(Windows):
             own[: self.reach] += near[: len(own)]
         return sums
 
+    def _numbers(self, hit: np.ndarray, alone: list[np.ndarray], places: np.ndarray, of: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Tallies where every weight is 0 or 1, of the windows that match and of those that miss one of the places alone."""
+        sums = np.zeros((len(starts), self.reach, 5, len(self.kinds)))
+        held = np.unique(of)  # groups that have a window
+        if not len(held):
+            return sums
+        flat, total, kinds = self.misses.reshape(-1), self.misses.shape[2], self.kinds[:, words]
+
+        def count(some: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+            missed = [flat.take(at * (16 * total) + base * total + words) for base in (1, 2, 4, 8)]
+            bases = [~miss for miss in missed]
+            if self.n_bases == 5:
+                bases.append(~flat.take(at * (16 * total) + 15 * total + words) & reduce(np.bitwise_and, missed))
+            cells = np.bitwise_count(np.stack(bases)[:, None] & (kinds & some))
+            return np.add.reduceat(cells, starts[held], axis=2, dtype=np.int64).transpose(2, 0, 1)
+
+        for offset in range(self.reach):
+            sums[held, offset, : self.n_bases] = count(hit, offset)
+        for some, offset in zip(alone, places, strict=True):
+            if some.any():
+                sums[held, offset[held], : self.n_bases] += count(some, offset[of])
+        return sums
+
 
 class Chunk:
     """A row of packed chunks: the bases around a stretch of a contig, and the records on it."""

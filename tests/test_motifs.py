@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from methyloom.functions.iupac import regex
@@ -378,14 +379,15 @@ def test_groups_step_side_by_side_as_each_alone(monkeypatch):
             assert len(calls) <= max(steps) < sum(steps) / 3  # calls as many as the longest search has steps
 
 
-def test_tallies_side_by_side_look_only_where_a_motif_asks(monkeypatch):
+@pytest.mark.parametrize("most", [3, 2])  # 2: flags, whose bits are counted
+def test_tallies_side_by_side_look_only_where_a_motif_asks(monkeypatch, most):
     rng = np.random.default_rng(13)
     monkeypatch.setattr(search, "_SORTED", 500)  # the last group is put in order
     groups = []
     for n in (1, 64, 65, 700):  # windows cut by both ends among them
         text = "".join(rng.choice(list("ACGTN"), n))
         at = np.arange(n)
-        groups.append(search.Windows(_codes(text), at, rng.random(n) < 0.3, 4, 4, rng.integers(0, 3, (n, 2)).astype(float)))
+        groups.append(search.Windows(_codes(text), at, rng.random(n) < 0.3, 4, 4, rng.integers(0, most, (n, 2)).astype(float)))
     motifs = ["....A....", "..GN.....", "A..NN...T", "...CNNNNG", "GNNNNNNNN", ".NNNAY...", "RNTNAN..."]
     motifs = [m if "." not in m.strip(".") else m[: len(m) - len(m.lstrip("."))] + m.strip(".").replace(".", "N") + "." * (len(m) - len(m.rstrip("."))) for m in motifs]
     want = {(g, m): w.tally(m, 9) for g, w in enumerate(groups) for m in motifs}
