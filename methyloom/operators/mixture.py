@@ -38,20 +38,20 @@ def with_log_beta(models: DataFrame) -> DataFrame:
     return models.withColumn("lbt", log_beta(F.col("ta"), F.col("tb"))).withColumn("lbf", log_beta(F.col("fa"), F.col("fb")))
 
 
-def with_models(df: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
+def with_models(df: DataFrame, models: DataFrame, by: list[str], hashed: bool = False) -> DataFrame:
     """Records with the model of their group. Models that know their number of records (``n``) spread a group over the cluster."""
-    return with_lookup(df, models, by, "n") if "n" in models.columns else df.join(models, by)
+    return with_lookup(df, models, by, "n", hashed=hashed) if "n" in models.columns else df.join(models, by)
 
 
-def em_step(df: DataFrame, models: DataFrame, by: list[str], penalty: float, prior: tuple[float, float] = (0.0, 0.0), clamp: float = CLAMP) -> DataFrame:
+def em_step(df: DataFrame, models: DataFrame, by: list[str], penalty: float, prior: tuple[float, float] = (0.0, 0.0), clamp: float = CLAMP, hashed: bool = False) -> DataFrame:
     """(by, n, pi, alpha, beta, loglik): one step from ``models`` (by, pi, ta, tb, fa, fb).
 
     The false component weighs ``penalty``. Groups whose weights or variance vanish, or whose
-    moments fit no Beta, have null alpha and beta. ``models`` has one row per group.
+    moments fit no Beta, have null alpha and beta. ``models`` has one row per group; ``hashed`` as in ``with_lookup``.
     """
     x = F.col("x")
     rows = (
-        with_models(df.where("n_valid_cov > 0").select(*by, _clamped(clamp).alias("x"), *_PLACE(df)), with_log_beta(models), by)
+        with_models(df.where("n_valid_cov > 0").select(*by, _clamped(clamp).alias("x"), *_PLACE(df)), with_log_beta(models), by, hashed)
         .withColumn("lt", F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt")))
         .withColumn("lf", F.log(1 - F.col("pi")) + beta_log_pdf(x, F.col("fa"), F.col("fb"), F.col("lbf")) + F.log(F.lit(penalty)))
         .where("lt is not null and lf is not null")

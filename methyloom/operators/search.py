@@ -52,6 +52,7 @@ _BLOCK = 1 << 21  # cells taken apart at a time
 _ABREAST = 1 << 17  # windows of the groups that step side by side
 _LARGE = 1 << 13  # from so many windows on a group is tallied by itself
 _SORTED = 1 << 13  # and their order matters to the time of a tally
+_ENTRIES = 20_000  # models a task, to which records are joined without a sort
 _ROWS = 256  # rows of packed chunks a task, once every core has some
 
 _ANY = 31  # A, C, G, T and every other character
@@ -135,10 +136,10 @@ class Windows:
         turned = np.array([3, 2, 1, 0, 4, 5], np.uint8)[padded] if minus.any() else padded
         bits = np.array([1, 2, 4, 8, 16, 0], np.uint8)
         padded, turned = bits[padded], bits[turned]
-        self.bits = np.empty((left + right + 1, len(at)), np.uint8)
-        for i in range(len(self.bits)):
-            forward = padded[at + (margin + i - left)]
-            self.bits[i] = np.where(minus, turned[at + (margin - i + left)], forward) if turned is not padded else forward
+        around = np.lib.stride_tricks.sliding_window_view(padded, left + right + 1)[at + (margin - left)]
+        if minus.any():
+            around[minus] = np.lib.stride_tricks.sliding_window_view(turned, left + right + 1)[at[minus] + (margin - right)][:, ::-1]
+        self.bits = np.ascontiguousarray(around.T)
         self.weights = weights
         self.n_bases = 5 if (self.bits == _ONE[4]).any() else 4
 
@@ -328,6 +329,87 @@ class Flock(Windows):
         return sums
 
 
+class BitFlock:
+    """Small groups of the mixture search side by side: for every offset, which windows have a base there is kept as bits.
+
+    What a motif would match once it has grown is counted by bits, and weights are summed only for what matches
+    records enough. A group has as many words of 64 windows as the largest; what fills them is beyond every contig.
+    """
+
+    def __init__(self, windows: list[Windows], reach: int):
+        n_words = max(1, *(-(-len(w.weights) // 64) for w in windows))
+        n, kinds = 64 * n_words, windows[0].weights.shape[1]
+        self.bits = np.zeros((len(windows), len(windows[0].bits), n), np.uint8)
+        self.weights = np.zeros((len(windows), n, kinds - 3))
+        flags = np.zeros((len(windows), 3, n), bool)
+        for g, w in enumerate(windows):
+            self.bits[g, :, : len(w.weights)] = w.bits
+            self.weights[g, : len(w.weights)] = w.weights[:, 3:]
+            flags[g, :, : len(w.weights)] = w.weights[:, :3].T != 0
+        self.methylated, self.live, self.valid = self._words(flags).swapaxes(0, 1).copy()
+        bases = np.stack([self._words((b & _ONE[:4, None, None]) != 0) for b in self.bits])  # group, base, offset, word
+        self.bases = bases.transpose(0, 2, 3, 1).reshape(-1, 4 * n_words)  # a row for each offset of a group: its words of four bases
+        sets = np.stack([self._words((b[:reach] & _SETS[:, None, None]) != 0) for b in self.bits])
+        sets[:, 0] = ~np.uint64(0)  # the empty set: nothing is asked
+        self.sets = sets.swapaxes(1, 2).reshape(-1, n_words)  # a row for each offset and set of bases of a group
+        self.reach, self.n_offsets, self.n_words = reach, self.bits.shape[1], n_words
+
+    @staticmethod
+    def _words(flags: np.ndarray) -> np.ndarray:
+        return np.packbits(flags, axis=-1, bitorder="little").view("<u8")
+
+    def without_of(self, group: int, motif: str, kinds: slice) -> None:
+        """As ``without``, for the records of one group: the methylated windows stay."""
+        codes = _read(motif)
+        at = (codes != _DOT).nonzero()[0]
+        self.live[group] &= ~self._words(((self.bits[group, at] & _BYTE_BITS[codes[at]][:, None]) != 0).all(axis=0))
+
+    def matched(self, groups: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(methylated windows, records) that match a motif of each group; the records that match it but for an offset (motif, offset, word)."""
+        here = np.where(codes == _DOT, 0, _BYTE_BITS[codes] & 15)
+        hit = self.sets.take((groups[:, None] * self.reach + np.arange(self.reach)) * 16 + here, axis=0)
+        but = np.full((len(groups), self.reach, hit.shape[2]), ~np.uint64(0))
+        but[:, 1:] = np.bitwise_and.accumulate(hit, axis=1)[:, :-1]
+        but[:, :-1] &= np.bitwise_and.accumulate(hit[:, ::-1], axis=1)[:, -2::-1]
+        match = but[:, 0] & hit[:, 0]
+        live = self.live[groups]
+        count = lambda words: np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        return count(match & self.methylated[groups]), count(match & live), but & live[:, None]
+
+    def grown(self, groups: np.ndarray, codes: np.ndarray, but: np.ndarray, n_now: np.ndarray, opened: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        """(motif, offset, set of bases, sums of the kinds but the first) where a base more leaves ``least`` records, in this order."""
+        here = np.where(codes == _DOT, 0, _BYTE_BITS[codes] & 15)
+        masks = here[:, :, None] | _ONE[:4]
+        near = self.sets.take(((groups[:, None] * self.reach + np.arange(self.reach)) * 16)[:, :, None] + masks, axis=0) & but[:, :, None]
+        n = reduce(np.add, np.moveaxis(np.bitwise_count(near), 3, 0).astype(np.int32))
+        enough = (n >= least) & (masks != here[:, :, None]) & (np.arange(self.reach)[:, None] < opened[:, None, None])
+        of, at, b = enough.nonzero()
+        words, masks, n = near[of, at, b], masks[of, at, b], n[of, at, b]
+        further = np.where(n_now >= least, np.maximum(opened - self.reach, 0), 0)
+        if further.any():  # offsets that no motif which grows holds
+            far_of = np.repeat(np.arange(len(groups)), further)
+            far_at = np.arange(len(far_of)) - (np.cumsum(further) - further)[far_of] + self.reach
+            whole = np.repeat(np.bitwise_and.reduce(but, axis=1), 4, axis=1)
+            far = self.bases.take(groups[far_of] * self.n_offsets + far_at, axis=0)
+            far &= whole.take(far_of, axis=0)
+            far_n = np.bitwise_count(far)
+            far_n = reduce(np.add, [far_n[:, i : i + 4].astype(np.int32) for i in range(0, 4 * self.n_words, 4)])
+            i, far_b = np.divmod((far_n.ravel() >= least).nonzero()[0], 4)
+            far = far.reshape(len(far), self.n_words, 4)
+            of, at = np.concatenate([of, far_of[i]]), np.concatenate([at, far_at[i]])
+            words, masks, n = np.concatenate([words, far[i, :, far_b]]), np.concatenate([masks, _ONE[far_b]]), np.concatenate([n, far_n[i, far_b]])
+            order = np.argsort(of, kind="stable")
+            of, at, words, masks, n = of[order], at[order], words[order], masks[order], n[order]
+        sums = np.empty((len(of), 2 + self.weights.shape[2]))
+        sums[:, 0], sums[:, 1] = n, np.bitwise_count(words & self.valid[groups[of]]).sum(axis=1)
+        flags = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(float)
+        bounds = np.searchsorted(of, np.arange(len(groups) + 1)).tolist()
+        for g, first, last in zip(groups.tolist(), bounds, bounds[1:], strict=False):
+            if first < last:
+                np.matmul(flags[first:last], self.weights[g], out=sums[first:last, 2:])
+        return of, at, masks, sums
+
+
 class Chunk:
     """A row of packed chunks: the bases around a stretch of a contig, and the records on it."""
 
@@ -426,7 +508,7 @@ class Search:
         self.since += 1
 
     def close(self) -> None:
-        self.open, self.queue, self.known, self.ready = False, [], {}, {}
+        self.open, self.queue, self.known, self.further, self.ready = False, [], {}, {}, {}
 
     def remove(self, motif: str) -> None:
         self.removed.append(motif)
@@ -442,6 +524,7 @@ class CountSearch(Search):
     KINDS = ("background", "methylated", "high", "low")
     RECORD = ("high", "low")  # what a record of a chunk says
     REMOVABLE = slice(0, 2)
+    counted = False
     seed_odds = None
 
     @classmethod
@@ -545,6 +628,7 @@ class MixtureSearch(Search):
     KINDS = ("methylated", "n", "valid", "w", "wx", "wxx")
     RECORD = ("high", "x", "r")
     REMOVABLE = slice(1, 6)
+    counted = True  # records are flags, so what a motif matches can be counted before weights are summed
 
     @classmethod
     def windows(cls, o: MixtureOptions, mod_type: str, chunk: Chunk) -> Windows:
@@ -562,19 +646,34 @@ class MixtureSearch(Search):
 
     def begin(self) -> None:
         super().begin()
-        self.best = (0.0, 0, self.seed, None)
+        self.best, self.known, self.further = (0.0, 0, self.seed, None), {self.seed}, {}
         self.n_seed = 0.0
         if self.n_left < self.options.min_records or self.low > self.options.max_low_score:
             self.close()
 
-    def expandable(self, motif: str) -> bool:
+    def wanted(self, limit: int) -> list[str]:
+        return [m for _, _, m in heapq.nsmallest(limit, (e for e in self.queue if self.expandable(e[2]))) if m not in self.ready]
+
+    def expandable(self, motif: str | list) -> bool:
         """As upstream, what is longer than the windows grows no further."""
-        return not motif[self.options.reach :].strip(".")
+        return type(motif) is str
+
+    def queue_run(self, run: list[tuple[float, int]]) -> None:
+        """Motifs that grow no further join the queue without their text, the first of them at the end: one at a time stands for all."""
+        heapq.heappush(self.queue, (*run.pop(), run))
+
+    def pop(self) -> None:
+        run = self.queue[0][2]
+        if type(run) is list and run:
+            heapq.heapreplace(self.queue, (*run.pop(), run))
+        else:
+            heapq.heappop(self.queue)
+        self.since += 1
 
     @staticmethod
     def fit(sums: np.ndarray, o: MixtureOptions):
-        """(score, pi, alpha, beta) for each row of sums; no score where there is no fit."""
-        _, n, valid, w, wx, wxx = sums.T
+        """(score, pi, alpha, beta) for each row of sums of the kinds but the first; no score where there is no fit."""
+        n, valid, w, wx, wxx = sums.T
         with np.errstate(divide="ignore", invalid="ignore"):
             mean, pi = wx / w, w / valid
             variance = wxx / w - mean * mean
@@ -611,31 +710,75 @@ class MixtureSearch(Search):
         enough[inside] &= masks[inside] != here  # else the motif as it is
         at, b = np.nonzero(enough)
         joined = joined[at, b]
-        score, *model = cls.fit(joined, o)
-        fits = (score > -np.inf).nonzero()[0]
-        at, b, joined, score, model = at[fits], b[fits], joined[fits], score[fits].tolist(), [x[fits] for x in model]
-        masks = masks[at, b].tolist()
         ends = np.cumsum(opened)
-        bounds = [0, *np.searchsorted(at, ends).tolist()]
-        at = (at - np.repeat(ends - opened, np.diff(bounds))).tolist()
-        for k, i in enumerate(grows):
-            search, motif = searches[i], motifs[i]
-            (left, right), known, queue = _ends(motif), search.known, search.queue
+        of = np.searchsorted(ends, at, side="right")
+        cls.grow_all([searches[i] for i in grows], [motifs[i] for i in grows], of, at - (ends - opened)[of], masks[at, b], joined[:, 1:])
+
+    @classmethod
+    def grow_all(cls, searches: list[MixtureSearch], motifs: list[str], of: np.ndarray, at: np.ndarray, masks: np.ndarray, sums: np.ndarray) -> None:
+        """The motifs that grow at an offset by a set of bases, in order of motif and offset, join the queues if they fit."""
+        o = searches[0].options
+        score, *model = cls.fit(sums, o)
+        fits = (score > -np.inf).nonzero()[0]
+        n, *model = (x[fits] for x in (sums[:, 0], *model))
+        of, at, masks, score = of[fits], at[fits], masks[fits], score[fits]
+        bounds = np.searchsorted(of, np.arange(len(searches) + 1))
+        further = bounds[1:] - np.bincount(of[at >= o.reach], minlength=len(searches))  # where those begin that grow no more
+        cells = (at * 16 + masks).tolist()
+        bounds, further, at, masks, score = bounds.tolist(), further.tolist(), at.tolist(), masks.tolist(), score.tolist()
+        push = heapq.heappush
+        for k, (search, motif) in enumerate(zip(searches, motifs, strict=True)):
+            first, mid, end = bounds[k], further[k], bounds[k + 1]
+            if first == end:
+                continue
+            (left, right), known, queue, order, best, better = _ends(motif), search.known, search.queue, search.order, search.best[0], None
             last = before = behind = None
-            for j in range(bounds[k], bounds[k + 1]):
+            for j in range(first, mid):
                 if at[j] != last:
                     last = at[j]
                     before, behind = _around(motif, last, left, right)
                 new = before + _CODE[masks[j]] + behind
                 if new in known:
                     continue
-                search.order += 1
+                order += 1
                 s = score[j]
-                heapq.heappush(queue, (-s, search.order, new))
-                known[new] = (s, search.order)
-                if s > search.best[0]:
-                    search.since = 0
-                    search.best = (s, search.order, new, (float(joined[j, 1]), *(float(x[j]) for x in model)))
+                push(queue, (-s, order, new))
+                known.add(new)
+                if s > best:
+                    best, better = s, (j, order)
+            if mid < end:
+                fresh = range(mid, end)
+                grown = search.further.setdefault(motif[:right].rstrip("N"), set())  # the gap is filled with N anyway
+                if grown:
+                    fresh = [j for j in fresh if cells[j] not in grown]
+                grown.update(cells[mid:end])
+                run = sorted([(-score[j], order + 1 + j - mid, j) for j in fresh], reverse=True)
+                order += end - mid + 1
+                if run:
+                    s, place, j = run[-1]
+                    if -s > best:
+                        best, better = -s, (j, place)
+                    search.queue_run([(s, place) for s, place, _ in run])
+            search.order = order
+            if better:
+                j, place = better
+                search.since = 0
+                search.best = (best, place, _grown(motif, at[j], masks[j]), (float(n[j]), *(float(x[j]) for x in model)))
+
+    @classmethod
+    def expand_counted(cls, flock: BitFlock, groups: list[int], searches: list[MixtureSearch], motifs: list[str]) -> None:
+        """As ``expand_all``, of groups side by side."""
+        o, places = searches[0].options, np.array(groups)
+        codes = _read("".join(motifs)).reshape(len(motifs), -1)[:, : flock.reach]
+        methylated, n, but = flock.matched(places, codes)
+        for search, motif, own in zip(searches, motifs, n.tolist(), strict=True):
+            if motif == search.seed:
+                search.n_seed = float(own)
+        grows = methylated.nonzero()[0]
+        if len(grows):
+            some = [searches[i] for i in grows]
+            opened = np.array([min(2 * search.since + 1, o.width) for search in some])
+            cls.grow_all(some, [motifs[i] for i in grows], *flock.grown(places[grows], codes[grows], but[grows], n[grows], opened, o.min_motif_records))
 
     def finish(self) -> None:
         score, _, motif, model = self.best
@@ -695,9 +838,12 @@ def stepped(searches: list[Search], windows: list[Windows], steps: int) -> None:
     reach = searches[0].options.reach
     small = [i for i, w in enumerate(windows) if len(w.weights) < _LARGE]
     flocks = [small] * bool(small) + [[i] for i, w in enumerate(windows) if len(w.weights) >= _LARGE]
+    if searches[0].counted:  # those of about the same size step side by side
+        sizes = {i: max(0, len(windows[i].weights) - 1).bit_length() for i in small}
+        flocks = [[i for i in small if max(sizes[i], 7) == size] for size in sorted({max(size, 7) for size in sizes.values()})] + flocks[bool(small) :]
     place, flocks_of = {i: k for flock in flocks for k, i in enumerate(flock)}, {}
     for some in flocks:
-        flock = Flock([windows[i] for i in some], reach)
+        flock = (BitFlock if searches[0].counted and len(windows[some[0]].weights) < _LARGE else Flock)([windows[i] for i in some], reach)
         for i in some:
             flocks_of[i], windows[i] = flock, None
     gone, going = [0] * len(searches), range(len(searches))
@@ -712,13 +858,17 @@ def stepped(searches: list[Search], windows: list[Windows], steps: int) -> None:
             for motif in search.removed[gone[i] :]:
                 flocks_of[i].without_of(place[i], motif, search.REMOVABLE)
             gone[i] = len(search.removed)
+            search.pop()
         for some in flocks:
-            if some := [i for i in some if i in motifs]:
-                own = flocks_of[some[0]].tallies([place[i] for i in some], [motifs[i] for i in some], [searches[i].n_offsets(1) for i in some])
+            if not (some := [i for i in some if i in motifs]):
+                continue
+            if isinstance(flocks_of[some[0]], BitFlock):
+                searches[0].expand_counted(flocks_of[some[0]], [place[i] for i in some], [searches[i] for i in some], [motifs[i] for i in some])
+            else:
+                own = flocks_of[some[0]].tallies([place[i] for i in some], [motifs[i] for i in some], [searches[i].n_offsets(0) for i in some])
                 tallies |= zip(some, own, strict=True)
-        for i in going:
-            searches[i].pop()
-        searches[0].expand_all([searches[i] for i in going], [motifs[i] for i in going], [tallies[i] for i in going])
+        if tallies:
+            searches[0].expand_all([searches[i] for i in tallies], [motifs[i] for i in tallies], list(tallies.values()))
     for i in going:
         searches[i].due()  # the last of them may be at its end
 
@@ -903,7 +1053,8 @@ def weighed_records(records: DataFrame, seeds: DataFrame, options: MixtureOption
     candidate: it is computed once, and a candidate's step is a sum over its windows. As upstream, a
     motif has the records of both strands at its forward positions.
     """
-    fitted = mixture.em_step(records, seeds, GROUP, penalty=1.0).where("alpha is not null and pi > 0 and pi < 1")
+    hashed = seeds.count() <= _ENTRIES * parallelism(seeds.sparkSession)  # the weighed records stay sorted: so they are written smaller
+    fitted = mixture.em_step(records, seeds, GROUP, penalty=1.0, hashed=hashed).where("alpha is not null and pi > 0 and pi < 1")
     models = fitted.select(*GROUP, "pi", F.col("alpha").alias("ta"), F.col("beta").alias("tb")).join(seeds.select(*GROUP, "fa", "fb", "n"), GROUP)
     x, logged = F.col("x"), mixture.with_log_beta(models)
     lt = F.log("pi") + beta_log_pdf(x, F.col("ta"), F.col("tb"), F.col("lbt"))
@@ -918,7 +1069,11 @@ def weighed_records(records: DataFrame, seeds: DataFrame, options: MixtureOption
 def discover_by_mixture(records: DataFrame, sequences: DataFrame, options: MixtureOptions = MixtureOptions(), **rounds) -> DataFrame:
     """The motifs of each contig with the mixture fitted to their records."""
     # what gives the records may be costly, and they are read for the seeds, their fit and the weights
-    records = written(records.select(*GROUP, "position", "strand", "n_mod", "n_valid_cov"), "records")
+    return found_by_mixture(written(records.select(*GROUP, "position", "strand", "n_mod", "n_valid_cov"), "records"), sequences, options, **rounds)
+
+
+def found_by_mixture(records: DataFrame, sequences: DataFrame, options: MixtureOptions, **rounds) -> DataFrame:
+    """As ``discover_by_mixture``, of records that are written and so may be read several times."""
     seeds = checkpointed(mixture.seed_models(records, GROUP))
     weighed = written(weighed_records(records, seeds, options), "weighed")
     count = F.count("*").cast("double").alias("n_records")

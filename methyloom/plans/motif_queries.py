@@ -271,8 +271,9 @@ def q_search_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_search_mixture_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per contig and modification: motifs that lie on fewer records than asked for, or whose score is not that of their fit."""
     o, by = search.MixtureOptions(), ["contig_id", *MOTIF]
-    records, sequences = written(inputs.pileup(spark, sf_dir), "pileup"), inputs.sequences(spark, sf_dir)
-    found = checkpointed(search.discover_by_mixture(records, sequences, o).withColumnsRenamed({"motif_mod_type": "mod_type", "motif_mod_position": "mod_position"}))
+    own = inputs.pileup(spark, sf_dir).select(*search.GROUP, "position", "strand", "n_mod", "n_valid_cov")
+    records, sequences = written(own, "records"), inputs.sequences(spark, sf_dir)
+    found = checkpointed(search.found_by_mixture(records, sequences, o).withColumnsRenamed({"motif_mod_type": "mod_type", "motif_mod_position": "mod_position"}))
     hits = records.join(occ.occurrences(sequences, found, overlapping=True).where("strand = '+'").select(*by, "position"), ["contig_id", "mod_type", "position"])
     enough = hits.groupBy(*by).agg(F.count("*").alias("n"))
     mean = measures.beta_mean(F.col("true_alpha"), F.col("true_beta"))

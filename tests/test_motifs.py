@@ -407,3 +407,37 @@ def test_tallies_side_by_side_look_only_where_a_motif_asks(monkeypatch, most):
     for m in motifs:
         for got, w in zip(flock.tallies([0, 1, 2, 3], [m] * 4, [9] * 4), groups, strict=True):
             assert np.array_equal(got, w.tally(m, 9))
+
+
+def test_small_mixture_groups_sum_only_what_has_records_enough(monkeypatch):
+    options = search.MixtureOptions(max_rounds=12, max_low_score=1, min_records=20)
+    summed, tallied = [], []
+    kept, tallies = search.BitFlock.grown, search.Flock.tallies
+    monkeypatch.setattr(search.BitFlock, "grown", lambda self, *a: summed.append(kept(self, *a)) or summed[-1])
+    monkeypatch.setattr(search.Flock, "tallies", lambda self, *a: tallied.append(a) or tallies(self, *a))
+    searches, windows = map(list, zip(*_small_groups(search.MixtureSearch, options), strict=True))
+    search.stepped(searches, windows, 5_000)
+    assert summed and not tallied and min(sums[:, 0].min(initial=99) for *_, sums in summed) >= options.min_motif_records
+
+
+def test_motifs_that_grow_no_further_leave_the_queue_in_order():
+    one = search.MixtureSearch("6mA", search.MixtureOptions(), 100)
+    one.queue = []
+    one.queue_run([(-0.2, 9), (-0.5, 8), (-0.5, 7)])
+    one.queue_run([(-0.3, 5)])
+    search.heapq.heappush(one.queue, (-0.4, 6, one.seed))
+    left = []
+    while one.queue:
+        left.append(one.queue[0][:2])
+        assert one.wanted(1) == ([one.seed] if (-0.4, 6) not in left[:-1] else [])
+        one.pop()
+    assert left == [(-0.5, 7), (-0.5, 8), (-0.4, 6), (-0.3, 5), (-0.2, 9)]
+
+
+def test_models_join_their_records_without_a_sort(spark):
+    rows = spark.range(3000).selectExpr("concat('c', id % 40) as contig_id", "'6mA' as mod_type", "id as position", "'+' as strand", "id % 7 as n_mod", "7L as n_valid_cov")
+    seeds = mixture.seed_models(rows, search.GROUP)
+    hashed, sorted_ = (mixture.em_step(rows, seeds, search.GROUP, penalty=1.0, hashed=h).orderBy("contig_id") for h in (True, False))
+    assert "ShuffledHashJoin" in hashed._jdf.queryExecution().sparkPlan().toString()
+    for a, b in zip(hashed.collect(), sorted_.collect(), strict=True):
+        assert a.contig_id == b.contig_id and a.n == b.n and a.loglik == pytest.approx(b.loglik) and a.alpha == pytest.approx(b.alpha)
